@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillmine.llm import bpe, pivots, sharding, urls, warc
+from quillmine.llm import bpe, minhash, pivots, sharding, urls, warc
 from quillmine.llm.common import table
 
 RULES = (urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/"))
@@ -25,6 +25,10 @@ def op3_pivot_index(spark, sf_dir):
     return pivots.link(table(spark, sf_dir, "embeddings"))
 
 
+def op5_weighted_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark, sf_dir):
     done = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -34,4 +38,4 @@ def op8_rendezvous_sharding(spark, sf_dir):
     return sharding.rendezvous(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filters, op3_pivot_index, op7_byte_bpe, op8_rendezvous_sharding)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filters, op3_pivot_index, op5_weighted_minhash, op7_byte_bpe, op8_rendezvous_sharding)}
