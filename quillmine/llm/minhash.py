@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from quillmine.llm.common import components, cut, ship
 from quillmine.llm.shingles import shingled, text_key, words
+from quillmine.llm.totals import total
 
 #: Document frequencies are kept by hash in so many counters: 8 MB, whatever the corpus.
-COUNTERS, CHUNK = 1 << 20, 1 << 16
+COUNTERS = 1 << 20
 #: Samples of a sketch: BANDS bands of ROWS. A pair of similarity 0.8 shares a band with probability 0.9992.
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
@@ -85,45 +86,26 @@ def weighted(text: str | list[str] | None, idf: np.ndarray) -> tuple[np.ndarray,
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """The counters over all documents and the number of documents with a word.
+    """The counters over all documents, and the number of documents with a word."""
 
-    Every task returns its counters in chunks, which are summed in two steps, so that no group grows with the
-    number of tasks; the driver gets COUNTERS numbers.
-    """
-    ship(docs.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, held, size = np.zeros(COUNTERS, np.int64), 0, [], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        sums, held, size = np.zeros(COUNTERS + 1, np.int64), [], 0
         for batch in batches:
             for value in batch.column(0):
                 s, _ = shingled(words(value.as_py()))
                 if len(s):
-                    n += 1
+                    sums[-1] += 1
                     held.append(counter(s))
                     size += len(s)
                     if size > 1 << 20:
-                        total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                        sums[:-1] += np.bincount(np.concatenate(held), minlength=COUNTERS)
                         held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
-        if n:
-            parts = [total[i : i + CHUNK].tobytes() for i in range(0, COUNTERS, CHUNK)] + [np.array([n]).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
-        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "counts": [total.tobytes()]})
-
-    kind = "chunk int, counts binary"
-    parts = docs.select(text).mapInArrow(count, kind).withColumn("salt", F.spark_partition_id() % F.lit(64))
-    for by in (["chunk", "salt"], ["chunk"]):
-        parts = parts.groupBy(*by).applyInPandas(add, kind)
-        parts = parts.withColumn("salt", F.lit(0))
-    got = {r["chunk"]: np.frombuffer(r["counts"], np.int64) for r in parts.select("chunk", "counts").collect()}
-    if not got:
-        return np.zeros(COUNTERS, np.int64), 0
-    last = max(got)
-    return np.concatenate([got[i] for i in range(last)]), int(got[last][0])
+            sums[:-1] += np.bincount(np.concatenate(held), minlength=COUNTERS)
+        return sums if sums[-1] else None
+
+    sums = total(docs.select(text), count, COUNTERS + 1)
+    return sums[:-1], int(sums[-1])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,6 +126,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     are verified. So a bucket is never one task's, and pairs inside a group are not made.
     """
     spark = docs.sparkSession
+    ship(spark)
     counts, n = document_frequencies(docs, text)
     idf = spark.sparkContext.broadcast(idf_table(counts, n))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
