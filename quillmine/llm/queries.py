@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillmine.llm import bpe, langid, minhash, pivots, sharding, toxicity, urls, warc
+from quillmine.llm import bpe, kneser_ney, langid, minhash, pivots, sharding, toxicity, urls, warc
 from quillmine.llm.common import table
 
 RULES = (urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/"))
@@ -50,7 +50,12 @@ def op8_rendezvous_sharding(spark, sf_dir):
     return sharding.rendezvous(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
+def op10_kneser_ney_quality(spark, sf_dir):
+    done = kneser_ney.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "lang", "perplexity", "threshold", "good")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_revisits, op2_url_filters, op3_pivot_index, op4_compression_toxicity, op5_weighted_minhash, op7_byte_bpe, op8_rendezvous_sharding, op9_language_id)
+    for f in (op1_warc_revisits, op2_url_filters, op3_pivot_index, op4_compression_toxicity, op5_weighted_minhash, op7_byte_bpe, op8_rendezvous_sharding, op9_language_id, op10_kneser_ney_quality)
 }
