@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +34,56 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints: that of ``spark.checkpoint.dir``, or one of our own where the session names none, as in local tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmine-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder of ``spark.checkpoint.dir``.
+    """Cut the lineage with a checkpoint in the shared folder.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    A checkpoint also keeps the constraints of its plan, which multiply in a loop until planning takes longer than
+    running; so none are inferred here.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmine-checkpoint-"))
-    return df.checkpoint(eager=True)
+    shared_folder(df.sparkSession)
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
+
+
+#: So many edges are few enough for one task (a few MB).
+FEW = 100_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, rep) of every node of these edges, by union-find."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root[find(y)] = find(x)
+    if kind is not None:
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["v", "rep"])
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, native: bool = False) -> DataFrame:
     """Connected components by randomised contraction, as (node, component).
 
     ``component`` is the smallest node of the component; only nodes that occur in an edge between
@@ -54,12 +93,18 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     edges are rewritten onto these representatives. The salt makes paths and stars contract alike,
     so the number of rounds grows with the logarithm of the nodes. Minimums and distincts combine
     before the shuffle, so that a hub node costs one row a task; the joins are against a table with
-    one row a node, whose other side Spark may split. Nothing but a row count reaches the driver.
+    one row a node, whose other side Spark may split. Nothing but a row count reaches the driver. The last FEW
+    edges are united by one task, unless ``native`` asks for DataFrame functions throughout.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     left = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
-    while not left.isEmpty():
+    while n := left.count():
+        if n <= FEW and not native:
+            ship(left.sparkSession)
+            kind = left.schema["a"].dataType.simpleString()
+            steps.append(cut(left.coalesce(1).mapInArrow(_united, f"v {kind}, rep {kind}")))
+            break
         salt = F.lit(len(steps))
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(salt, c).alias("h"), F.col(c).alias("n"))

@@ -97,7 +97,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = Non
     edge = links(pages, url, html)
     if edges is not None:
         edge = edge.unionAll(edges.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")))
-    groups = components(edge, "src", "dst")
+    groups = components(edge, "src", "dst", native=True)
     ruled = groups.withColumn("own", own_rule(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"])
     verdicts = ruled.groupBy("component").agg(F.max(F.coalesce(F.col("own") == "block", F.lit(False))).alias("bad"), F.max(F.coalesce(F.col("own") == "allow", F.lit(False))).alias("good"))
     blocked = groups.join(verdicts.where("bad and not good"), "component", "left_semi").select("node")
