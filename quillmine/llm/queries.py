@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillmine.llm import bpe, kneser_ney, langid, minhash, pivots, sharding, toxicity, urls, warc
+from quillmine.llm import bpe, kneser_ney, langid, latent, minhash, pivots, sharding, toxicity, urls, warc
 from quillmine.llm.common import table
 
 RULES = (urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/"))
@@ -35,6 +35,10 @@ def op5_weighted_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_latent_decontamination(spark, sf_dir):
+    return latent.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_byte_bpe(spark, sf_dir):
     done = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -57,5 +61,5 @@ def op10_kneser_ney_quality(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_revisits, op2_url_filters, op3_pivot_index, op4_compression_toxicity, op5_weighted_minhash, op7_byte_bpe, op8_rendezvous_sharding, op9_language_id, op10_kneser_ney_quality)
+    for f in (op1_warc_revisits, op2_url_filters, op3_pivot_index, op4_compression_toxicity, op5_weighted_minhash, op6_latent_decontamination, op7_byte_bpe, op8_rendezvous_sharding, op9_language_id, op10_kneser_ney_quality)
 }
