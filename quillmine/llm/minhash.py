@@ -22,7 +22,9 @@ SAMPLES = BANDS * ROWS
 #: Two sketches of a pair of similarity 0.8 agree in fewer samples once in a million pairs.
 AGREE = 13
 #: Members that one copy of a leader's text is compared with, and rows of a block of a bucket.
-SALT, BLOCK = 256, 512
+SALT, BLOCK = 256, 256
+#: Shared elements that are compared at a time.
+COLUMNS = 4096
 _POINTS = 1 << 16
 
 
@@ -121,9 +123,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
 
     Plan: two passes over the texts (frequencies, sketches) that shuffle neither text nor shingles. Copies are
     one class. Bands of sketches are buckets; each member is verified against the bucket's first class, whose
-    text is sent once for SALT members. Buckets whose members are then still in several groups are compared
-    exactly as well: block by block, by their sketches, pairs of different groups that agree in AGREE samples
-    are verified. So a bucket is never one task's, and pairs inside a group are not made.
+    text is sent once for SALT members. Buckets whose members are then still in several groups are searched block
+    by block for members of different groups whose sketches agree in AGREE samples; such members form chains, and all
+    texts of a chain are compared, again by blocks. Both return a forest, never the pairs, and no task holds more than
+    two blocks.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -160,9 +163,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     placed = members.join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c")).select("bucket", "n", "c", "g")
     mixed = placed.groupBy("bucket").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("bucket")
     rest = cut(placed.join(mixed, "bucket").join(classes.select("c", "sketch"), "c"))
-    more = cut(_agreeing(rest).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionAll(cut(_verified(more, classes, rows, threshold, idf)))
+    chains = components(cut(_agreeing(rest)), "a", "b")
+    if not chains.isEmpty():
+        alike = rest.select("c", "g").distinct().join(chains.select(F.col("node").alias("c"), F.col("component").alias("chain")), "c")
+        links = links.unionAll(cut(_compared(cut(alike), classes, rows, threshold, idf)))
         groups = components(links, "a", "b")
     named = classes.select("c", "id").join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
     named = cut(named.select("c", "id", "g"))
@@ -173,25 +177,98 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     return out.unionAll(alone).select(F.col("id").alias(key), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _agreeing(rest: DataFrame) -> DataFrame:
-    """Pairs (a < b) of classes of one bucket, in different groups, whose sketches agree in AGREE samples."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows once for each pair (i <= j) of blocks of their group that holds their own ``block``; needs ``n``, the group's size."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "g", "sketch")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "n")
+
+
+def _sides(k: tuple, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of both blocks, or all rows twice if it is one block with itself."""
+    first = (b["block"] == k[1]).to_numpy()
+    return (np.flatnonzero(first), np.flatnonzero(~first)) if k[1] != k[2] else (np.arange(len(b)), np.arange(len(b)))
+
+
+def _forest(r: np.ndarray, c: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+    """Edges (a, b) that connect what the pairs of rows connect, fewer than there are rows."""
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(r.tolist(), c.tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p != q:
+            root[q] = p
+            out.append((names[x], names[y]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _agreeing(rest: DataFrame) -> DataFrame:
+    """Edges that connect all classes of one bucket which are in different groups and whose sketches agree in AGREE samples."""
 
     def compare(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(b["sketch"]), np.int32).reshape(len(b), SAMPLES)
-        first = (b["block"] == k[1]).to_numpy()
-        left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if k[1] != k[2] else (np.arange(len(b)),) * 2
+        left, right = _sides(k, b)
         group = np.unique(b["g"].to_numpy(), return_inverse=True)[1]
         same = np.zeros((len(left), len(right)), np.int16)
         for s in range(SAMPLES):
             same += x[left, s][:, None] == x[right, s]
         r, c = np.nonzero((same >= AGREE) & (group[left][:, None] != group[right]))
-        names = b["c"].to_numpy()
-        return pd.DataFrame([sorted((names[p], names[q])) for p, q in zip(left[r], right[c], strict=True)], columns=["a", "b"])
+        return _forest(left[r], right[c], b["c"].to_numpy())
+
+    return _blocks(rest).groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+
+
+def _compared(alike: DataFrame, classes: DataFrame, rows: DataFrame, threshold: float, idf) -> DataFrame:
+    """Edges that connect all classes of one chain which are in different groups and reach the threshold, by their texts.
+
+    Counts are levels: a shingle that occurs twice is two elements of the shingle's weight, so that what two texts
+    share is a product of matrices with one column an element.
+    """
+    sized = alike.join(alike.groupBy("chain").agg(F.count(F.lit(1)).alias("n")), "chain").join(classes.select("c", "id"), "c")
+    read = _blocks(sized).join(rows.where("id is not null"), "id").select("chain", "i", "j", "block", "c", "g", "text")
+
+    def compare(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        texts = [words(t) for t in b["text"]]
+        right_one = np.array([text_key(w) == c for w, c in zip(texts, b["c"], strict=True)])
+        b = b[right_one]
+        levels, totals = [], []
+        for w in (w for w, ok in zip(texts, right_one, strict=True) if ok):
+            s, n = shingled(w)
+            level = np.concatenate([np.arange(m) for m in n]) if len(n) and n.max() > 1 else np.zeros(len(s), np.int64)
+            s = np.repeat(s, n)
+            levels.append((s ^ (level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.sqrt(idf.value[counter(s)].astype(np.float64))))
+            totals.append(float((levels[-1][1] ** 2).sum()))
+        left, right = _sides(k, b)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        all_elements = np.concatenate([e for e, _ in levels])
+        names, at, times = np.unique(all_elements, return_inverse=True, return_counts=True)
+        place = np.cumsum(times > 1) - 1  # elements of one text alone are not shared
+        owner, weight = np.repeat(np.arange(len(b)), [len(e) for e, _ in levels]), np.concatenate([w for _, w in levels])
+        keep = times[at] > 1
+        owner, weight, column = owner[keep], weight[keep], place[at[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, weight, column = owner[order], weight[order], column[order]
+        both = np.zeros((len(left), len(right)))
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            p, q = np.searchsorted(column, [lo, lo + COLUMNS])
+            x = np.zeros((len(b), min(COLUMNS, int(column[-1]) + 1 - lo)))
+            x[owner[p:q], column[p:q] - lo] = weight[p:q]
+            both += x[left] @ x[right].T
+        size = np.array(totals)
+        group = np.unique(b["g"].to_numpy(), return_inverse=True)[1]
+        alike = both >= threshold * (size[left][:, None] + size[right] - both) - 1e-12
+        r, c = np.nonzero(alike & (group[left][:, None] != group[right]))
+        return _forest(left[r], right[c], b["c"].to_numpy())
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    return read.groupBy("chain", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, threshold: float, idf) -> DataFrame:
