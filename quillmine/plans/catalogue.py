@@ -1,2 +1,515 @@
-QUERIES = {}
-ORACLES = {}
+"""The queries of the engine over a folder of tables, and the same in SQL for DuckDB."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmine.functions import query as Q
+from quillmine.functions import text as T
+from quillmine.operators import chunking, context, history, retrieval, tables, transcripts
+from quillmine.plans import answers
+from quillmine.plans.search import allowed_documents, search
+from quillmine.session import ship
+from quillmine.sources import tables as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: The request that the queries stand for: an owner, a query and the stored vector that stands for its embedding.
+USER, QUERY, VECTOR = "u0", 'reti thea "of the" and', 7
+TERMS, PHRASES = Q.tokens(QUERY), Q.phrases(QUERY)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _shown(df: DataFrame, *names: str | Column) -> DataFrame:
+    """Scores rounded, times as text."""
+    out = df.select(*names) if names else df
+    kinds = dict(out.dtypes)
+    return out.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if kinds[c].startswith("timestamp") else F.col(c) for c in out.columns])
+
+
+# SQL of the views in quillmine.sources.tables and of shared expressions
+
+
+def _flat(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def _preview(x: str) -> str:
+    return f"CASE WHEN length({_flat(x)}) <= 200 THEN {_flat(x)} ELSE trim(substring({_flat(x)}, 1, 197)) || '...' END"
+
+
+def _tokens(x: str) -> str:
+    return f"CASE WHEN trim({x}, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE CAST(ceil(length({x}) / 4.0) AS INTEGER) END"
+
+
+def _share(x: str, terms: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(contains(lower(coalesce({x}, '')), '{t}') AS INTEGER)" for t in terms) + f") / {len(terms)}.0"
+
+
+_CHUNKS = f"""chunks AS (SELECT doc_id AS chunk_id, doc_id // 4 AS document_id, CAST(doc_id % 4 AS INTEGER) AS chunk_index,
+  'u' || ((doc_id // 4) % 2) AS user_id, text, substring(split_part(text, chr(10), 1), 1, 80) AS title, 'topic ' || (doc_id % 10) AS topic,
+  lang AS subtopic, lang || ' ' || source AS tags, lang AS type, {_preview("text")} AS content_preview FROM documents)"""
+_DOCS = """docs AS (SELECT c.document_id, c.user_id, c.title, c.type, TIMESTAMP '2024-01-31' - to_days(CAST(c.document_id % 120 AS INTEGER)) AS created_at,
+  CASE l.quality WHEN 1 THEN 'indexed' WHEN 0 THEN 'failed' ELSE 'pending' END AS index_status
+  FROM chunks c LEFT JOIN labels l ON l.doc_id = c.chunk_id WHERE c.chunk_index = 0)"""
+_SCORED = f"""scored AS (SELECT vec_id AS chunk_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
+  (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {VECTOR})) AS score FROM embeddings)"""
+_KEYWORD = " + ".join(
+    f"CASE WHEN regexp_matches(lower({field}), '(^|\\W){t}(\\W|$)') THEN {w} ELSE 0 END"
+    for field, w in (("title", 10), ("topic", 8), ("subtopic", 6), ("tags", 4), ("text", 1))
+    for t in TERMS
+)
+_HISTORY = "history AS (SELECT event_id, user_id, event_type || ':' || json_extract_string(props, '$.k') AS query, CAST(floor(value) AS INTEGER) AS result_count, ts AS created_at FROM events)"
+_SEGMENTS = """segments AS (SELECT conv_id AS video_id, turn AS i, text, (read_to - length(text)) / 15.0::DOUBLE AS start_s, read_to / 15.0::DOUBLE AS end_s
+  FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS read_to FROM conversations))"""
+_TIME = "strftime({}, '%Y-%m-%d %H:%M:%S') AS {}"
+
+
+def _legs(k: int) -> str:
+    """Both legs with their places, and their fusion."""
+    return f"""own AS (SELECT * FROM chunks WHERE user_id = '{USER}'),
+v AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM
+  (SELECT s.chunk_id, s.score FROM scored s JOIN own USING (chunk_id) WHERE s.score >= 0.08 ORDER BY s.score DESC, s.chunk_id LIMIT {k})),
+k AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM
+  (SELECT chunk_id, CAST({_KEYWORD} AS DOUBLE) AS score FROM own WHERE ({_KEYWORD}) > 0 ORDER BY 2 DESC, 1 LIMIT {k})),
+fused AS (SELECT chunk_id, coalesce(v.score, 0) AS vector_score, coalesce(k.score, 0) AS keyword_score, v.rank AS vector_rank, k.rank AS keyword_rank,
+  coalesce(0.6::DOUBLE / (60 + v.rank), 0) + coalesce(0.4::DOUBLE / (60 + k.rank), 0) AS rrf_score FROM v FULL JOIN k USING (chunk_id))"""
+
+
+_RERANKED = f"""reranked AS (SELECT c.*, f.vector_score, f.rrf_score, f.vector_rank, f.keyword_rank,
+  {_share("c.text", TERMS)} AS keyword_part, {_share("concat_ws(' ', c.topic, c.subtopic, c.tags)", TERMS)} AS topic_part, {_share("c.title", TERMS)} AS title_part,
+  {_share("concat_ws(' ', c.text, c.title, c.topic, c.subtopic)", PHRASES)} AS phrase_part FROM fused f JOIN own c USING (chunk_id)),
+final AS (SELECT *, 0.45::DOUBLE * rrf_score + 0.2::DOUBLE * vector_score + 0.15::DOUBLE * keyword_part + 0.1::DOUBLE * topic_part + 0.05::DOUBLE * title_part + 0.05::DOUBLE * phrase_part AS final_score FROM reranked)"""
+
+
+def _search_sql(page: int, limit: int) -> str:
+    order = "final_score DESC, rrf_score DESC, vector_rank NULLS LAST, keyword_rank NULLS LAST, chunk_id"
+    return f"""WITH {_CHUNKS}, {_DOCS}, {_SCORED}, {_legs(Q.window_of(page, limit))}, {_RERANKED},
+placed AS (SELECT f.*, row_number() OVER (PARTITION BY f.document_id ORDER BY {order}) AS at, count(*) OVER (PARTITION BY f.document_id) AS n,
+  string_agg(CAST(f.chunk_id AS VARCHAR), ',' ORDER BY {order}) OVER (PARTITION BY f.document_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS chunk_list FROM final f),
+groups AS (SELECT d.document_id, d.title AS document_title, d.type AS document_type, p.*,
+  p.final_score + 0.02::DOUBLE * least(p.n, 5) / 5 + 0.02::DOUBLE * greatest(0, 1 - date_diff('millisecond', d.created_at, TIMESTAMP '2024-01-31') / 86400000.0::DOUBLE / 90) AS score
+  FROM placed p JOIN docs d ON d.document_id = p.document_id AND d.user_id = p.user_id WHERE p.at = 1),
+numbered AS (SELECT *, row_number() OVER (ORDER BY score DESC, {order}) AS place, count(*) OVER () AS total FROM groups)
+SELECT CAST(place AS INTEGER) AS place, document_id, document_title AS title, document_type AS type, round(floor(score * 100 + 0.5) / 100, 6) AS score, CAST(n AS INTEGER) AS n_chunks,
+  chunk_id AS top_chunk, topic, content_preview AS preview, chunk_list AS chunks, CAST(total AS INTEGER) AS total
+FROM numbered WHERE place BETWEEN {(page - 1) * limit + 1} AND {page * limit}"""
+
+
+def _found(spark: SparkSession, d: str, page: int, limit: int, f: Q.Filter | None = None) -> DataFrame:
+    return _shown(search(S.chunks(spark, d), S.documents(spark, d), S.vectors(spark, d), USER, QUERY, S.vector_of(spark, d, VECTOR), S.AS_OF, page, limit, f))
+
+
+@query(_search_sql(1, 20))
+def search_documents(spark, d):
+    return _found(spark, d, 1, 20)
+
+
+@query(_search_sql(2, 10))
+def search_documents_page2(spark, d):
+    return _found(spark, d, 2, 10)
+
+
+@query(f"WITH {_SCORED} SELECT chunk_id, round(score, 6) AS score FROM scored WHERE score >= 0.08 ORDER BY scored.score DESC, chunk_id LIMIT 60")
+def vector_topk(spark, d):
+    return _shown(retrieval.vector_hits(S.vectors(spark, d), S.vector_of(spark, d, VECTOR), 60, retrieval.SEARCH_FLOOR), "chunk_id", "score")
+
+
+@query(f"WITH {_SCORED} SELECT chunk_id, label, round(score, 6) AS score FROM scored WHERE label IN (1, 3, 5) AND score >= 0 ORDER BY scored.score DESC, chunk_id LIMIT 10")
+def vector_topk_filtered(spark, d):
+    rows = S.vectors(spark, d).where(F.col("label").isin(1, 3, 5))
+    return _shown(retrieval.vector_hits(rows, S.vector_of(spark, d, VECTOR), 10), "chunk_id", "label", "score")
+
+
+@query(f"WITH {_CHUNKS}, {_SCORED}, hits AS (SELECT chunk_id, score FROM scored WHERE score >= 0.08 ORDER BY score DESC, chunk_id LIMIT 60) SELECT chunk_id, document_id, chunk_index, title, topic, round(score, 6) AS score FROM hits JOIN chunks USING (chunk_id)")
+def vector_hydrate(spark, d):
+    hits = retrieval.vector_hits(S.vectors(spark, d), S.vector_of(spark, d, VECTOR), 60, retrieval.SEARCH_FLOOR).select("chunk_id", "score")
+    return _shown(retrieval.rows_of(hits, S.chunks(spark, d)), "chunk_id", "document_id", "chunk_index", "title", "topic", "score")
+
+
+@query(f"WITH {_CHUNKS}, {_DOCS} SELECT chunk_id, document_id FROM chunks WHERE user_id = '{USER}' AND document_id IN (SELECT document_id FROM docs WHERE user_id = '{USER}' AND index_status = 'indexed' AND type = 'en')")
+def prefilter_semi(spark, d):
+    ids = allowed_documents(S.documents(spark, d), USER, Q.Filter(type="en"), S.AS_OF)
+    return retrieval.restricted(S.chunks(spark, d), USER, ids).select("chunk_id", "document_id")
+
+
+@query(f"WITH {_CHUNKS}, s AS (SELECT chunk_id, {_share("concat_ws(' ', title, topic, subtopic, tags, text)", TERMS)} AS score FROM chunks) SELECT chunk_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, chunk_id LIMIT 60")
+def keyword_fallback(spark, d):
+    return _shown(retrieval.fallback_hits(S.chunks(spark, d), TERMS, 60), "chunk_id", "score")
+
+
+@query(f"WITH {_CHUNKS}, s AS (SELECT chunk_id, CAST({_KEYWORD} AS DOUBLE) AS score FROM chunks) SELECT chunk_id, score FROM s WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 60")
+def keyword_weighted(spark, d):
+    return _shown(retrieval.keyword_hits(S.chunks(spark, d), TERMS, 60), "chunk_id", "score")
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    own = retrieval.restricted(S.chunks(spark, d), USER)
+    near = own.select("chunk_id").join(S.vectors(spark, d), "chunk_id")
+    v = retrieval.ranked(retrieval.vector_hits(near, S.vector_of(spark, d, VECTOR), 60, retrieval.SEARCH_FLOOR).select("chunk_id", "score"))
+    k = retrieval.ranked(retrieval.keyword_hits(own, TERMS, 60).select("chunk_id", "score"))
+    return own, retrieval.fused(v, k)
+
+
+@query(f"WITH {_CHUNKS}, {_SCORED}, {_legs(60)} SELECT chunk_id, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score, round(rrf_score, 6) AS rrf_score FROM fused")
+def rrf_fuse(spark, d):
+    return _shown(_both(spark, d)[1], "chunk_id", "vector_score", "keyword_score", "rrf_score")
+
+
+@query(f"WITH {_CHUNKS}, {_SCORED}, {_legs(60)}, {_RERANKED} SELECT chunk_id, round(keyword_part, 6) AS keyword_part, round(topic_part, 6) AS topic_part, round(title_part, 6) AS title_part, round(phrase_part, 6) AS phrase_part, round(final_score, 6) AS final_score FROM final")
+def rerank_chunks(spark, d):
+    own, hits = _both(spark, d)
+    return _shown(retrieval.reranked(retrieval.rows_of(hits, own), TERMS, PHRASES), "chunk_id", "keyword_part", "topic_part", "title_part", "phrase_part", "final_score")
+
+
+_ANSWER = f"""{_CHUNKS}, {_DOCS}, {_SCORED}, own AS (SELECT * FROM chunks WHERE user_id = '{USER}'),
+hits AS (SELECT own.*, s.score FROM scored s JOIN own USING (chunk_id) WHERE s.score >= 0.15 ORDER BY s.score DESC, chunk_id LIMIT 8),
+titled AS (SELECT hits.*, d.title AS document_title FROM hits LEFT JOIN docs d USING (document_id)),
+costed AS (SELECT *, row_number() OVER w AS place, sum({_tokens("'[Source] ' || coalesce(document_title, '') || ' ' || coalesce(title, '')")} + {_tokens("text")} + 8) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM titled WINDOW w AS (ORDER BY score DESC, chunk_id))"""
+
+
+def _answer_hits(spark: SparkSession, d: str) -> DataFrame:
+    hits = answers.retrieved(S.chunks(spark, d), S.vectors(spark, d), USER, S.vector_of(spark, d, VECTOR))
+    return answers.titled(hits, S.documents(spark, d))
+
+
+@query(f"WITH {_ANSWER} SELECT chunk_id, document_id, chunk_index, round(score, 6) AS score FROM hits")
+def rag_retrieve(spark, d):
+    return _shown(_answer_hits(spark, d), "chunk_id", "document_id", "chunk_index", "score")
+
+
+@query("SELECT CAST(label AS BIGINT) AS document_id, CAST(vec_id % 7 AS INTEGER) AS chunk_index, max(vec_id % 100) AS score, arg_max(vec_id, (vec_id % 100) * 100000000 - vec_id) AS chunk_id FROM embeddings GROUP BY ALL")
+def dedupe_chunks(spark, d):
+    hits = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("document_id"), (F.col("vec_id") % 7).cast("int").alias("chunk_index"), (F.col("vec_id") % 100).alias("score"))
+    return context.deduplicated(hits).select("document_id", "chunk_index", "score", "chunk_id")
+
+
+@query(f"WITH {_ANSWER} SELECT chunk_id, CAST(place AS INTEGER) AS place, CAST(used AS BIGINT) AS used FROM costed WHERE place = 1 OR used <= 2000")
+def context_budget(spark, d):
+    return context.within_budget(_answer_hits(spark, d), 2000).select("chunk_id", "place", F.col("used").cast("long").alias("used"))
+
+
+_BLOCK = "'[Source ' || place || '] | Document: ' || document_title || ' | Section: ' || title || ' | Topic: ' || topic || ' | Subtopic: ' || subtopic || chr(10) || text"
+
+
+@query(f"WITH {_ANSWER}, t AS (SELECT string_agg({_BLOCK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context, CAST(count(*) AS INTEGER) AS n_sources FROM costed WHERE place = 1 OR used <= 4000) SELECT context, n_sources, {_tokens('context')} AS tokens FROM t")
+def context_text(spark, d):
+    return context.built(_answer_hits(spark, d))
+
+
+@query(f"WITH {_ANSWER} SELECT CAST(place AS INTEGER) AS place, document_id, document_title AS document_name, 'document' AS source_type, chunk_id, chunk_index, round(floor(score * 100 + 0.5) / 100, 6) AS score, content_preview AS highlighted_text, title FROM costed WHERE place = 1 OR used <= 4000")
+def answer_sources(spark, d):
+    cited = context.citations(context.within_budget(context.deduplicated(_answer_hits(spark, d).drop("type"))))
+    return _shown(cited, "place", "document_id", "document_name", "source_type", "chunk_id", "chunk_index", "score", "highlighted_text", "title")
+
+
+@query(f"WITH {_HISTORY} SELECT user_id, event_id, query, {_TIME.format('created_at', 'created_at')} FROM history QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id DESC) <= 20")
+def history_latest(spark, d):
+    return _shown(history.latest(S.history(spark, d)), "user_id", "event_id", "query", "created_at")
+
+
+@query(f"WITH {_HISTORY} SELECT user_id, query, event_id, {_TIME.format('created_at', 'created_at')} FROM history QUALIFY row_number() OVER (PARTITION BY user_id, query ORDER BY created_at DESC, event_id DESC) = 1")
+def history_dedupe(spark, d):
+    return _shown(history.deduplicated(S.history(spark, d)), "user_id", "query", "event_id", "created_at")
+
+
+@query(f"""WITH {_HISTORY}, latest AS (SELECT * FROM history QUALIFY row_number() OVER (PARTITION BY user_id, query ORDER BY created_at DESC, event_id DESC) = 1)
+SELECT user_id, query, event_id, result_count, {_TIME.format('created_at', 'created_at')} FROM latest QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id DESC) <= 20""")
+def history_upsert_trim(spark, d):
+    h = S.history(spark, d)
+    new = F.col("event_id") % 10 == 0
+    return _shown(history.saved(h.where(~new), h.where(new)), "user_id", "query", "event_id", "result_count", "created_at")
+
+
+@query(f"WITH {_HISTORY} SELECT event_id, user_id FROM history WHERE user_id <> 3")
+def history_clear(spark, d):
+    return history.without(S.history(spark, d), user_id=3).select("event_id", "user_id")
+
+
+@query(f"WITH {_HISTORY} SELECT user_id, count(*) AS total_searches, count(*) FILTER (WHERE created_at >= TIMESTAMP '2024-01-30') AS searches_today, CAST(floor(coalesce(avg(result_count), 0) + 0.5) AS BIGINT) AS average_results FROM history GROUP BY user_id")
+def search_stats(spark, d):
+    return history.search_stats(S.history(spark, d), S.AS_OF.replace(day=30, hour=12))
+
+
+@query(f"""WITH {_CHUNKS}, {_DOCS} SELECT user_id, count(*) AS total, count(*) FILTER (WHERE index_status = 'indexed') AS indexed, count(*) FILTER (WHERE index_status = 'failed') AS failed,
+  any_value(n) AS total_chunks FROM docs JOIN (SELECT user_id, count(*) AS n FROM chunks GROUP BY user_id) USING (user_id) GROUP BY user_id""")
+def document_stats(spark, d):
+    return history.document_stats(S.documents(spark, d), S.chunks(spark, d))
+
+
+def _dated(name: str, f: Q.Filter, sql: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _shown(allowed_documents(S.documents(spark, d), USER, f, S.AS_OF), "document_id", "created_at")
+
+    run.__name__ = name
+    query(f"WITH {_CHUNKS}, {_DOCS} SELECT document_id, {_TIME.format('created_at', 'created_at')} FROM docs WHERE user_id = '{USER}' AND index_status = 'indexed' AND {sql}")(run)
+
+
+_dated("date_preset_today", Q.Filter(date="today"), "created_at BETWEEN TIMESTAMP '2024-01-31' AND TIMESTAMP '2024-01-31 23:59:59.999'")
+_dated("date_preset_7d", Q.Filter(date="7d"), "created_at BETWEEN TIMESTAMP '2024-01-24' AND TIMESTAMP '2024-01-31 23:59:59.999'")
+_dated("date_preset_30d", Q.Filter(date="30d"), "created_at BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31 23:59:59.999'")
+_dated("date_preset_custom", Q.Filter(date="custom", date_from="2023-12-01", date_to="2024-01-10"), "created_at BETWEEN TIMESTAMP '2023-12-01' AND TIMESTAMP '2024-01-10'")
+
+
+@query(f"WITH {_CHUNKS}, {_DOCS} SELECT document_id, round(greatest(0, 1 - date_diff('millisecond', created_at, TIMESTAMP '2024-01-31') / 86400000.0::DOUBLE / 90), 6) AS recency FROM docs")
+def recency_score(spark, d):
+    return _shown(S.documents(spark, d).select("document_id", T.recency(F.col("created_at"), T.instant(S.AS_OF)).alias("recency")))
+
+
+@query(f"WITH {_CHUNKS}, {_DOCS} SELECT document_id, title, type, index_status, {_TIME.format('created_at', 'created_at')} FROM docs WHERE user_id = '{USER}'")
+def doc_listing(spark, d):
+    return _shown(S.documents(spark, d).where(F.col("user_id") == USER).orderBy(F.desc("created_at"), "document_id"), "document_id", "title", "type", "index_status", "created_at")
+
+
+@query(f"WITH {_CHUNKS}, {_DOCS} SELECT document_id, title FROM docs WHERE user_id = '{USER}' ORDER BY created_at DESC, document_id LIMIT 20 OFFSET 20")
+def doc_page(spark, d):
+    return S.documents(spark, d).where(F.col("user_id") == USER).orderBy(F.desc("created_at"), "document_id").offset(20).limit(20).select("document_id", "title")
+
+
+@query(f"WITH {_CHUNKS} SELECT chunk_id, chunk_index, title, content_preview FROM chunks WHERE document_id = 12 AND user_id = '{USER}'")
+def chunk_listing(spark, d):
+    return S.chunks(spark, d).where((F.col("document_id") == 12) & (F.col("user_id") == USER)).orderBy("chunk_index").select("chunk_id", "chunk_index", "title", "content_preview")
+
+
+@query(f"SELECT doc_id, {_tokens('text')} AS tokens, CAST(ceil(length(text) / 6 * 1.3) AS INTEGER) AS word_tokens FROM (SELECT doc_id, text FROM documents)".replace("length(text) / 6 * 1.3", "(length(text) // 6) * 1.3"))
+def token_counts(spark, d):
+    return S.read(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"), T.tokens_of_words(F.floor(F.length("text") / 6)).alias("word_tokens"))
+
+
+@query(f"SELECT doc_id, {_preview('text')} AS preview FROM documents")
+def content_preview(spark, d):
+    return S.read(spark, d, "documents").select("doc_id", T.content_preview(F.col("text")).alias("preview"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_flat('text')} AS t FROM documents), a AS (SELECT *, coalesce({', '.join(f"nullif(instr(lower(t), '{t}'), 0)" for t in TERMS)}, 1) - 1 AS anchor FROM f),
+b AS (SELECT *, greatest(0, anchor - 150) AS s0, least(length(t), greatest(0, anchor - 150) + 300) AS e FROM a), c AS (SELECT *, CASE WHEN e - s0 < 200 THEN greatest(0, e - 200) ELSE s0 END AS s FROM b)
+SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || trim(substring(t, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT))) || CASE WHEN e < length(t) THEN '...' ELSE '' END END AS snippet FROM c""")
+def preview_snippet(spark, d):
+    return S.read(spark, d, "documents").select("doc_id", T.preview_snippet(F.col("text"), TERMS).alias("snippet"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\W+')) AS word, generate_subscripts(regexp_split_to_array(lower(text), '\\W+'), 1) AS pos FROM documents),
+n AS (SELECT doc_id, word, count(*) AS n, min(pos) AS pos FROM w WHERE length(word) >= 3 AND word NOT IN ({_STOP}) GROUP BY ALL)
+SELECT doc_id, word, n FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) <= 12""")
+def keyword_topn(spark, d):
+    """Keywords by rows instead of arrays: words are counted with a partial aggregate, then each document's first are kept."""
+    each = S.read(spark, d, "documents").select("doc_id", F.posexplode(T.words(F.col("text"))).alias("at", "word"))
+    n = each.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    first = F.row_number().over(retrieval.Window.partitionBy("doc_id").orderBy(F.desc("n"), "at"))
+    return n.withColumn("r", first).where("r <= 12").select("doc_id", "word", "n")
+
+
+_LINE_TITLE = "substring(split_part(text, chr(10), 1), 1, 80)"
+_FIRST = f"trim(coalesce(nullif(regexp_extract({_flat('text')}, '[^.!?]+[.!?]+'), ''), {_flat('text')}))"
+_SHORT = f"CASE WHEN length({_FIRST}) > 240 THEN trim(substring({_FIRST}, 1, 237)) || '...' ELSE {_FIRST} END"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SHORT} AS short, {_LINE_TITLE} AS title FROM documents) SELECT doc_id, CASE WHEN contains(lower(short), lower(title)) THEN short ELSE title || ': ' || short END AS summary FROM s")
+def summary_sentence(spark, d):
+    return S.chunks(spark, d).select(F.col("chunk_id").alias("doc_id"), T.summary(F.col("text"), F.col("title")).alias("summary"))
+
+
+@query(f"WITH {_CHUNKS} SELECT chunk_id, topic || ',' || subtopic || ',topic' AS tags FROM chunks")
+def chunk_tags(spark, d):
+    none = F.array().cast("array<string>")
+    return S.chunks(spark, d).select("chunk_id", F.array_join(T.tags(F.col("topic"), F.col("subtopic"), F.lit("topic"), none), ",").alias("tags"))
+
+
+@query(f"WITH {_CHUNKS} SELECT chunk_id, concat_ws(chr(10), nullif(title, ''), topic, subtopic, content_preview, tags, nullif(text, '')) AS searchable FROM chunks")
+def searchable_text(spark, d):
+    none = F.array().cast("array<string>")
+    c = F.col
+    return S.chunks(spark, d).select("chunk_id", T.searchable_text(c("title"), c("topic"), c("subtopic"), c("content_preview"), none, none, c("tags"), none, c("text")).alias("searchable"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(substring(text, 1, 60)), '\\s+'), lambda x: length(regexp_replace(x, '[^\\w-]', '', 'g')) >= 2).list_transform(lambda x: regexp_replace(x, '[^\\w-]', '', 'g')), ' ') AS terms FROM documents")
+def query_terms(spark, d):
+    return S.read(spark, d, "documents").select("doc_id", F.array_join(T.query_tokens(F.substring("text", 1, 60)), " ").alias("terms"))
+
+
+_TIDY = "trim(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\s+([.,!?;:])', '\\1', 'g'), '([.,!?;:])+', '\\1', 'g'))"
+_RUNS = f"""{_SEGMENTS}, tidy AS (SELECT video_id, i, {_TIDY} AS text, start_s, end_s FROM segments), kept AS (SELECT * FROM tidy WHERE text <> ''),
+marked AS (SELECT *, CASE WHEN lag(lower(text)) OVER w = lower(text) THEN 0 ELSE 1 END AS new FROM kept WINDOW w AS (PARTITION BY video_id ORDER BY i)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY i) AS run FROM marked),
+deduped AS (SELECT video_id, min(i) AS i, arg_min(text, i) AS text, arg_min(start_s, i) AS start_s, max(end_s) AS end_s FROM numbered GROUP BY video_id, run)"""
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.deduplicated(transcripts.normalized(S.segments(spark, d)))
+
+
+@query(f"WITH {_RUNS} SELECT video_id, i, text, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s FROM deduped")
+def transcript_dedupe(spark, d):
+    return _shown(_turns(spark, d), "video_id", "i", "text", "start_s", "end_s")
+
+
+_FOLD = """rows AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY i) AS r, {size} AS n FROM {source}),
+fold AS (SELECT video_id, r, 0 AS part, {first} AS carried FROM rows WHERE r = 1
+  UNION ALL SELECT x.video_id, x.r, f.part + CASE WHEN {opens} THEN 1 ELSE 0 END, CASE WHEN {opens} THEN x.n ELSE {joined} END FROM fold f JOIN rows x ON x.video_id = f.video_id AND x.r = f.r + 1)"""
+_MERGE = _FOLD.format(size="length(text)", source="deduped", first="n", opens="f.carried + 1 + x.n > 240", joined="f.carried + 1 + x.n")
+_PACK = _FOLD.format(size=_tokens("text"), source="segments", first="n", opens="f.carried >= 512 OR f.carried + x.n > 512", joined="f.carried + x.n")
+
+
+@query(f"WITH RECURSIVE {_RUNS}, {_MERGE} SELECT video_id, CAST(part AS INTEGER) AS i, string_agg(text, ' ' ORDER BY r) AS text, round(min(start_s), 6) AS start_s, round(arg_max(end_s, r), 6) AS end_s FROM fold JOIN rows USING (video_id, r) GROUP BY video_id, part")
+def transcript_merge(spark, d):
+    return _shown(transcripts.merged(_turns(spark, d)), "video_id", "i", "text", "start_s", "end_s")
+
+
+_CLOCK = "CASE WHEN {0} >= 3600 THEN printf('%02d:', CAST(floor({0} / 3600) AS BIGINT)) ELSE '' END || printf('%02d:%02d', CAST(floor({0} % 3600 / 60) AS BIGINT), CAST(floor({0}) % 60 AS BIGINT))"
+
+
+@query(f"""WITH RECURSIVE {_SEGMENTS}, {_PACK}, t AS (SELECT video_id, part, trim(string_agg(text, ' ' ORDER BY r)) AS text, min(start_s) AS a, arg_max(end_s, r) AS b FROM fold JOIN rows USING (video_id, r) GROUP BY video_id, part),
+u AS (SELECT *, {_CLOCK.format('a')} AS s, {_CLOCK.format('b')} AS e FROM t)
+SELECT video_id, CAST(part AS INTEGER) AS chunk_index, text, CASE WHEN s = e THEN s ELSE s || ' - ' || e END AS title, {_tokens('text')} AS token_count, round(a, 6) AS start_s, round(b, 6) AS end_s FROM u""")
+def transcript_pack(spark, d):
+    return _shown(transcripts.packed(S.segments(spark, d)), "video_id", "chunk_index", "text", "title", "token_count", "start_s", "end_s")
+
+
+@query(f"WITH {_RUNS} SELECT video_id, string_agg(text, ' ' ORDER BY i) AS full_text FROM deduped GROUP BY video_id")
+def transcript_text(spark, d):
+    return transcripts.full_text(_turns(spark, d))
+
+
+@query(f"WITH {_SEGMENTS} SELECT video_id, '# Video' || chr(10) || chr(10) || string_agg('[' || printf('%02d:%02d', CAST(floor(start_s / 60) AS BIGINT), CAST(floor(start_s) % 60 AS BIGINT)) || '] ' || text, chr(10) ORDER BY i) AS text FROM segments GROUP BY video_id")
+def transcript_searchable(spark, d):
+    return transcripts.searchable_text(S.segments(spark, d), "Video")
+
+
+@query(f"SELECT event_id, {_CLOCK.format('(value * 50)')} AS clock, CASE WHEN s >= 3600 THEN (s // 3600) || 'h' || CASE WHEN s % 3600 // 60 > 0 THEN ' ' || (s % 3600 // 60) || 'm' ELSE '' END WHEN s >= 60 THEN (s // 60) || 'm' || CASE WHEN s % 60 > 0 THEN ' ' || (s % 60) || 's' ELSE '' END ELSE s || 's' END AS label FROM (SELECT event_id, greatest(value, 0) AS value, event_id % 9000 AS s FROM events)")
+def format_time(spark, d):
+    return S.read(spark, d, "events").select("event_id", T.clock(F.greatest("value", F.lit(0.0)) * 50).alias("clock"), T.duration_label(F.col("event_id") % 9000).alias("label"))
+
+
+@query("SELECT event_id, (CASE WHEN event_id % 2 = 0 THEN event_id % 5 ELSE 0 END) * 3600 + (event_id % 60) * 60 + event_id % 50 AS seconds FROM events")
+def iso_duration(spark, d):
+    n = F.col("event_id")
+    iso = F.concat(F.lit("PT"), F.when(n % 2 == 0, F.concat((n % 5).cast("string"), F.lit("H"))).otherwise(""), (n % 60).cast("string"), F.lit("M"), (n % 50).cast("string"), F.lit("S"))
+    return S.read(spark, d, "events").select("event_id", T.iso_seconds(iso).alias("seconds"))
+
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 3 < 2 AND page_id % 5 < 4 THEN 'abcdefghijk' END AS video_id FROM pages")
+def video_id(spark, d):
+    p = F.col("page_id")
+    code = F.when(p % 3 == 2, F.lit("abcdefghij")).otherwise(F.lit("abcdefghijk"))
+    url = (
+        F.when(p % 5 == 0, F.concat(F.lit("https://www.youtube.com/watch?x=1&v="), code)).when(p % 5 == 1, F.concat(F.lit("https://youtu.be/"), code, F.lit("?t=3")))
+        .when(p % 5 == 2, F.concat(F.lit("http://m.youtube.com/shorts/"), code)).when(p % 5 == 3, F.concat(F.lit("https://YouTube.com/embed/"), code)).otherwise(F.concat(F.lit("https://example.com/watch?v="), code))
+    )
+    return S.read(spark, d, "pages").select("page_id", T.video_id(url).alias("video_id"))
+
+
+@query("SELECT event_id, 'https://www.youtube.com/watch?v=v' || event_id || CASE WHEN value > 0 THEN '&t=' || CAST(floor(value) AS BIGINT) || 's' ELSE '' END AS url FROM events")
+def watch_url(spark, d):
+    return S.read(spark, d, "events").select("event_id", T.watch_url(F.concat(F.lit("v"), F.col("event_id").cast("string")), F.col("value")).alias("url"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '(reti|thea|the|of)', '<mark>\\1</mark>', 'gi') AS marked FROM documents")
+def highlight(spark, d):
+    return S.read(spark, d, "documents").select("doc_id", T.highlighted(F.col("text"), "the Thea of reti x").alias("marked"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_extract(spark, d):
+    return S.read(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("SELECT event_id, 'k ' || event_type AS summary, event_type AS key_points FROM events")
+def summary_json(spark, d):
+    raw = F.concat(F.lit('Here: ```json\n{"summary": "k '), F.col("event_type"), F.lit('", "keyPoints": ["'), F.col("event_type"), F.lit('", 3], "topics": []}\n```'))
+    s = T.summary_json(raw)
+    return S.read(spark, d, "events").select("event_id", s["summary"].alias("summary"), F.array_join(s["key_points"], ",").alias("key_points"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars / 1048576.0 * 10 + 0.5) / 10) END AS size, CASE WHEN length(text) <= 200 THEN text ELSE substring(text, 1, 200) || '...' END AS cut, CAST(floor(least(greatest(doc_id / 900.0::DOUBLE, 0), 1) * 100 + 0.5) AS BIGINT) || '%' AS match FROM documents")
+def display_labels(spark, d):
+    return S.read(spark, d, "documents").select("doc_id", T.file_size_label(F.col("n_chars")).alias("size"), T.cut_text(F.col("text")).alias("cut"), T.percent(F.col("doc_id") / 900).alias("match"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\S\\n]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM documents")
+def clean_spaces(spark, d):
+    """The steps of cleaning that need no Unicode normalisation."""
+    return S.read(spark, d, "documents").select("doc_id", T.trimmed(T.without_repeated_newlines(T.without_extra_spaces(F.col("text")))).alias("text"))
+
+
+@query(f"WITH {_CHUNKS} SELECT chunk_id, document_id FROM chunks WHERE document_id % 10 <> 0 UNION ALL SELECT chunk_id + 1000000000, document_id FROM chunks WHERE document_id % 10 = 0 AND chunk_index < 2")
+def reindex_replace(spark, d):
+    old = S.chunks(spark, d).select("chunk_id", "document_id", "chunk_index")
+    new = old.where("document_id % 10 = 0 and chunk_index < 2").withColumn("chunk_id", F.col("chunk_id") + 1000000000)
+    return tables.replaced(old, new).select("chunk_id", "document_id")
+
+
+@query(f"WITH {_CHUNKS} SELECT chunk_id FROM chunks WHERE NOT (document_id = 4 AND user_id = '{USER}')")
+def delete_cascade(spark, d):
+    return tables.without_document({"chunks": S.chunks(spark, d)}, 4, USER)["chunks"].select("chunk_id")
+
+
+@query("SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+def orphan_vectors(spark, d):
+    return tables.orphans(S.vectors(spark, d), S.chunks(spark, d).where("chunk_id % 3 = 0")).select("chunk_id")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'new' ELSE url END AS url, 'completed' AS state FROM pages UNION ALL SELECT page_id + 1000000, 'new', NULL FROM pages WHERE page_id % 4 = 0")
+def upsert_merge(spark, d):
+    old = S.read(spark, d, "pages").select("page_id", "url", F.lit("completed").alias("state"))
+    some = old.where("page_id % 4 = 0").select("page_id", F.lit("new").alias("url"))
+    return tables.merged(old, some.unionAll(some.withColumn("page_id", F.col("page_id") + 1000000)), ["page_id"])
+
+
+def _structured(spark: SparkSession, d: str) -> DataFrame:
+    """The chunker's chunks of every row of ``documents``."""
+    return chunking.chunked(S.chunks(spark, d).select(F.col("chunk_id").alias("document_id"), "text", "title"))
+
+
+@query()
+def chunk_topics(spark, d):
+    return _structured(spark, d)
+
+
+@query()
+def enrich_chunks(spark, d):
+    return chunking.enriched(_structured(spark, d)).drop("embedding_text", "searchable_text")
+
+
+@query()
+def parent_links(spark, d):
+    return chunking.with_parents(_structured(spark, d)).select("chunk_id", "document_id", "chunk_index", "parent_chunk_id")
+
+
+@query()
+def chunk_ancestors(spark, d):
+    return chunking.ancestors(_structured(spark, d))
+
+
+@query()
+def split_tokens(spark, d):
+    S.read(spark, d, "documents").createOrReplaceTempView("quillmine_split_source")
+    chunking.register(spark)
+    return spark.sql("SELECT doc_id, s.part, s.text FROM quillmine_split_source, LATERAL split_tokens(text) s")
+
+
+@query()
+def clean_text(spark, d):
+    ship(spark)
+    return S.read(spark, d, "documents").select("doc_id", chunking.clean_text(F.col("text")).alias("text"))
+
+
+@query(f"WITH t AS (SELECT line AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) SELECT count(*) AS lines, sum({_tokens('text')}) AS tokens FROM t")
+def line_chunks(spark, d):
+    return S.lines(spark, d).agg(F.count(F.lit(1)).alias("lines"), F.sum(T.token_count(F.col("line"))).alias("tokens"))
