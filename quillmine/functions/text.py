@@ -121,13 +121,6 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"\W+"), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
 
 
-def top_keywords(c: Column, most: int = 12) -> Column:
-    """The most frequent words of one text; of equally frequent ones the earlier."""
-    w = words(c)
-    ranked = F.transform(F.array_distinct(w), lambda x: F.struct((-F.size(F.filter(w, lambda y: y == x))).alias("n"), F.array_position(w, x).alias("at"), x.alias("word")))
-    return F.transform(F.slice(F.array_sort(ranked), 1, most), lambda s: s["word"])
-
-
 def concepts(text: Column, section_path: Column, topic: Column, subtopic: Column) -> Column:
     """Section titles, then 8 identifiers in Pascal case, then 6 terms in backticks; each once, none empty."""
     named = F.slice(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?:[A-Z][a-z]+)+(?![A-Za-z0-9_])"), F.lit(0)), 1, 8)

@@ -12,7 +12,6 @@ from quillmine.functions import text as T
 from quillmine.operators import chunking, context, history, retrieval, tables, transcripts
 from quillmine.plans import answers
 from quillmine.plans.search import allowed_documents, search
-from quillmine.session import ship
 from quillmine.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -506,7 +505,6 @@ def split_tokens(spark, d):
 
 @query()
 def clean_text(spark, d):
-    ship(spark)
     return S.read(spark, d, "documents").select("doc_id", chunking.clean_text(F.col("text")).alias("text"))
 
 
