@@ -17,8 +17,10 @@ from quillmine.llm.totals import total
 BLOCK = 24
 #: Items that one pass over the corpus serves, and dimensions of the latent space beyond their number.
 ITEMS, EXTRA = 256, 64
+#: Terms up to which a task counts pairs of them (64 MB), and keys up to which they are broadcast (8 MB).
+DENSE, FEW_KEYS = 4096, 1_000_000
 #: Terms in a larger share of passages carry no weight, unless an item has fewer than FEW_TERMS others.
-COMMON, FEW_TERMS = 0.05, 3
+COMMON, FEW_TERMS = 0.02, 3
 #: A window is a candidate from this projection on an item (1: it holds all of it), an item found from these shares of its words.
 CANDIDATE, SURE, POSSIBLE, ANSWER = 0.4, 0.8, 0.6, 0.8
 #: Words of one document that are scored at a time, and terms that are gathered at a time.
@@ -90,56 +92,93 @@ def _sums(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _passages(column: pa.Array, terms: _Terms, weight: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(terms, their passage, number of passages) of texts, about GATHER weighted terms at a time."""
+def _packed(ids: np.ndarray, terms: int) -> bytes:
+    return (ids + 1).astype("<u2" if terms < 65_535 else "<u4").tobytes()
+
+
+def _unpacked(held: bytes, terms: int) -> np.ndarray:
+    return np.frombuffer(held, "<u2" if terms < 65_535 else "<u4").astype(np.int32) - 1
+
+
+def tokenized(rows: DataFrame, base: dict[str, int], key: str) -> DataFrame:
+    """(key, ids): the term of each token of every text, two bytes each."""
+    sent = rows.sparkSession.sparkContext.broadcast(base)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms(sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_packed(terms.ids(t.as_py()), len(terms.base)) for t in part.column(1)], pa.binary())], [key, "ids"])
+
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, ids binary")
+
+
+def _passages(batches: Iterator[pa.RecordBatch], terms: int, live: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(terms, their passage, number of passages) of tokenised texts, about GATHER terms at a time; only live terms if given."""
     ids, at, held, n = [], [], 0, 0
-    for value in column:
-        t = terms.ids(value.as_py())
-        p = n + np.arange(len(t)) // (2 * BLOCK)
-        n += -(-len(t) // (2 * BLOCK))
-        keep = t >= 0 if weight is None else (t >= 0) & (weight[t] > 0)
-        ids.append(t[keep])
-        at.append(p[keep])
-        held += len(ids[-1])
-        if held >= GATHER:
-            yield np.concatenate(ids), np.concatenate(at), n
-            ids, at, held, n = [], [], 0, 0
+    for batch in batches:
+        for value in batch.column(0):
+            t = _unpacked(value.as_py(), terms)
+            keep = np.flatnonzero(t >= 0)
+            if live is not None:
+                keep = keep[live[t[keep]]]
+            ids.append(t[keep])
+            at.append(n + keep // (2 * BLOCK))
+            n += -(-len(t) // (2 * BLOCK))
+            held += len(keep)
+            if held >= GATHER:
+                yield np.concatenate(ids), np.concatenate(at), n
+                ids, at, held, n = [], [], 0, 0
     if n:
         yield np.concatenate(ids), np.concatenate(at), n
 
 
-def frequencies(texts: DataFrame, base: dict[str, int]) -> np.ndarray:
+def frequencies(ids: DataFrame, terms: int) -> np.ndarray:
     """In how many passages of all texts each term occurs, and last the number of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-        terms, out = _Terms(base), np.zeros(len(base) + 1, np.int64)
-        for batch in batches:
-            for ids, at, n in _passages(batch.column(0), terms, None):
-                out[:-1] += np.bincount(np.unique(at.astype(np.int64) * len(base) + ids) % len(base), minlength=len(base))
-                out[-1] += n
+        out = np.zeros(terms + 1, np.int64)
+        for i, at, n in _passages(batches, terms, None):
+            out[:-1] += np.bincount(np.unique(at.astype(np.int64) * terms + i) % terms, minlength=terms)
+            out[-1] += n
         return out if out[-1] else None
 
-    return total(texts, run, len(base) + 1)
+    return total(ids, run, terms + 1)
 
 
-def sketch(texts: DataFrame, base: dict[str, int], weight: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """AᵀAΩ over the weighted passages A of all texts."""
-    sent = texts.sparkSession.sparkContext.broadcast((base, weight.astype(np.float32), (omega * weight[:, None]).astype(np.float32)))
+def sketch(ids: DataFrame, weight: np.ndarray, omega: np.ndarray) -> np.ndarray:
+    """AᵀAΩ over the weighted passages A of all texts.
+
+    Up to DENSE terms a task counts how often each two terms share a passage and multiplies once; beyond, it projects
+    each passage.
+    """
+    terms = len(weight)
+    sent = ids.sparkSession.sparkContext.broadcast((weight, omega * weight[:, None]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
-        base, weight, test = sent.value
-        terms, out, some = _Terms(base), np.zeros(test.shape, np.float64), False
-        for batch in batches:
-            for ids, at, n in _passages(batch.column(0), terms, weight):
-                some = True
-                for k in range(0, len(ids), 2 * GATHER):
-                    i, a = ids[k : k + 2 * GATHER], at[k : k + 2 * GATHER]
-                    y = _sums(test[i], a - a[0], int(a[-1] - a[0]) + 1)
-                    order = np.argsort(i, kind="stable")
-                    out += _sums(y[(a - a[0])[order]], i[order], len(weight))
+        weight, test = sent.value
+        shared = np.zeros(terms * terms if terms <= DENSE else 0, np.int32)
+        out, some = np.zeros(test.shape), False
+        for i, at, n in _passages(batches, terms, weight > 0):
+            some = True
+            if terms <= DENSE:
+                for d in range(2 * BLOCK):
+                    same = np.flatnonzero(at[: len(at) - d] == at[d:])
+                    if not len(same):
+                        break
+                    np.add.at(shared, i[same].astype(np.int64) * terms + i[same + d], 1)
+            elif len(i):
+                y = _sums(test[i], at - at[0], int(at[-1] - at[0]) + 1)
+                order = np.argsort(i, kind="stable")
+                out += _sums(y[(at - at[0])[order]], i[order], terms)
+        if some and terms <= DENSE:
+            c = shared.reshape(terms, terms).astype(np.float32)
+            t = test.astype(np.float32)
+            out = (c @ t).astype(np.float64) + c.T @ t - np.diagonal(c)[:, None] * test
         return out * weight[:, None] if some else None
 
-    return total(texts, run, omega.size, "float64").reshape(omega.shape)
+    return total(ids, run, omega.size, "float64").reshape(omega.shape)
 
 
 def right_vectors(gram_sketch: np.ndarray, omega: np.ndarray) -> np.ndarray:
@@ -154,23 +193,22 @@ def right_vectors(gram_sketch: np.ndarray, omega: np.ndarray) -> np.ndarray:
     return (q @ u[:, s > 1e-9 * max(s[0], 1e-300)]).T
 
 
-def _model(texts: DataFrame, items: list[Item], seed: int) -> tuple[dict[str, int], np.ndarray]:
-    """The terms of these items, and for each term what it adds to a passage's projection on each item."""
-    base = {w: i for i, w in enumerate(dict.fromkeys(w for x in items for w in x.words))}
-    df = frequencies(texts, base)
+def _model(ids: DataFrame, base: dict[str, int], items: list[Item], seed: int) -> np.ndarray:
+    """For each term, what it adds to a passage's projection on each item."""
+    df = frequencies(ids, len(base))
     n = max(1, int(df[-1]))
     common = df[:-1] > COMMON * n
     of = [np.array([base[w] for w in x.words], np.int64) for x in items]
-    for ids in of:
-        if len(set(ids[~common[ids]].tolist())) < FEW_TERMS:
-            common[ids] = False
+    for own_ids in of:
+        if len(set(own_ids[~common[own_ids]].tolist())) < FEW_TERMS:
+            common[own_ids] = False
     weight = np.where(common, 0.0, np.log((1 + n) / (1 + df[:-1])) + 1e-3)
     own = np.zeros((len(items), len(base)))
-    for k, ids in enumerate(of):
-        np.add.at(own[k], ids, weight[ids])
+    for k, own_ids in enumerate(of):
+        np.add.at(own[k], own_ids, weight[own_ids])
     rank = min(len(base), len(items) + EXTRA)
     omega = np.random.default_rng(seed).standard_normal((len(base), rank))
-    of_corpus = sketch(texts, base, weight, omega)
+    of_corpus = sketch(ids, weight, omega)
     of_items = own.T @ (own @ omega)
     # the items are passages too; together they weigh as much as the corpus, so that the space holds their rare terms
     more = max(1.0, float(np.linalg.norm(of_corpus)) / max(float(np.linalg.norm(of_items)), 1e-300))
@@ -178,29 +216,45 @@ def _model(texts: DataFrame, items: list[Item], seed: int) -> tuple[dict[str, in
     latent = own @ v.T
     size = (latent * latent).sum(axis=1)
     adds = (weight[:, None] * v.T) @ latent.T / np.where(size > 0, size, np.inf)
-    return base, adds.astype(np.float32)
+    return adds.astype(np.float32)
 
 
-def find(ws: list[str], ids: np.ndarray, adds: np.ndarray, live: np.ndarray, items: list[Item]) -> list[tuple[int, float, float, int, int]]:
-    """The items found in one text: (item, projection, share of its words, first word, end), the best place of each."""
-    best: dict[int, tuple[int, float, float, int, int]] = {}
+def candidates(ids: np.ndarray, adds: np.ndarray, top: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(first token, item, projection) of the windows of one text that reach CANDIDATE.
+
+    ``top`` is the most that a term adds to any item; windows whose sum of these is less cannot reach it.
+    """
     for start in range(0, max(1, len(ids)), PIECE):
         lo = max(0, start - BLOCK)
         t = ids[lo : start + PIECE]
-        keep = np.flatnonzero((t >= 0) & live[t])
+        keep = np.flatnonzero(t >= 0)
+        keep = keep[top[t[keep]] > 0]
         if not len(keep):
             continue
-        blocks = _sums(adds[t[keep]], keep // BLOCK, -(-len(t) // BLOCK) + 1)
-        windows = blocks[:-1] + blocks[1:]
-        for w, k in zip(*np.nonzero(windows >= CANDIDATE), strict=True):
-            x, score = items[k], float(windows[w, k])
-            at = lo + int(w) * BLOCK
-            a, b = max(0, at - len(x.words)), min(len(ws), at + 2 * BLOCK + len(x.words))
-            region = ws[a:b]
-            share = lcs(x.words, region) / len(x.words)
-            if share >= SURE or share >= POSSIBLE and x.answer and lcs(x.answer, region) >= ANSWER * len(x.answer):
-                if k not in best or (share, score) > (best[k][2], best[k][1]):
-                    best[k] = (int(k), score, share, a, b)
+        n, block = -(-len(t) // BLOCK) + 1, keep // BLOCK
+        most = np.bincount(block, top[t[keep]], n)
+        hot = most[:-1] + most[1:] >= CANDIDATE
+        if not hot.any():
+            continue
+        used = np.r_[hot, False] | np.r_[False, hot]
+        keep, block = keep[used[block]], block[used[block]]
+        sums = _sums(adds[t[keep]], block, n)
+        windows = sums[:-1] + sums[1:]
+        for w, k in zip(*np.nonzero((windows >= CANDIDATE) & hot[:, None]), strict=True):
+            yield lo + int(w) * BLOCK, int(k), float(windows[w, k])
+
+
+def find(ws: list[str], ids: np.ndarray, adds: np.ndarray, top: np.ndarray, items: list[Item]) -> list[tuple[int, float, float, int, int]]:
+    """The items found in one text: (item, projection, share of its words, first word, end), the best place of each."""
+    best: dict[int, tuple[int, float, float, int, int]] = {}
+    for at, k, score in candidates(ids, adds, top):
+        x = items[k]
+        a, b = max(0, at - len(x.words)), min(len(ws), at + 2 * BLOCK + len(x.words))
+        region = ws[a:b]
+        share = lcs(x.words, region) / len(x.words)
+        if share >= SURE or share >= POSSIBLE and x.answer and lcs(x.answer, region) >= ANSWER * len(x.answer):
+            if k not in best or (share, score) > (best[k][2], best[k][1]):
+                best[k] = (k, score, share, a, b)
     return [best[k] for k in sorted(best)]
 
 
@@ -213,6 +267,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Terms are the words of the items. Passages of all texts give their document frequencies and, in a second pass, the
     randomised singular value decomposition of the TF-IDF matrix; a third pass searches all windows of all texts.
+    Terms of more than a share COMMON of passages carry no weight, as words of all texts say nothing about an item.
     Projections are linear, so a term's part in each item's cosine is a table and a window adds up its rows; it is
     scaled by the item alone, as a window holds other words too.
 
@@ -220,51 +275,64 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     repeated documents are searched each; repeated items are returned each; empty tables give an empty result; a null
     key stays null; other columns are not read.
 
-    Items are taken ITEMS at a time from a driver-side iterator, so that what is broadcast is bounded by the texts of
-    ITEMS items; each such block passes over the corpus three times. Texts are not shuffled.
+    Items are taken ITEMS, or DENSE terms, at a time from a driver-side iterator, which bounds what is broadcast; each
+    such block reads the texts once and their terms three times, and reads again the texts that have a candidate. Keys of
+    these are broadcast up to FEW_KEYS; beyond, texts are joined by a shuffle.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows, texts = docs.select(key, text), docs.select(text)
+    rows = docs.select(key, text)
     kind, item_kind = rows.schema[0].dataType.simpleString(), benchmark.schema[item_key].dataType
     schema = f"`{key}` {kind}, at int, projection double, share double, first int, end int"
     out = None
     chosen = benchmark.select(F.col(item_key), F.col(item_text), F.col(answer) if answer else F.lit(None).cast("string"))
-    block: list[Item] = []
 
     def searched(items: list[Item], seed: int) -> DataFrame:
-        base, adds = _model(texts, items, seed)
-        sent = spark.sparkContext.broadcast((base, adds, items))
+        base = {w: i for i, w in enumerate(dict.fromkeys(w for x in items for w in x.words))}
+        ids = cut(tokenized(rows, base, key))
+        adds = _model(ids.select("ids"), base, items, seed)
+        sent = spark.sparkContext.broadcast((base, adds, adds.clip(0).max(axis=1), items))
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            base, adds, top, _ = sent.value
+            for batch in batches:
+                hit = [next(candidates(_unpacked(t.as_py(), len(base)), adds, top), None) is not None for t in batch.column(1)]
+                yield batch.filter(pa.array(hit, pa.bool_())).select([0])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            base, adds, items = sent.value
-            terms, live = _Terms(base), np.abs(adds).max(axis=1) > 0
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            base, adds, top, items = sent.value
+            terms = _Terms(base)
             for batch in batches:
-                rows, found = [], []
+                at, found = [], []
                 for i, value in enumerate(batch.column(1)):
                     t = value.as_py()
-                    ids = terms.ids(t)
-                    if ((ids >= 0) & live[ids]).any():
-                        hits = find(tokens(t), ids, adds, live, items)
-                        rows += [i] * len(hits)
-                        found += hits
+                    hits = find(tokens(t), terms.ids(t), adds, top, items)
+                    at += [i] * len(hits)
+                    found += hits
                 cols = list(zip(*found, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32()), strict=True)]], [key, "at", "projection", "share", "first", "end"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32()), strict=True)]], [key, "at", "projection", "share", "first", "end"])
 
-        hits = rows.mapInArrow(run, schema)
+        picked = cut(ids.mapInArrow(pick, f"`{key}` {kind}").distinct()).withColumnRenamed(key, "picked")
+        picked = F.broadcast(picked) if picked.count() <= FEW_KEYS else picked
+        hits = rows.join(picked, F.col(key).eqNullSafe(F.col("picked")), "left_semi").mapInArrow(verify, schema)
         names = spark.createDataFrame([(i, x.key) for i, x in enumerate(items)], f"at int, `{item_key}` {item_kind.simpleString()}")
         return cut(hits.join(F.broadcast(names), "at").select(key, item_key, "projection", "share", "first", "end"))
 
-    seed = 0
+    block: list[Item] = []
+    seen: set[str] = set()
+    n_blocks = 0
     for r in chosen.orderBy(item_key, item_text).toLocalIterator():
         x = item(r[0], r[1], r[2])
-        if x.words:
-            block.append(x)
-        if len(block) == ITEMS:
-            done = searched(block, seed)
-            out, block, seed = done if out is None else out.unionAll(done), [], seed + 1
+        if not x.words:
+            continue
+        if block and (len(block) == ITEMS or len(seen | set(x.words)) > DENSE):
+            done = searched(block, n_blocks)
+            out, block, seen = done if out is None else out.unionAll(done), [], set()
+            n_blocks += 1
+        block.append(x)
+        seen |= set(x.words)
     if block:
-        done = searched(block, seed)
+        done = searched(block, n_blocks)
         out = done if out is None else out.unionAll(done)
     if out is None:
         return spark.createDataFrame([], f"`{key}` {kind}, `{item_key}` {item_kind.simpleString()}, projection double, share double, first int, end int")
