@@ -200,13 +200,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, key: s
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, end - i).columns, pa.array([model.value.perplexity(t) for t in texts], pa.float64())], names)
 
     scored = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("perplexity", DoubleType()))
-    narrow = cut(docs.select(key, lang, text).join(keys, key, "left_semi").transform(lambda d: _scored(d, model, text)).select(F.col(lang).alias("l"), "perplexity").where("perplexity is not null"))
+    narrow = cut(docs.select(key, lang, text).join(keys, key, "left_semi").transform(lambda d: _scored(d, model, text)).select(F.col(lang).alias("of_language"), "perplexity").where("perplexity is not null"))
     q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
     everywhere = narrow.agg(q.alias("t")).first()["t"]
-    own = narrow.groupBy("l").agg(F.count(F.lit(1)).alias("n"), q.alias("threshold")).where(F.col("n") >= LEAST).select("l", "threshold")
+    own = narrow.groupBy("of_language").agg(F.count(F.lit(1)).alias("n"), q.alias("threshold")).where(F.col("n") >= LEAST).select("of_language", "threshold")
     own = cut(own)
     own = F.broadcast(own) if own.count() <= FEW_LANGS else own
-    joined = scored.join(own, F.col(lang).eqNullSafe(F.col("l")), "left").drop("l")
+    joined = scored.join(own, scored[lang].eqNullSafe(own["of_language"]), "left").drop(own["of_language"])
     bound = F.coalesce("threshold", F.lit(everywhere).cast("double"))
     return joined.withColumn("threshold", bound).withColumn("good", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
@@ -19,8 +19,8 @@ from quillmine.llm.totals import total
 #: Hashed n-grams of 1 to LONGEST characters, characters of a text that are counted at a time.
 BITS, LONGEST, PIECE = 15, 3, 1 << 20
 SIZE = 1 << BITS
-#: The bound of the labelled sample: rows a language and languages.
-FIT_ROWS, FIT_LANGS = 1500, 256
+#: The bound of the labelled sample: rows a language (in the mean) and languages; hashes run below SPAN.
+FIT_ROWS, FIT_LANGS, SPAN = 1500, 256, 1 << 30
 #: FTRL: learning rate, smoothing, elastic-net penalties, rounds over the sample.
 ALPHA, BETA, L1, L2, ROUNDS = 0.3, 1.0, 0.02, 0.05, 3
 _LETTER = regex.compile(r"\p{L}")
@@ -121,9 +121,9 @@ def train(rows: Sequence[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id") -> Model:
     """Learn from a table of texts with known language.
 
-    The document frequencies of all its n-grams are counted. Weights and temperature are fitted on FIT_ROWS rows of
-    each language, those of the smallest hash of ``order``; the driver gets their n-gram counts. More than FIT_LANGS
-    languages are an error.
+    The document frequencies of all its n-grams are counted. Weights and temperature are fitted on about FIT_ROWS rows
+    of each language, those of the smallest hashes of ``order``; the driver gets their n-gram counts. More than
+    FIT_LANGS languages are an error.
     """
     ship(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull())
@@ -140,13 +140,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
 
     df = total(known.select(text), frequencies, SIZE + 1)
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
-    h = F.xxhash64(order)
-    first = Window.partitionBy(lang).orderBy(h, order)
-    chosen = known.where(F.col(order).isNotNull()).select(order, lang).withColumn("r", F.row_number().over(first)).where(F.col("r") <= FIT_ROWS).select(order).distinct()
-    n = known.select(lang).distinct().limit(FIT_LANGS + 1).count()
-    if n > FIT_LANGS:
+    of_lang = known.groupBy(lang).count().limit(FIT_LANGS + 1).collect()
+    if len(of_lang) > FIT_LANGS:
         raise ValueError(f"more than {FIT_LANGS} languages")
-    rows = known.select(order, lang, text).join(F.broadcast(chosen), order)  # FIT_ROWS x FIT_LANGS keys at most
+    h = F.xxhash64(order)
+    bounds = docs.sparkSession.createDataFrame([(r[0], int(SPAN * min(1.0, FIT_ROWS / r["count"]))) for r in of_lang], f"fit_lang {docs.schema[lang].dataType.simpleString()}, bound long")
+    rows = known.where(F.col(order).isNotNull()).select(order, lang, text).join(F.broadcast(bounds), F.col(lang) == F.col("fit_lang")).where(F.pmod(h, F.lit(SPAN)) < F.col("bound"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

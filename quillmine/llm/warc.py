@@ -20,10 +20,10 @@ def canonical_url(url: Column) -> Column:
 
 
 def lower_names(headers: Column) -> Column:
-    """A header map with lower-case names; of names that differ in case alone the last stays. Null becomes empty."""
-    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]))
-    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
+    """A header map with lower-case names; of names that differ in case alone the one that sorts last stays. Null becomes empty."""
+    entries = F.map_entries(headers)
+    kept = F.filter(entries, lambda e: ~F.exists(entries, lambda x: (F.lower(x["key"]) == F.lower(e["key"])) & (x["key"] > e["key"])))
+    return F.coalesce(F.map_from_entries(F.transform(kept, lambda e: F.struct(F.lower(e["key"]), e["value"]))), F.create_map().cast("map<string,string>"))
 
 
 def resolve(records: DataFrame) -> DataFrame:

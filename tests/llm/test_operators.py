@@ -1,0 +1,554 @@
+"""Each operator against a plain version, and over awkward tables: nulls, empty and long texts, ties, repeats, no rows, other columns."""
+
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from quillmine.llm import bpe, common, kneser_ney, langid, latent, minhash, pivots, sharding, shingles, toxicity, urls, warc
+
+WORDS = [a + b for a in ("an", "the", "ing", "ed", "or", "sh", "ti", "on") for b in ("re", "al", "en", "is", "ou", "nd")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def odd_docs(spark, texts=()):
+    """Documents with nulls, empty, blank and long texts, repeated rows and columns whose names operators use inside."""
+    rng = random.Random(1)
+    long = prose(rng, 30_000)
+    rows = [(None, "no id", "en"), (1, None, "en"), (2, "", None), (3, " \n\t", "fr"), (4, "x" * 70_000, "en"), (5, long, "en"), (6, "same row", "de"), (6, "same row", "de"), (7, "🎉 \u0000 ﬁ", "en"), *texts]
+    return spark.createDataFrame([(*r, 1, "a", "b", "c", 0.5) for r in rows], "doc_id long, text string, lang string, label int, id string, c string, k string, score double")
+
+
+# components
+
+
+@pytest.mark.parametrize("native", [False, True])
+def test_components(spark, native):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(40)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(5, None), (7, 7), (3, 4)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            ra, rb = sorted((find(a), find(b)))
+            root[rb] = ra
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "x long, y long"), "x", "y", native).collect()}
+    assert got == {n: find(n) for n in root}
+    assert common.components(spark.createDataFrame([], "x long, y long"), "x", "y", native).count() == 0
+
+
+# 1
+
+
+def test_revisits(spark):
+    rng = random.Random(3)
+    urls_, rows = ["http://A.com:80/x#f", "https://a.com/x", "http://b.org", "http://b.org/?q", None, "nonsense"], []
+    for i in range(400):
+        kind = rng.choice(["response", "revisit", "request"])
+        head = {k: v for k, v in (("ETag", rng.choice(['"1"', '"2"', 'W/"1"', None])), ("Last-Modified", rng.choice(["m1", "m2", None])), ("Date", str(i)), ("Set-Cookie", "s"), ("DATE", "later")) if v}
+        rows.append((i, kind, rng.choice(urls_), rng.choice([None, *range(20)]), rng.choice([head, head, None]), f"d{i}", "extra"))
+    rows.append((500, "revisit", "http://a.com/x", 10, {"etag": '"1"'}, None, "extra"))
+    rows.append((500, "revisit", "http://a.com/x", 10, {"etag": '"1"'}, None, "extra"))
+    got = warc.resolve(spark.createDataFrame(rows, "record_id long, kind string, url string, ts long, headers map<string,string>, digest string, part string")).collect()
+    name = {"http://A.com:80/x#f": "a.com/x", "http://a.com/x": "a.com/x", "https://a.com/x": "a.com/x", "http://b.org": "b.org/", "http://b.org/?q": "b.org/?q"}
+    want = []
+    lower = lambda h: {k.lower(): v for k, v in sorted((h or {}).items())}
+    for r in (r for r in rows if r[1] == "revisit"):
+        before = [x for x in rows if x[1] == "response" and r[3] is not None and x[3] is not None and name.get(r[2]) and name.get(x[2]) == name[r[2]] and x[3] < r[3]]
+        best = max(before, key=lambda x: (x[3], x[0]), default=None)
+        mine, old = lower(r[4]), lower(best[4]) if best else {}
+        outcome = "no_response" if not best else "unvalidated"
+        for v in ("etag", "last-modified") if best else ():
+            if v in mine and v in old:
+                outcome = "resolved" if mine[v].removeprefix("W/") == old[v].removeprefix("W/") else "mismatch"
+                break
+        merged = old | {k: v for k, v in mine.items() if k in warc.PERMITTED} if outcome == "resolved" else None
+        want.append((r[0], outcome, best[0] if best else None, best[5] if outcome == "resolved" else None, sorted(merged.items()) if merged is not None else None))
+    key = lambda t: str(t)
+    assert sorted(((r["record_id"], r["outcome"], r["response_id"], r["digest"], sorted(r["headers"].items()) if r["headers"] is not None else None) for r in got), key=key) == sorted(want, key=key)
+    assert warc.resolve(spark.createDataFrame([], "record_id long, kind string, url string, ts long, headers map<string,string>, digest string")).count() == 0
+
+
+# 2
+
+RULES = [urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/")]
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "path", "rule", "verdict"),
+    [
+        ("http://A.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/", "allow"), ("https://x.net", "x.net", "", None, "allow"), ("https://x.net/", "x.net", "/", "net/", "block"),
+        ("http://notexample.com/de/1", "notexample.com", "/de/1", None, "allow"), ("http://m.example.com/de/1", "m.example.com", "/de/1", "example.com/de/", "block"), (None, "", "", None, "allow"),
+        ("no scheme", "", "", None, "allow"), ("a://b://c/d", "b:", "//c/d", None, "allow"), ("http://É.org/fr/?q", "É.org", "/fr/", "org/fr/", "allow"), ("http://h?q/r", "h", "", None, "allow"),
+    ],
+)
+def test_url_parts_and_rules(spark, url, host, path, rule, verdict):
+    r = urls.judge(spark.createDataFrame([(1, url, None, "z")], "page_id long, url string, html string, node string"), RULES).first()
+    assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
+
+
+def test_aliases(spark):
+    link = lambda u: f"<LINK href='{u}' REL=canonical>"
+    pages = [
+        (1, "http://bad.net/a", None), (2, "http://alias.com/1", link("http://bad.net/a")), (3, "http://alias.com/2", '<meta http-equiv="refresh" content="0; URL=/1">'), (3, "http://alias.com/2#top", ""),
+        (4, "http://free.com/1", link("http://gone.net/x")), (5, "http://free.com/2", link("//free.com/1")), (6, "http://free.com/2", link("http://x.org/fr/1")), (7, "http://other.com/", "<p>"),
+        (8, "http://example.net/en/z", link("http://bad.net/a")), (9, None, link("http://bad.net/a")),
+    ]
+    got = [(r["page_id"], r["verdict"]) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).orderBy("page_id").collect()]
+    # the group of bad.net/a also holds an explicitly allowed url, so its aliases are allowed; so is that of x.org/fr/1
+    assert got == [(1, "block"), (2, "allow"), (3, "allow"), (3, "allow"), (4, "allow"), (5, "allow"), (6, "allow"), (7, "allow"), (8, "allow"), (9, "allow")]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame([p for p in pages if p[0] not in (6, 8)], "page_id long, url string, html string"), RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 7: "allow", 9: "allow"}
+    more = spark.createDataFrame([("http://other.com", "http://bad.net/a")], "src string, dst string")
+    assert urls.judge(spark.createDataFrame(pages[7:8], "page_id long, url string, html string"), RULES, more).first()["verdict"] == "block"
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
+
+
+# 3
+
+
+def test_pivots(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((40, 16))
+    x = [base[i % 40] + rng.standard_normal(16) * rng.choice([0, 0.05, 0.1, 0.3]) * np.linalg.norm(base[i % 40]) / 4 for i in range(900)]
+    rows = [(i, [float(np.float32(v)) for v in x[i]], i % 3) for i in range(900)]
+    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, rows[0][1], None), (905, rows[0][1][:8], 0), (906, [], 0), (907, [float("inf")] + [1.0] * 15, 0), (908, [v * 1e30 for v in rows[0][1]], 0)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "vec_id long, embedding array<double>, label int, component string")
+    got = {r["vec_id"]: r for r in pivots.link(df).collect()}
+    assert len(got) == len(rows)
+    good = [r for r in rows if r[2] is not None and r[1] and all(v is not None and math.isfinite(v) for v in r[1]) and any(r[1])]
+    unit = {r[0]: np.array(r[1]) / np.abs(r[1]).max() for r in good}
+    unit = {k: v / np.linalg.norm(v) for k, v in unit.items()}
+    links = {r[0]: [s[0] for s in good if s[0] != r[0] and s[2] == r[2] and len(s[1]) == len(r[1]) and float(unit[r[0]] @ unit[s[0]]) >= 0.93] for r in good}
+    total, found = sum(map(len, links.values())), sum(r["n_links"] for r in got.values())
+    assert total > 1000 and 0.99 * total <= found <= total
+    for r in rows:
+        reach, todo = {r[0]}, [r[0]]
+        while todo:
+            for n in links.get(todo.pop(), ()):
+                if n not in reach:
+                    reach.add(n)
+                    todo.append(n)
+        assert got[r[0]]["component_id"] == min(reach) and got[r[0]]["kept"] == (min(reach) == r[0])
+    assert pivots.link(df.where("false")).count() == 0
+
+
+def test_pivots_repeats_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    x = np.ones((100, 8)) + rng.standard_normal((100, 8)) * 0.01
+    rows = [(i, x[i].tolist(), 1) for i in range(100)] + [(7, x[7].tolist(), 1), (None, x[8].tolist(), 1)]
+    got = pivots.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == 102 and {r["n_links"] for r in got} == {101} and {r["component_id"] for r in got} == {0}
+
+
+# 4
+
+
+def toxic_rows(rng, n):
+    bad = ["pathetic", "worthless", "disgusting", "moron"]
+    out = []
+    for i in range(n):
+        ws = prose(rng, rng.randint(20, 200)).split()
+        if i % 4 == 0:
+            for _ in range(3):
+                ws.insert(rng.randint(0, len(ws)), rng.choice(bad))
+        out.append((" ".join(ws), int(i % 4 == 0)))
+    return out
+
+
+def test_toxicity_finds_held_out(spark):
+    rows = toxic_rows(random.Random(6), 1200)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels).withColumn("out", toxicity.held_out("doc_id", 5, 0)).collect()
+    for r in got:
+        assert r["out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["toxic_score"] <= 1
+    held = [r for r in got if r["out"]]
+    assert sum((r["toxic_score"] >= 0.5) == bool(rows[r["doc_id"]][1]) for r in held) >= 0.95 * len(held)
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id", 5, 0), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(docs, flipped).collect()}
+    assert again == {r["doc_id"]: r["toxic_score"] for r in got}  # labels of held-out rows play no part
+
+
+def test_toxicity_odd(spark):
+    docs = odd_docs(spark)
+    rows = toxicity.score(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(rows) == 9 and {r["toxic_score"] for r in rows} == {0.0} and rows[0].asDict().keys() >= {"score", "label", "k"}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, None), (None, 1), (3, 1), (3, 0)], "doc_id long, toxic int")
+    more = odd_docs(spark, [(i, t, "en") for i, (t, _) in enumerate(toxic_rows(random.Random(7), 60), 10)])
+    rows = toxicity.score(more, labels).collect()
+    assert len(rows) == 69 and all(0 <= r["toxic_score"] <= 1 for r in rows)
+    assert toxicity.score(docs.where("false"), labels).count() == 0
+
+
+# 5
+
+
+def near_copies(rng):
+    texts = []
+    for _ in range(60):
+        ws = prose(rng, rng.randint(30, 300)).split()
+        for _ in range(rng.randint(1, 6)):
+            copy = list(ws)
+            for _ in range(rng.choice([0, 1, 2, 3, 6])):
+                copy[rng.randrange(len(copy))] = rng.choice("qrstuv") * 5
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(8)
+    texts = [*near_copies(rng), "One two", "one  TWO", "one two three", "", None, "  ", prose(rng, 20_000)]
+    rows = [*((i, t) for i, t in enumerate(texts)), (0, texts[0]), (None, texts[1])]
+    docs = spark.createDataFrame([(*r, "z", "y") for r in rows], "doc_id long, text string, c string, id string")
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    counts, n = minhash.document_frequencies(docs)
+    assert n == sum(bool((t or "").split()) for _, t in rows)
+    idf = minhash.idf_table(counts, n)
+    sets = [minhash.weighted(t, idf) if shingles.words(t) else None for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and minhash.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = sorted([(i, find(i)) for i in range(len(texts))] + [(0, find(0))])
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == want
+    (lost,) = [r for r in got if r["doc_id"] is None]
+    assert lost["component_id"] is None and lost["kept"]
+    assert len({w for _, w in want}) < len(texts) - 50
+    assert minhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_a_large_group_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(9)
+    ws = prose(rng, 120).split()
+    texts = []
+    for _ in range(150):  # pairs of them lie on both sides of the threshold
+        copy = list(ws)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            copy[rng.randrange(len(copy))] = "".join(rng.choice("abcdef") for _ in range(6))
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = minhash.idf_table(*minhash.document_frequencies(docs))
+    sets = [minhash.weighted(t, idf) for t in texts]
+    reach, todo = {0}, [0]
+    while todo:
+        i = todo.pop()
+        for j in range(len(texts)):
+            if j not in reach and minhash.similarity(sets[i], sets[j]) >= 0.8:
+                reach.add(j)
+                todo.append(j)
+    got = {r["doc_id"] for r in minhash.near_duplicates(docs).where("component_id = 0").collect()}
+    assert len(reach) > 30 and got == reach
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(10)
+    s = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    w = rng.uniform(1, 4, len(s)).astype(np.float32)
+    agree, true = 0, 0.0
+    for k in range(60):
+        a, b = np.arange(len(s)) < 300, np.arange(len(s)) >= 60
+        t = s * np.uint64(2 * k + 1)
+        o = np.argsort(t)
+        one, two = (t[o][a[o]], w[o][a[o]]), (t[o][b[o]], w[o][b[o]])
+        x = minhash.sketch([one, two])
+        agree += int((x[0] == x[1]).sum())
+        true = minhash.similarity(one, two)
+    assert agree / (60 * minhash.SAMPLES) == pytest.approx(true, abs=0.04)
+
+
+# 6
+
+
+def test_decontamination(spark):
+    rng = random.Random(11)
+    items = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) if rng.random() < 0.5 else rng.choice(WORDS) for _ in range(rng.randint(15, 60))) + "." for _ in range(30)]
+    texts, held = [], set()
+    for i in range(150):
+        ws = prose(rng, rng.randint(40, 400)).split()
+        if i % 3 == 0:
+            k = rng.randrange(len(items))
+            part = items[k].split()
+            if i % 2:  # a paraphrase: every tenth word is another
+                part = [rng.choice(WORDS) if j % 10 == 9 else w for j, w in enumerate(part)]
+            at = rng.randint(0, len(ws))
+            ws[at:at] = part
+            held.add((i, k))
+        texts.append(" ".join(ws))
+    docs = odd_docs(spark, [(100 + i, t, "en") for i, t in enumerate(texts)] + [(100, texts[0], "en"), (None, texts[0], "en")])
+    bench = spark.createDataFrame([(k, t, "x") for k, t in enumerate(items)] + [(40, "", "x"), (41, None, "x"), (42, "the the the the the", "x")], "item_id long, text string, doc_id string")
+    got = [(r["doc_id"], r["item_id"]) for r in latent.contaminated(docs, bench).collect()]
+    want = [(100 + i, k) for i, k in held]
+    assert sorted(got, key=str) == sorted([*want, *[w for w in want if w[0] == 100], *[(None, k) for i, k in held if i == 0]], key=str)
+    assert latent.contaminated(docs.where("false"), bench).count() == 0
+    assert latent.contaminated(docs, bench.where("false")).count() == 0
+
+
+def test_items_in_blocks_and_many_terms(spark, monkeypatch):
+    monkeypatch.setattr(latent, "ITEMS", 2)
+    monkeypatch.setattr(latent, "DENSE", 30)
+    rng = random.Random(12)
+    items = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(20)) for _ in range(5)]
+    docs = spark.createDataFrame([(k, f"{prose(rng, 50)} {items[k]} {prose(rng, 50)}") for k in range(5)] + [(9, prose(rng, 100))], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in latent.contaminated(docs, bench).collect()) == [(k, k) for k in range(5)]
+
+
+def test_decomposition():
+    rng = np.random.default_rng(13)
+    a = rng.standard_normal((300, 12)) @ np.diag(2.0 ** -np.arange(12)) @ rng.standard_normal((12, 40))
+    omega = rng.standard_normal((40, 20))
+    v = latent.right_vectors(a.T @ (a @ omega), omega)
+    assert np.allclose(v @ v.T, np.eye(len(v)), atol=1e-6)
+    assert np.linalg.norm(a - a @ v.T @ v) < 1e-3 * np.linalg.norm(a)
+
+
+def test_lcs_and_answer():
+    rng = random.Random(14)
+    for _ in range(50):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert latent.lcs(a, b) == t[-1][-1]
+    assert latent.item(1, "What is it? Answer: forty two").answer == ["forty", "two"]
+    assert latent.item(1, "Where was it? It was there then.").answer == ["it", "was", "there", "then"]
+    assert latent.item(1, "Q", "A b").words == ["q", "a", "b"]
+
+
+# 7
+
+
+@pytest.fixture(scope="module")
+def tk():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    return path, ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_as_tiktoken(spark, tk):
+    path, _, want = tk
+    rng = random.Random(15)
+    letters = "abcdefgh  ABCé漢字🎉\n\t'.,!$ \x1c\x85　1234٣½ß'sre"
+    texts = ["<|endoftext|>", "x" * 700, "ab" * 900, " " * 900, "!?" * 400] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 300))) for _ in range(300)]
+    docs = odd_docs(spark, [(100 + i, t, "en") for i, t in enumerate(texts)])
+    got = bpe.encode_decode(docs, path, public_tokenizers.PATTERN).collect()
+    source = docs.select("doc_id", "text").collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in source]
+    for g, s in zip(got, source, strict=True):
+        text = s["text"] or ""
+        assert np.frombuffer(bytes(g["ids"]), "<u4").tolist() == want.encode_ordinary(text)
+        assert bytes(g["decoded"]) == text.encode()
+    assert bpe.encode_decode(docs.where("false"), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_rows_agree_with_heap_and_pieces(tk, monkeypatch):
+    _, ranks, want = tk
+    e = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(16)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(17, 32))).encode() for _ in range(200)]
+    assert e.merge_rows(words) == [e.merge_long(w) for w in words]
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    monkeypatch.setattr(bpe, "KNOWN", 40)
+    texts = [prose(rng, 400), "", prose(rng, 30)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [want.encode_ordinary(t) for t in texts]
+    with pytest.raises(ValueError):
+        bpe.Encoder({b"a": 0}, ".")
+
+
+def test_op7_digest(spark, folder, tk):
+    from quillmine.llm.queries import op7_byte_bpe
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for r in op7_byte_bpe(spark, folder).collect():
+        ids = np.array(tk[2].encode_ordinary(texts[r["doc_id"]]), "<u4")
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
+
+
+# 8
+
+
+def test_sharding(spark):
+    docs = odd_docs(spark, [(100 + i, f"t{i}", "en") for i in range(3000)])
+    rows = sharding.rendezvous(docs, [1.0] * 24).collect()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rows:
+        b = (text[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(b) + 8, zlib.crc32(b), "key") and r["grown_shard"] in (r["shard"], 24)
+    for s in range(24):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert slots == list(range(len(slots))) and 80 < len(slots) < 180
+    grown = {r["doc_id"]: r["shard"] for r in sharding.rendezvous(docs, [1.0] * 25).collect()}
+    assert all(grown[r["doc_id"]] == r["grown_shard"] for r in rows)
+    heavy = sharding.rendezvous(docs, [3.0, 1.0]).where("shard = 0").count()
+    assert 0.70 < heavy / len(rows) < 0.80
+    assert sharding.rendezvous(docs.where("false"), [1.0]).count() == 0
+    with pytest.raises(ValueError):
+        sharding.rendezvous(docs, [1.0, 0.0])
+
+
+def test_sharding_is_native(spark, folder):
+    from quillmine.llm.queries import op2_url_filters, op8_rendezvous_sharding
+
+    for q in (op2_url_filters, op8_rendezvous_sharding):
+        plan = q(spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+# 9
+
+
+def test_language_id(spark):
+    rng = random.Random(17)
+    letters = {"xx": "abcdef", "yy": "defghi", "zz": "жзиклм"}
+    rows = [(i, " ".join("".join(rng.choice(letters[g]) for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(3, 40))), g) for i in range(600) for g in [rng.choice(list(letters))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = toxicity.held_out("doc_id", 4, 2)
+    model = langid.fit(docs.where(~out))
+    assert (model.weights == 0).mean() > 0.5
+    got = langid.predict(docs.select("doc_id", "text", F.lit("q").alias("lang_pred")), model).withColumn("out", out).collect()
+    held = [r for r in got if r["out"]]
+    lang = {r[0]: r[2] for r in rows}
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.97 * len(held) and all(0 <= r["lang_score"] <= 1 for r in got)
+    odd = {r["doc_id"]: r for r in langid.predict(odd_docs(spark), model).collect()}
+    assert [odd[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and odd[5]["lang_pred"] in letters and odd[5]["score"] == 0.5
+    none = langid.fit(docs.where("false"))
+    assert {r["lang_pred"] for r in langid.predict(odd_docs(spark), none).collect()} == {"und"}
+    assert langid.predict(docs.where("false"), model).count() == 0
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    text = "abc def " * 1000
+    whole = langid.counts(text)
+    monkeypatch.setattr(langid, "PIECE", 999)
+    assert abs(langid.counts(text) - whole).sum() < 200
+
+
+# 10
+
+
+def plain_kneser_ney(texts):
+    """Probabilities of all orders by dictionaries."""
+    n, size = kneser_ney.ORDER, 1 << kneser_ney.BITS
+    counts = [{} for _ in range(n + 1)]
+    for t in texts:
+        c = [0] * (n - 1) + [int(kneser_ney._CLASSES[min(ord(x), 65535)]) for x in t]
+        for i in range(n - 1, len(c)):
+            g = tuple(c[i - n + 1 : i + 1])
+            counts[n][g] = counts[n].get(g, 0) + 1
+    for k in range(n - 1, 0, -1):
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+
+    def discounts(k):
+        m = [0] + [sum(c == i for c in counts[k].values()) for i in (1, 2, 3, 4)]
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] and m[2] else 0.5
+        return [0] + [min(max(i - (i + 1) * y * m[i + 1] / m[i], 0.1), i - 0.1) if m[i] else 0.5 * i for i in (1, 2, 3)]
+
+    ds = [None] + [discounts(k) for k in range(1, n + 1)]
+
+    def p(g):
+        if not g:
+            return 1 / size
+        k = len(g)
+        after = {x: c for x, c in counts[k].items() if x[:-1] == g[:-1]}
+        if not after:
+            return p(g[1:])
+        total, d = sum(after.values()), ds[k]
+        gamma = sum(d[min(c, 3)] for c in after.values()) / total
+        c = after.get(g, 0)
+        return (c - d[min(c, 3)] if c else 0) / total + gamma * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_probabilities(spark):
+    rng = random.Random(18)
+    texts = [prose(rng, 12).capitalize() + "." for _ in range(12)]
+    model = kneser_ney.estimate(kneser_ney.count(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)))
+    p = plain_kneser_ney(texts)
+    for t in (texts[0], "zzz QQ 99", "an the\nÉ漢"):
+        for g in next(kneser_ney.grams(t)).tolist():
+            parts = tuple(g >> kneser_ney.BITS * k & 63 for k in range(kneser_ney.ORDER - 1, -1, -1))
+            assert model.table()[g] == pytest.approx(math.log(p(parts)), rel=1e-4)
+    assert np.exp(model.table().reshape(-1, 64)[:500]).sum(axis=1) == pytest.approx(1, rel=1e-3)
+    assert model.perplexity(texts[0]) < model.perplexity("ZQ!!! $$$ 99x") and model.perplexity("") is None
+
+
+def test_quality_classifier(spark):
+    rng = random.Random(19)
+    rows = [(100 + i, prose(rng, rng.randint(20, 80)) if i % 5 else "".join(rng.choice("QZ!$%&9") for _ in range(200)), "en" if i % 3 else None) for i in range(400)]
+    labels = spark.createDataFrame([(100 + i, int(i % 5 > 0)) for i in range(0, 400, 2)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    docs = odd_docs(spark, rows).withColumn("threshold", F.lit("old")).withColumn("l", F.lit(1))
+    got = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels).collect()}
+    assert all(got[100 + i]["good"] == (i % 5 > 0) for i in range(0, 400) if i % 5 == 0 or i % 2 == 0) or sum(got[100 + i]["good"] != (i % 5 > 0) for i in range(400)) <= 8
+    assert not any(got[i]["good"] for i in (1, 2)) and got[1]["perplexity"] is None and got[4]["perplexity"] > 0
+    bare = kneser_ney.classify(odd_docs(spark), spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert {r["doc_id"]: r["good"] for r in bare}[5] and len(bare) == 9
+    assert kneser_ney.classify(docs.where("false"), labels).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline(spark, folder):
+    import corpus_pipeline as c
+
+    docs = start = spark.read.parquet(f"{folder}/documents.parquet")
+    ids = {r["doc_id"] for r in start.collect()}
+    for name, stage in c.STAGES[:-1]:
+        after = common.cut(stage(spark, docs, folder))
+        assert after.columns == start.columns, name
+        left = {r["doc_id"] for r in after.collect()}
+        assert left <= ids and len(left) > 0.6 * len(ids), name
+        docs, ids = after, left
+    assert {r["doc_id"] for r in c.run(spark, folder).collect()} == ids
+    assert minhash.near_duplicates(docs).where("not kept").count() == 0
+    assert latent.contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).count() == 0
+
+
+def test_queries_match_sql(spark, folder):
+    import glob
+    import os
+
+    import duckdb
+
+    from quillmine.llm.oracles import ORACLES
+    from quillmine.llm.queries import QUERIES
+
+    duck = duckdb.connect()
+    for p in glob.glob(f"{folder}/*.parquet"):
+        duck.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    for name, sql in ORACLES.items():
+        df = QUERIES[name](spark, folder)
+        cur = duck.execute(sql)
+        names = sorted(df.columns)
+        assert names == sorted(d[0] for d in cur.description)
+        at = [[d[0] for d in cur.description].index(n) for n in names]
+        assert sorted(str([r[n] for n in names]) for r in df.collect()) == sorted(str([r[i] for i in at]) for r in cur.fetchall()), name
