@@ -237,3 +237,7 @@ def summary_json(raw: Column) -> Column:
 
 def document_type(mime: Column) -> Column:
     return F.when(mime == "application/pdf", "pdf").when(mime.startswith("image/"), "image")
+
+
+def type_label(kind: Column) -> Column:
+    return F.when(kind == "pdf", "PDF").when(kind == "image", "Image").when(kind == "note", "Note").when(kind == "video", "Video").otherwise(kind)

@@ -13,7 +13,7 @@ BUDGET, SEPARATOR, HEADER_TOKENS = 4000, "\n\n---\n\n", 8
 def deduplicated(hits: DataFrame) -> DataFrame:
     """One hit for each chunk of a document, the best; of equal ones that of the smallest chunk_id. Combines before its shuffle."""
     rest = [c for c in hits.columns if c not in ("document_id", "chunk_index")]
-    best = F.max_by(F.struct(*rest), F.struct(F.col("score"), -F.col("chunk_id"))).alias("best")
+    best = F.min_by(F.struct(*rest), F.struct(-F.col("score"), "chunk_id")).alias("best")
     return hits.groupBy("document_id", "chunk_index").agg(best).select("document_id", "chunk_index", "best.*")
 
 

@@ -110,6 +110,17 @@ def grouped(hits: DataFrame, documents: DataFrame, now: datetime) -> DataFrame:
     return by.withColumn("score", F.col("best_score") + bonus).withColumn("top", F.col("matched")[0])
 
 
+def vector_only(hits: DataFrame) -> DataFrame:
+    """Hits of the vector leg alone in the form of fused ones: no keyword score, the vector score for the fused."""
+    return ranked(hits).select("chunk_id", F.col("score").alias("vector_score"), F.lit(0.0).alias("keyword_score"), F.col("rank").alias("vector_rank"), F.lit(None).cast("int").alias("keyword_rank"), F.col("score").alias("rrf_score"))
+
+
+def of_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
+    """The same rows; running it fails if a vector has another dimension."""
+    wrong = F.assert_true(F.size("vector") == dimension, F.concat(F.lit(f"expected dimension {dimension}, got "), F.size("vector").cast("string")))
+    return vectors.where(wrong.isNull())
+
+
 def rows_of(ids: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with their chunks' columns; hits without a chunk are dropped. Hits are few, so it is they that are broadcast."""
     return chunks.join(F.broadcast(ids), "chunk_id")

@@ -45,8 +45,11 @@ def orphans(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def with_index_state(documents: DataFrame, results: DataFrame) -> DataFrame:
-    """Documents with the outcome of indexing: ``results`` has (document_id, error) for each chunk, error null if it worked."""
+    """Documents with the outcome of indexing: ``results`` has (document_id, error) for each chunk, error null if it worked; other documents stay as they are."""
     by = results.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad"), F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("why"))
     state = F.when(F.col("n").isNull(), F.col("index_status")).when(F.col("bad") == F.col("n"), "failed").otherwise("indexed")
     joined = documents.join(by, "document_id", "left")
-    return joined.withColumns({"index_status": state, "chunk_count": F.coalesce(F.col("n") - F.col("bad"), F.lit(0)), "index_error": F.nullif("why", F.lit(""))}).drop("n", "bad", "why")
+    before = lambda c, default: F.col(c) if c in documents.columns else F.lit(default)
+    count = F.when(F.col("n").isNull(), before("chunk_count", 0)).otherwise(F.col("n") - F.col("bad"))
+    error = F.when(F.col("n").isNull(), before("index_error", None)).otherwise(F.nullif("why", F.lit("")))
+    return joined.withColumns({"index_status": state, "chunk_count": count, "index_error": error}).drop("n", "bad", "why")

@@ -56,7 +56,15 @@ def answer(hits: DataFrame, question: object, model: ChatModel, budget: int = C.
     except Exception as e:
         raise service_error(str(e)) from e
     cited = C.citations(C.within_budget(C.deduplicated(hits), budget)).orderBy("place").collect()  # as many as the budget lets in
-    return Answer(said.strip(), cited, time.monotonic() - began)
+    return Answer(content_text(said), cited, time.monotonic() - began)
+
+
+def content_text(said: object) -> str:
+    """The text of a model's content, which is a string or a list of parts."""
+    if isinstance(said, str):
+        return said.strip()
+    parts = [p if isinstance(p, str) else p.get("text", "") for p in said] if isinstance(said, list) else []
+    return "".join(parts).strip()
 
 
 def summary_key(documents: DataFrame) -> DataFrame:
@@ -66,9 +74,9 @@ def summary_key(documents: DataFrame) -> DataFrame:
 
 def summarize(chunks: DataFrame, document_id, model: ChatModel, spark, budget: int = C.BUDGET) -> Row:
     """(summary, key_points, topics) of a document from its chunks in order, as far as the budget goes."""
-    rows = chunks.where(F.col("document_id") == document_id).withColumn("score", F.lit(1.0)).withColumn("document_title", F.col("title"))
-    row = C.built(rows.withColumn("chunk_id", F.col("chunk_index")), budget).first()
+    rows = chunks.where(F.col("document_id") == document_id).withColumn("chunk_id", F.col("chunk_index")).withColumn("score", F.lit(1.0)).withColumn("document_title", F.col("title"))
+    row = C.built(rows, budget).first()
     if row is None or not row["n_sources"]:
         raise RequestError("Document has no indexed content", 404)
     said = tried(lambda: model.complete(messages(SUMMARY_TASK, row["context"], "")))
-    return spark.createDataFrame([(said,)], "raw string").select(T.summary_json(F.col("raw")).alias("s")).select("s.*").first()
+    return spark.createDataFrame([(content_text(said),)], "raw string").select(T.summary_json(F.col("raw")).alias("s")).select("s.*").first()
