@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 from quillmine.llm.common import ship
 
-#: Numbers of one chunk.
-CHUNK = 1 << 16
+#: Numbers of one chunk, and tasks whose chunks are summed in one step.
+CHUNK, MOST = 1 << 16, 64
 
 
 def total(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], size: int, dtype: str = "int64") -> np.ndarray:
     """The sum of ``part`` of every task's rows, an array of ``size`` numbers (zeros without rows).
 
-    Tasks return chunks that are summed in two steps, so that no group grows with the number of tasks, and the
-    driver gets ``size`` numbers.
+    Tasks return chunks, which are summed in two steps if there are many tasks, so that no group grows with their
+    number, and the driver gets ``size`` numbers.
     """
     ship(rows.sparkSession)
 
@@ -35,7 +35,13 @@ def total(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray
         return pd.DataFrame({"at": g["at"].iloc[:1], "sums": [sum(np.frombuffer(x, dtype) for x in g["sums"]).tobytes()]})
 
     kind = "at int, sums binary"
-    parts = rows.mapInArrow(run, kind).withColumn("salt", F.spark_partition_id() % F.lit(64)).groupBy("at", "salt").applyInPandas(add, kind)
+    sc = rows.sparkSession.sparkContext
+    known = sc.getConf().get("spark.dynamicAllocation.enabled", "false") != "true"
+    if known:  # every task sends a whole array, so two waves of them are enough
+        rows = rows.coalesce(2 * sc.defaultParallelism)
+    parts = rows.mapInArrow(run, kind)
+    if not known or 2 * sc.defaultParallelism > MOST:
+        parts = parts.withColumn("salt", F.spark_partition_id() % F.lit(MOST)).groupBy("at", "salt").applyInPandas(add, kind)
     parts = parts.groupBy("at").applyInPandas(add, kind)
     out = np.zeros(size, dtype)
     for r in parts.toLocalIterator():
