@@ -28,16 +28,16 @@ COLUMNS = 4096
 _POINTS = 1 << 16
 
 
-def _randoms() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per point of a table r and ln c of Gamma(2, 1) and beta of U(0, 1); per sample an odd multiplier that picks a shingle's point."""
+def _randoms() -> tuple[np.ndarray, ...]:
+    """Per point of a table r, 1 / r and ln c of Gamma(2, 1) and beta of U(0, 1); per sample an odd multiplier that picks a shingle's point."""
     g = np.random.default_rng(20240229)
     gamma = lambda: -np.log(g.random(_POINTS) * g.random(_POINTS) + 1e-300)
     r, c, beta = gamma(), gamma(), g.random(_POINTS)
     odd = g.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return r.astype(np.float32), np.log(c).astype(np.float32), beta.astype(np.float32), odd
+    return r.astype(np.float32), (1 / r).astype(np.float32), np.log(c).astype(np.float32), beta.astype(np.float32), odd
 
 
-_R, _LNC, _BETA, _ODD = _randoms()
+_R, _ONE_R, _LNC, _BETA, _ODD = _randoms()
 
 
 def counter(s: np.ndarray) -> np.ndarray:
@@ -64,10 +64,16 @@ def sketch(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     ln = np.log(np.concatenate([w for _, w in docs])).astype(np.float32)
     out = np.empty((len(docs), SAMPLES), np.int32)
     for k in range(SAMPLES):
-        at = (s * _ODD[k]) >> np.uint64(48)
-        r, beta = _R[at], _BETA[at]
-        t = np.floor(ln / r + beta)
-        a = _LNC[at] - r * (t - beta + 1)
+        at = ((s * _ODD[k]) >> np.uint64(48)).view(np.int64)
+        beta = _BETA.take(at)
+        t = _ONE_R.take(at)
+        t *= ln
+        t += beta
+        np.floor(t, out=t)
+        a = t - beta
+        a += 1
+        a *= _R.take(at)
+        np.subtract(_LNC.take(at), a, out=a)
         least = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, starts), sizes))
         first = least[np.searchsorted(least, starts)]  # of equal values that of the smallest hash
         mixed = (s[first] ^ (t[first].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
