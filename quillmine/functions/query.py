@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
+#: Limits of requests, and how many hits a leg fetches.
 MOST_QUERY, PAGE, LIMIT, MOST_LIMIT, OVERFETCH, LEAST_WINDOW = 500, 1, 20, 50, 8, 60
 MOST_QUESTION = 2000
 TYPES = ("pdf", "image", "note", "video")
@@ -22,20 +23,20 @@ class RequestError(ValueError):
 def checked_query(query: str) -> str:
     q = query.strip()
     if not q:
-        raise RequestError("Search query is required")
+        raise RequestError("The query is empty")
     if len(q) > MOST_QUERY:
-        raise RequestError(f"Search query must be at most {MOST_QUERY} characters")
+        raise RequestError(f"The query has more than {MOST_QUERY} characters")
     return q
 
 
 def checked_question(question: object) -> str:
     if not isinstance(question, str):
-        raise RequestError("Question is required")
+        raise RequestError("The question is no text")
     q = re.sub(r"\s+", " ", re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", question)).strip()
     if not q:
-        raise RequestError("Question cannot be empty")
+        raise RequestError("The question is empty")
     if len(q) > MOST_QUESTION:
-        raise RequestError(f"Question must be at most {MOST_QUESTION} characters")
+        raise RequestError(f"The question has more than {MOST_QUESTION} characters")
     return q
 
 
@@ -100,7 +101,7 @@ def date_range(f: Filter, now: datetime) -> tuple[datetime | None, datetime | No
             try:
                 t = datetime.fromisoformat(value.replace("Z", "+00:00")) if value else None
             except ValueError:
-                raise RequestError(f"Invalid {name} value") from None
+                raise RequestError(f"{name} is no date") from None
             out.append(t.astimezone(UTC).replace(tzinfo=None) if t and t.tzinfo else t)
         return out[0], out[1]
     return None, None

@@ -17,6 +17,14 @@ STOP_WORDS = (
 ).split()
 #: Hosts of video pages.
 VIDEO_HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com", "youtu.be", "www.youtu.be")
+#: What counts as a name in Pascal case, a term in backticks, a first sentence, a duration, a video's id and its place in a path.
+PASCAL_CASE, BACKTICKS = r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?:[A-Z][a-z]+)+(?![A-Za-z0-9_])", r"`([^`]+)`"
+FIRST_SENTENCE, DURATION = r"^[^.!?]++[.!?]+", r"(?i)PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?"
+VIDEO_ID, VIDEO_PATH = r"^[a-zA-Z0-9_-]{11}$", r"^/(?:embed|shorts|live|v)/([a-zA-Z0-9_-]{11})"
+CONTROL, WATCH = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "https://www.youtube.com/watch?v="
+#: Days until a document's recency is 0, characters of previews and summaries, numbers of concepts and tags.
+RECENT_DAYS, PREVIEW, SNIPPET, SUMMARY = 90, 200, (200, 300), 240
+NAMES, CODES, TAG_WORDS, MOST_TAGS = 8, 6, 6, 15
 _SPACE = r"(?U)\s+"
 
 
@@ -66,7 +74,7 @@ def instant(t: datetime) -> Column:
 
 def recency(created: Column, now: Column) -> Column:
     """1 for now, falling to 0 over 90 days; above 1 for the future."""
-    return F.greatest(F.lit(0.0), 1 - (F.unix_millis(now) - F.unix_millis(created)) / 86400000 / 90)
+    return F.greatest(F.lit(0.0), 1 - (F.unix_millis(now) - F.unix_millis(created)) / 86400000 / RECENT_DAYS)
 
 
 def token_count(c: Column) -> Column:
@@ -78,12 +86,12 @@ def tokens_of_words(n: Column) -> Column:
     return F.ceil(n * 1.3).cast("int")
 
 
-def content_preview(c: Column, most: int = 200) -> Column:
+def content_preview(c: Column, most: int = PREVIEW) -> Column:
     flat = collapsed(c)
     return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.trim(F.substring(flat, 1, most - 3)), F.lit("...")))
 
 
-def preview_snippet(text: Column, terms: Sequence[str], least: int = 200, most: int = 300) -> Column:
+def preview_snippet(text: Column, terms: Sequence[str], least: int = SNIPPET[0], most: int = SNIPPET[1]) -> Column:
     """A part of the text around the first query term that it contains (in the order of the terms), with dots where it is cut."""
     flat = collapsed(text)
     places = [F.instr(F.lower(flat), t) for t in terms]
@@ -106,7 +114,7 @@ def without_repeated_newlines(c: Column) -> Column:
 
 def sanitized(c: Column) -> Column:
     """User input without control characters."""
-    return collapsed(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+    return collapsed(F.regexp_replace(c, CONTROL, ""))
 
 
 def transcript_text(c: Column) -> Column:
@@ -123,22 +131,22 @@ def words(c: Column) -> Column:
 
 def concepts(text: Column, section_path: Column, topic: Column, subtopic: Column) -> Column:
     """Section titles, then 8 identifiers in Pascal case, then 6 terms in backticks; each once, none empty."""
-    named = F.slice(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?:[A-Z][a-z]+)+(?![A-Za-z0-9_])"), F.lit(0)), 1, 8)
-    code = F.transform(F.slice(F.regexp_extract_all(text, F.lit(r"`([^`]+)`"), F.lit(1)), 1, 6), trimmed)
+    named = F.slice(F.regexp_extract_all(text, F.lit(PASCAL_CASE), F.lit(0)), 1, NAMES)
+    code = F.transform(F.slice(F.regexp_extract_all(text, F.lit(BACKTICKS), F.lit(1)), 1, CODES), trimmed)
     return F.array_distinct(F.filter(F.concat(F.coalesce(section_path, F.array().cast("array<string>")), F.array(subtopic, topic), named, code), lambda x: x.isNotNull() & (x != "")))
 
 
 def summary(text: Column, title: Column) -> Column:
     """The first sentence, 240 characters at most, after the title unless it holds it."""
-    first = lambda flat: F.trim(F.coalesce(present(F.regexp_extract(F.regexp_replace(flat, r"^[.!?]+", ""), r"^[^.!?]++[.!?]+", 0)), flat))
-    short = lambda one: F.when(F.length(one) > 240, F.concat(F.trim(F.substring(one, 1, 237)), F.lit("..."))).otherwise(one)
+    first = lambda flat: F.trim(F.coalesce(present(F.regexp_extract(F.regexp_replace(flat, r"^[.!?]+", ""), FIRST_SENTENCE, 0)), flat))
+    short = lambda one: F.when(F.length(one) > SUMMARY, F.concat(F.trim(F.substring(one, 1, SUMMARY - 3)), F.lit("..."))).otherwise(one)
     full = lambda one: F.when(F.contains(F.lower(one), F.lower(title)), one).otherwise(F.concat(title, F.lit(": "), one))
     return once(once(once(collapsed(text), first), short), full)
 
 
 def tags(topic: Column, subtopic: Column, level: Column, keywords: Column) -> Column:
     named = F.filter(F.array(F.lower(topic), F.lower(present(subtopic)), present(level)), lambda x: x.isNotNull())
-    return F.slice(F.array_distinct(F.concat(named, F.slice(keywords, 1, 6))), 1, 15)
+    return F.slice(F.array_distinct(F.concat(named, F.slice(keywords, 1, TAG_WORDS))), 1, MOST_TAGS)
 
 
 def embedding_text(topic: Column, subtopic: Column, title: Column, summary: Column, keywords: Column, text: Column) -> Column:
@@ -165,7 +173,7 @@ def minute_clock(seconds: Column) -> Column:
 
 def iso_seconds(iso: Column) -> Column:
     """Seconds of a PT#H#M#S duration, 0 where the pattern does not occur."""
-    part = lambda i: F.coalesce(F.regexp_extract(iso, r"(?i)PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?", i).try_cast("long"), F.lit(0))
+    part = lambda i: F.coalesce(F.regexp_extract(iso, DURATION, i).try_cast("long"), F.lit(0))
     return part(1) * 3600 + part(2) * 60 + part(3)
 
 
@@ -176,7 +184,7 @@ def duration_label(seconds: Column) -> Column:
 
 
 def watch_url(video_id: Column, start: Column | None = None) -> Column:
-    base = F.concat(F.lit("https://www.youtube.com/watch?v="), video_id)
+    base = F.concat(F.lit(WATCH), video_id)
     if start is None:
         return base
     return F.when(start > 0, F.concat(base, F.lit("&t="), F.floor(start).cast("string"), F.lit("s"))).otherwise(base)
@@ -186,9 +194,9 @@ def video_id(url: Column) -> Column:
     """The 11-character id of a video url of a known host, else null."""
     u = trimmed(url)
     host, path = F.lower(F.try_parse_url(u, F.lit("HOST"))), F.try_parse_url(u, F.lit("PATH"))
-    ok = lambda c: F.when(c.rlike(r"^[a-zA-Z0-9_-]{11}$"), c)
+    ok = lambda c: F.when(c.rlike(VIDEO_ID), c)
     short = ok(F.regexp_extract(path, r"^/*([^/]*)", 1))
-    long = F.coalesce(ok(F.try_parse_url(u, F.lit("QUERY"), F.lit("v"))), present(F.regexp_extract(path, r"^/(?:embed|shorts|live|v)/([a-zA-Z0-9_-]{11})", 1)))
+    long = F.coalesce(ok(F.try_parse_url(u, F.lit("QUERY"), F.lit("v"))), present(F.regexp_extract(path, VIDEO_PATH, 1)))
     return F.when(host.isin("youtu.be", "www.youtu.be"), short).when(host.isin(*VIDEO_HOSTS), long)
 
 

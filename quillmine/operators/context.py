@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmine.functions import text as T
 
+#: Tokens of a context, what separates its blocks, tokens that a block costs besides its text.
 BUDGET, SEPARATOR, HEADER_TOKENS = 4000, "\n\n---\n\n", 8
 
 

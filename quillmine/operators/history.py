@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmine.functions import text as T
 
+#: Fixed value: searches that are kept for each owner.
 KEPT = 20
 
 

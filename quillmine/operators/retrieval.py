@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from quillmine.functions import text as T
 
+#: Floors of scores, hits of an answer, and the constants of fusion.
 SEARCH_FLOOR, ANSWER_FLOOR, ANSWER_HITS = 0.08, 0.15, 8
 RRF_K, VECTOR_SHARE, KEYWORD_SHARE = 60, 0.6, 0.4
-#: Weights of a chunk's parts in its final score, and of the fields of a keyword match.
+#: Weights of a chunk's parts in its final score, and of the fields of a keyword match.
 WEIGHTS = {"rrf": 0.45, "vector": 0.20, "keyword": 0.15, "topic": 0.10, "title": 0.05, "phrase": 0.05}
 FIELD_WEIGHTS = {"title": 10, "topic": 8, "subtopic": 6, "keywords": 5, "tags": 4, "summary": 3, "text": 1}
+#: What MANY chunks, and recency, add to a document.
+BONUS, MANY = 0.02, 5
 
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:
@@ -106,7 +109,7 @@ def grouped(hits: DataFrame, documents: DataFrame, now: datetime) -> DataFrame:
     by = known.groupBy("document_id", "document_title", "document_type", "created_at").agg(
         F.max("final_score").alias("best_score"), F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_list(F.struct(order.alias("o"), "chunk_id", "chunk_index", "final_score", "content_preview", "topic"))).alias("matched")
     )
-    bonus = 0.02 * F.least(F.col("n_chunks"), F.lit(5)) / 5 + 0.02 * T.recency(F.col("created_at"), T.instant(now))
+    bonus = BONUS * F.least(F.col("n_chunks"), F.lit(MANY)) / MANY + BONUS * T.recency(F.col("created_at"), T.instant(now))
     return by.withColumn("score", F.col("best_score") + bonus).withColumn("top", F.col("matched")[0])
 
 

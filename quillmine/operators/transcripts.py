@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmine.functions import text as T
 
+#: Characters of merged segments, tokens of packed ones.
 MERGED_CHARS, PACKED_TOKENS = 240, 512
 
 

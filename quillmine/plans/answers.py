@@ -15,6 +15,7 @@ from quillmine.operators import context as C
 from quillmine.operators import retrieval as R
 from quillmine.sources.adapters import ChatModel, service_error, tried
 
+#: Fixed value: the answer where no source has it.
 NO_ANSWER = "I couldn't find that information in your saved documents."
 #: Our own wording of the task.
 ANSWER_TASK = f"Answer the question from the given sources alone, name the source of each statement, and reply exactly \"{NO_ANSWER}\" if they do not hold the answer."

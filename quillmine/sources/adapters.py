@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from quillmine.session import ship
 
 V = TypeVar("V")
+#: Tries of a call, seconds that the wait grows by, texts of a batch, size of a vector.
 TRIES, WAIT_S, BATCH, DIMENSION = 3, 1.0, 16, 1024
 
 

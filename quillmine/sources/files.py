@@ -12,6 +12,7 @@ from quillmine.functions.query import RequestError
 
 #: What may be uploaded, and how much.
 SUFFIXES = {"pdf": "application/pdf", "jpeg": "image/jpeg", "jpg": "image/jpeg", "png": "image/png", "webp": "image/webp"}
+NO_TITLE, NO_CHANNEL = "Untitled Video", "Unknown Channel"
 MOST_BYTES, MOST_TITLE, MOST_NOTE, MOST_TRANSCRIPT, MOST_SECONDS = 10 * 1024 * 1024, 200, 10_000, 500_000, 14_400
 
 
@@ -49,7 +50,7 @@ def video_metadata(raw: DataFrame, payload: str = "payload") -> DataFrame:
     item = F.from_json(payload, kind)["items"][0]
     thumbs = item["snippet"]["thumbnails"]
     out = raw.where(item.isNotNull()).select(
-        item["id"].alias("video_id"), F.coalesce(item["snippet"]["title"], F.lit("Untitled Video")).alias("title"), F.coalesce(item["snippet"]["channelTitle"], F.lit("Unknown Channel")).alias("channel"),
+        item["id"].alias("video_id"), F.coalesce(item["snippet"]["title"], F.lit(NO_TITLE)).alias("title"), F.coalesce(item["snippet"]["channelTitle"], F.lit(NO_CHANNEL)).alias("channel"),
         F.coalesce(thumbs["high"]["url"], thumbs["medium"]["url"], thumbs["default"]["url"], F.lit("")).alias("thumbnail"), T.iso_seconds(item["contentDetails"]["duration"]).alias("duration_s"),
     )
     return out.where(F.col("duration_s") <= MOST_SECONDS)
@@ -58,7 +59,7 @@ def video_metadata(raw: DataFrame, payload: str = "payload") -> DataFrame:
 def embed_metadata(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """The same from the embedding service's answers, which have no duration; needs the column video_id."""
     p = F.from_json(payload, "title string, author_name string, thumbnail_url string")
-    return raw.select("video_id", F.coalesce(p["title"], F.lit("Untitled Video")).alias("title"), F.coalesce(p["author_name"], F.lit("Unknown Channel")).alias("channel"), F.coalesce(p["thumbnail_url"], F.lit("")).alias("thumbnail"), F.lit(None).cast("long").alias("duration_s"))
+    return raw.select("video_id", F.coalesce(p["title"], F.lit(NO_TITLE)).alias("title"), F.coalesce(p["author_name"], F.lit(NO_CHANNEL)).alias("channel"), F.coalesce(p["thumbnail_url"], F.lit("")).alias("thumbnail"), F.lit(None).cast("long").alias("duration_s"))
 
 
 def metadata_with_fallback(api: DataFrame, embed: DataFrame) -> DataFrame:
