@@ -64,7 +64,8 @@ def query_tokens(query: Column) -> Column:
 
 def has_token(text: Column, term: str) -> Column:
     """Whether a term is one of the text's ASCII word tokens."""
-    return F.coalesce(F.lower(text).rlike(rf"(^|\W){term}(\W|$)"), F.lit(False))
+    low = F.lower(text)
+    return F.coalesce(F.contains(low, F.lit(term)) & low.rlike(rf"(^|\W){term}(\W|$)"), F.lit(False))  # the pattern runs only where the term occurs
 
 
 def instant(t: datetime) -> Column:
