@@ -15,13 +15,13 @@ from quillmine.llm.totals import total
 
 #: Words of a block; a passage of the decomposition and a window of the search are two blocks.
 BLOCK = 24
-#: Items that one pass over the corpus serves, and dimensions of the latent space beyond their number.
+#: Passages of items that one pass over the corpus serves, and dimensions of the latent space beyond their number.
 ITEMS, EXTRA = 256, 64
 #: Terms up to which a task counts pairs of them (64 MB), and keys up to which they are broadcast (8 MB).
 DENSE, FEW_KEYS = 4096, 1_000_000
 #: Terms in a larger share of passages carry no weight, unless an item has fewer than FEW_TERMS others.
 COMMON, FEW_TERMS = 0.02, 3
-#: A window is a candidate from this projection on an item (1: it holds all of it), an item found from these shares of its words.
+#: A window is a candidate from this projection on a passage (1: it holds all of it), an item found from these shares of its words.
 CANDIDATE, SURE, POSSIBLE, ANSWER = 0.4, 0.8, 0.6, 0.8
 #: Words of one document that are scored at a time, and terms that are gathered at a time.
 PIECE, GATHER = 1 << 16, 1 << 15
@@ -71,6 +71,16 @@ def item(key: object, text: str | None, answer: str | None = None) -> Item:
     return Item(key, tokens(text) + tokens(answer), tokens(answer))
 
 
+def passages(items: list[Item]) -> list[tuple[int, list[str]]]:
+    """(item, words) of the even parts of each item that a window can hold; an item of up to a window is its only passage."""
+    out = []
+    for k, x in enumerate(items):
+        n = max(1, -(-len(x.words) // (2 * BLOCK)))
+        at = [len(x.words) * i // n for i in range(n + 1)]
+        out += [(k, x.words[a:b]) for a, b in zip(at, at[1:], strict=False)]
+    return out
+
+
 def lcs(a: Sequence[str], b: Sequence[str]) -> int:
     """The length of the longest common subsequence, by bit vectors."""
     at: dict[str, int] = {}
@@ -193,20 +203,20 @@ def right_vectors(gram_sketch: np.ndarray, omega: np.ndarray) -> np.ndarray:
     return (q @ u[:, s > 1e-9 * max(s[0], 1e-300)]).T
 
 
-def _model(ids: DataFrame, base: dict[str, int], items: list[Item], seed: int) -> np.ndarray:
-    """For each term, what it adds to a passage's projection on each item."""
+def _model(ids: DataFrame, base: dict[str, int], parts: list[list[str]], seed: int) -> np.ndarray:
+    """For each term, what it adds to a window's projection on each passage of the items."""
     df = frequencies(ids, len(base))
     n = max(1, int(df[-1]))
     common = df[:-1] > COMMON * n
-    of = [np.array([base[w] for w in x.words], np.int64) for x in items]
+    of = [np.array([base[w] for w in ws], np.int64) for ws in parts]
     for own_ids in of:
         if len(set(own_ids[~common[own_ids]].tolist())) < FEW_TERMS:
             common[own_ids] = False
     weight = np.where(common, 0.0, np.log((1 + n) / (1 + df[:-1])) + 1e-3)
-    own = np.zeros((len(items), len(base)))
+    own = np.zeros((len(parts), len(base)))
     for k, own_ids in enumerate(of):
         np.add.at(own[k], own_ids, weight[own_ids])
-    rank = min(len(base), len(items) + EXTRA)
+    rank = min(len(base), len(parts) + EXTRA)
     omega = np.random.default_rng(seed).standard_normal((len(base), rank))
     of_corpus = sketch(ids, weight, omega)
     of_items = own.T @ (own @ omega)
@@ -220,9 +230,9 @@ def _model(ids: DataFrame, base: dict[str, int], items: list[Item], seed: int) -
 
 
 def candidates(ids: np.ndarray, adds: np.ndarray, top: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(first token, item, projection) of the windows of one text that reach CANDIDATE.
+    """(first token, passage of an item, projection) of the windows of one text that reach CANDIDATE.
 
-    ``top`` is the most that a term adds to any item; windows whose sum of these is less cannot reach it.
+    ``top`` is the most that a term adds to any passage; windows whose sum of these is less cannot reach it.
     """
     for start in range(0, max(1, len(ids)), PIECE):
         lo = max(0, start - BLOCK)
@@ -244,10 +254,13 @@ def candidates(ids: np.ndarray, adds: np.ndarray, top: np.ndarray) -> Iterator[t
             yield lo + int(w) * BLOCK, int(k), float(windows[w, k])
 
 
-def find(ws: list[str], ids: np.ndarray, adds: np.ndarray, top: np.ndarray, items: list[Item]) -> list[tuple[int, float, float, int, int]]:
+def find(ws: list[str], ids: np.ndarray, adds: np.ndarray, top: np.ndarray, items: list[Item], owner: list[int]) -> list[tuple[int, float, float, int, int]]:
     """The items found in one text: (item, projection, share of its words, first word, end), the best place of each."""
     best: dict[int, tuple[int, float, float, int, int]] = {}
-    for at, k, score in candidates(ids, adds, top):
+    most: dict[tuple[int, int], float] = {}  # a window may reach several passages of one item, which is verified once
+    for at, p, score in candidates(ids, adds, top):
+        most[at, owner[p]] = max(score, most.get((at, owner[p]), score))
+    for (at, k), score in most.items():
         x = items[k]
         a, b = max(0, at - len(x.words)), min(len(ws), at + 2 * BLOCK + len(x.words))
         region = ws[a:b]
@@ -269,13 +282,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     randomised singular value decomposition of the TF-IDF matrix; a third pass searches all windows of all texts.
     Terms of more than a share COMMON of passages carry no weight, as words of all texts say nothing about an item.
     Projections are linear, so a term's part in each item's cosine is a table and a window adds up its rows; it is
-    scaled by the item alone, as a window holds other words too.
+    scaled by the item alone, as a window holds other words too. Items longer than a window are searched by their
+    passages, each scaled by itself; what is verified around any of them is the whole item.
 
     Defined cases: null and empty texts and items are found nowhere; an item of frequent terms alone keeps them;
     repeated documents are searched each; repeated items are returned each; empty tables give an empty result; a null
     key stays null; other columns are not read.
 
-    Items are taken ITEMS, or DENSE terms, at a time from a driver-side iterator, which bounds what is broadcast; each
+    Items are taken ITEMS passages, or DENSE terms, at a time from a driver-side iterator, which bounds what is broadcast; each
     such block reads the texts once and their terms three times, and reads again the texts that have a candidate. Keys of
     these are broadcast up to FEW_KEYS; beyond, texts are joined by a shuffle.
     """
@@ -290,23 +304,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     def searched(items: list[Item], seed: int) -> DataFrame:
         base = {w: i for i, w in enumerate(dict.fromkeys(w for x in items for w in x.words))}
         ids = cut(tokenized(rows, base, key))
-        adds = _model(ids.select("ids"), base, items, seed)
-        sent = spark.sparkContext.broadcast((base, adds, adds.clip(0).max(axis=1), items))
+        parts = passages(items)
+        adds = _model(ids.select("ids"), base, [ws for _, ws in parts], seed)
+        sent = spark.sparkContext.broadcast((base, adds, adds.clip(0).max(axis=1), items, [k for k, _ in parts]))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            base, adds, top, _ = sent.value
+            base, adds, top, *_ = sent.value
             for batch in batches:
                 hit = [next(candidates(_unpacked(t.as_py(), len(base)), adds, top), None) is not None for t in batch.column(1)]
                 yield batch.filter(pa.array(hit, pa.bool_())).select([0])
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            base, adds, top, items = sent.value
+            base, adds, top, items, owner = sent.value
             terms = _Terms(base)
             for batch in batches:
                 at, found = [], []
                 for i, value in enumerate(batch.column(1)):
                     t = value.as_py()
-                    hits = find(tokens(t), terms.ids(t), adds, top, items)
+                    hits = find(tokens(t), terms.ids(t), adds, top, items, owner)
                     at += [i] * len(hits)
                     found += hits
                 cols = list(zip(*found, strict=True)) or [[]] * 5
@@ -320,15 +335,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     block: list[Item] = []
     seen: set[str] = set()
-    n_blocks = 0
+    n_blocks = n_parts = 0
     for r in chosen.orderBy(item_key, item_text).toLocalIterator():
         x = item(r[0], r[1], r[2])
         if not x.words:
             continue
-        if block and (len(block) == ITEMS or len(seen | set(x.words)) > DENSE):
+        n = len(passages([x]))
+        if block and (n_parts + n > ITEMS or len(seen | set(x.words)) > DENSE):
             done = searched(block, n_blocks)
             out, block, seen = done if out is None else out.unionAll(done), [], set()
-            n_blocks += 1
+            n_blocks, n_parts = n_blocks + 1, 0
+        n_parts += n
         block.append(x)
         seen |= set(x.words)
     if block:

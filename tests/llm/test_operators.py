@@ -319,6 +319,18 @@ def test_items_in_blocks_and_many_terms(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in latent.contaminated(docs, bench).collect()) == [(k, k) for k in range(5)]
 
 
+def test_long_items(spark):
+    rng = random.Random(21)
+    items = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) if rng.random() < 0.5 else rng.choice(WORDS) for _ in range(n)) for n in (100, 120, 150, 200, 300, 500)]
+    docs = []
+    for k, x in enumerate(items):
+        for share in (0, 15):  # verbatim, and with 15 % of words replaced
+            docs.append((10 * k + share // 15, " ".join([prose(rng, 90), *[rng.choice(WORDS) if rng.randrange(100) < share else w for w in x.split()], prose(rng, 70)])))
+    docs += [(1000 + i, prose(rng, 300)) for i in range(60)]
+    got = latent.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(10 * k + i, k) for k in range(len(items)) for i in (0, 1)]
+
+
 def test_decomposition():
     rng = np.random.default_rng(13)
     a = rng.standard_normal((300, 12)) @ np.diag(2.0 ** -np.arange(12)) @ rng.standard_normal((12, 40))
