@@ -1,4 +1,4 @@
-"""Operator 10: quality classification by an interpolated modified Kneser-Ney n-gram model of trusted text."""
+"""Operator 10: quality classification by interpolated modified Kneser-Ney bigrams of words, spelled by n-grams of characters."""
 
 from __future__ import annotations
 
@@ -10,12 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
 
-from quillmine.llm.bpe import slices
+from quillmine.llm import word_grams
 from quillmine.llm.common import cut, ship
 
-#: The model's units are classes of characters, 2 ** BITS of them, in n-grams of ORDER: this bounds every table of it.
+#: Words are spelled by a model of classes of characters, 2 ** BITS of them, in n-grams of ORDER: this bounds every table of it.
 BITS, ORDER = 6, 4
 #: Characters that are counted or scored at a time, and n-grams that a task sorts at once.
 PIECE, BUFFER = 1 << 20, 1 << 22
@@ -97,6 +96,11 @@ class Model:
         t = self.table()
         return float(np.exp(-sum(float(t[g].sum(dtype=np.float64)) for g in grams(text)) / len(text)))
 
+    def spelling(self, word: str) -> float:
+        """The log probability of a word's characters and the space after them, behind a space."""
+        t = self.table()
+        return sum(float(t[g].sum(dtype=np.float64)) for g in grams(f" {word} ")) - float(t[_SPACE])
+
 
 def count(trusted: DataFrame, text: str = "text") -> DataFrame:
     """(g, c): how often each n-gram occurs in all texts. A task sends each of its n-grams once for BUFFER characters at most."""
@@ -126,15 +130,20 @@ def count(trusted: DataFrame, text: str = "text") -> DataFrame:
     return trusted.select(text).mapInArrow(run, "g int, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
+def _discounts(counts: DataFrame) -> list[float]:
+    """What is taken off n-grams that occur once, twice and more often."""
+    n = counts.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    y = n["n1"] / (n["n1"] + 2 * n["n2"]) if n["n1"] and n["n2"] else 0.5
+    return [min(max(k - (k + 1) * y * n[f"n{k + 1}"] / n[f"n{k}"], 0.1), k - 0.1) if n[f"n{k}"] else 0.5 * k for k in (1, 2, 3)]
+
+
 def _level(counts: DataFrame) -> DataFrame:
     """(g, alpha, gamma): the discounted probability of a seen n-gram and the weight that its context leaves to lower orders.
 
     Counts are sharded by context and joined with the statistics of their context: its total and how many followers
     occur once, twice and more often.
     """
-    n = counts.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    y = n["n1"] / (n["n1"] + 2 * n["n2"]) if n["n1"] and n["n2"] else 0.5
-    d = [min(max(k - (k + 1) * y * n[f"n{k + 1}"] / n[f"n{k}"], 0.1), k - 0.1) if n[f"n{k}"] else 0.5 * k for k in (1, 2, 3)]
+    d = _discounts(counts)
     h = F.shiftright("g", BITS).alias("h")
     stats = counts.groupBy(h).agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)], F.count_if(F.col("c") >= 3).alias("n3"))
     cut_off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
@@ -176,47 +185,40 @@ def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality")
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Judge every whole text by its perplexity: all columns of ``docs``, then ``perplexity``, ``threshold`` and ``good``.
 
-    The model counts all trusted texts. A language's threshold is the ``quantile`` of the perplexity of its trusted
-    documents, or of all trusted documents if it has fewer than LEAST; ``good`` is a perplexity up to the threshold.
+    The model is one of pairs of words that backs off to words and from these to their spelling (see ``word_grams``);
+    it counts all trusted texts, and its tables grow with them. They are sharded by hashed key and joined with the keys
+    of all texts; only the spelling's table of 64 MB is broadcast. A language's threshold is the ``quantile`` of the
+    perplexity of its trusted documents, or of all trusted documents if it has fewer than LEAST, each without what the
+    model has seen in that text alone. ``good`` is a perplexity up to the threshold, for words and also for characters,
+    which have the same quantile of their own: words alone let pass much junk that is spelled unlike trusted text.
     Defined cases: a null or empty text has no perplexity and is not good; a null language is a language of its own;
     without trusted text everything with a text is good; repeated rows are judged each; columns of ``docs`` with the
     names of the results are replaced.
 
-    The trusted keys are broadcast only up to FEW_KEYS. Texts are read twice and not shuffled in that case; thresholds
+    The trusted keys are broadcast only up to FEW_KEYS. Perplexities are joined back by a digest of the text; thresholds
     come from mergeable quantile summaries, so that a frequent language is no single task's.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("perplexity", "threshold", "good")
     keys = cut(trusted_keys(labels, key))
-    small = keys.count() <= FEW_KEYS
-    keys = F.broadcast(keys) if small else keys
-    model = spark.sparkContext.broadcast(estimate(count(docs.join(keys, key, "left_semi"), text)))
-    at, names = docs.columns.index(text), [*docs.columns, "perplexity"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, end, texts in slices(batch.column(at)):
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, end - i).columns, pa.array([model.value.perplexity(t) for t in texts], pa.float64())], names)
-
-    scored = docs.mapInArrow(run, StructType([*docs.schema.fields]).add("perplexity", DoubleType()))
-    narrow = cut(docs.select(key, lang, text).join(keys, key, "left_semi").transform(lambda d: _scored(d, model, text)).select(F.col(lang).alias("of_language"), "perplexity").where("perplexity is not null"))
-    q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
-    everywhere = narrow.agg(q.alias("t")).first()["t"]
-    own = narrow.groupBy("of_language").agg(F.count(F.lit(1)).alias("n"), q.alias("threshold")).where(F.col("n") >= LEAST).select("of_language", "threshold")
+    keys = F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+    trusted = docs.join(keys, key, "left_semi")
+    spelling = spark.sparkContext.broadcast(estimate(count(trusted, text)))
+    pairs, unseen = word_grams.estimate(word_grams.count(trusted, spelling, text), _discounts)
+    digest = F.unhex(F.md5(text))
+    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(keys.select(F.col(key).alias("known")), F.col("k") == F.col("known"), "left")
+    texts = marked.where("text <> ''").select(F.unhex(F.md5("text")).alias("h"), "text", F.col("known").isNotNull().alias("own"))
+    scores = cut(word_grams.perplexities(texts, pairs, spelling, unseen))
+    narrow = trusted.select(F.col(lang).alias("of_language"), digest.alias("h")).join(scores, "h")
+    narrow = cut(narrow.select("of_language", "without", "spelled"))
+    q = [F.percentile_approx(c, F.lit(quantile), F.lit(100_000)).alias(t) for c, t in (("without", "threshold"), ("spelled", "of_spelling"))]
+    everywhere = narrow.agg(*q).first()
+    own = narrow.groupBy("of_language").agg(F.count(F.lit(1)).alias("n"), *q).where(F.col("n") >= LEAST).select("of_language", "threshold", "of_spelling")
     own = cut(own)
     own = F.broadcast(own) if own.count() <= FEW_LANGS else own
+    scored = docs.join(scores.select(F.col("h").alias("of_text"), "perplexity", F.col("spelled").alias("by_spelling")), digest == F.col("of_text"), "left").drop("of_text")
     joined = scored.join(own, scored[lang].eqNullSafe(own["of_language"]), "left").drop(own["of_language"])
-    bound = F.coalesce("threshold", F.lit(everywhere).cast("double"))
-    return joined.withColumn("threshold", bound).withColumn("good", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
-
-
-def _scored(docs: DataFrame, model, text: str) -> DataFrame:
-    at, names = docs.columns.index(text), [*[c for c in docs.columns if c != text], "perplexity"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([model.value.perplexity(t.as_py()) for t in batch.column(at)], pa.float64())], names)
-
-    return docs.mapInArrow(run, StructType([f for f in docs.schema.fields if f.name != text]).add("perplexity", DoubleType()))
+    bound, of_spelling = (F.coalesce(t, F.lit(everywhere[t]).cast("double")) for t in ("threshold", "of_spelling"))
+    fits = F.coalesce((F.col("perplexity") <= bound) & (F.col("by_spelling") <= of_spelling), F.lit(True))
+    return joined.withColumn("good", F.col("perplexity").isNotNull() & fits).withColumn("threshold", bound).select(*docs.columns, "perplexity", "threshold", "good")

@@ -1,0 +1,262 @@
+"""Interpolated modified Kneser-Ney bigrams of words, kept as sharded tables and joined to the texts that they score.
+
+A text's log probability is a sum over keys that do not depend on each other: a word adds the gain of being seen and the
+weight that it leaves as a context, a pair of words the gain over backing off. So one join by hashed key scores it.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillmine.llm.common import cut
+
+#: Words and texts that a task looks up at a time.
+PART, DOCS = 1 << 21, 4096
+#: Words whose hash and spelling a task remembers.
+_MOST_WORDS = 400_000
+#: Bits of a hashed key within its bucket.
+_LOW = 40
+_WORD = re.compile(r"[^\W⺀-鿿]+|[⺀-鿿]|[^\w\s]")
+_START, _END = "\n<", "\n>"
+#: The end of a text has the share of one class of characters, words the rest.
+_END_LOG, _WORD_LOG = np.log(1 / 64), np.log(63 / 64)
+
+
+def words(text: str) -> list[str]:
+    """Runs of letters and digits in lower case, single signs and ideographs."""
+    return _WORD.findall(text.lower())
+
+
+def _id(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _keys(v: np.ndarray | int, w: np.ndarray) -> np.ndarray:
+    """The hashed key of each pair, or of each word where ``v`` is 0."""
+    x = w.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(v, np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+class _Seen(dict):
+    """The place of each word in ``ids`` and ``base``, the log probability of its spelling."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.ids, self.base = model, np.zeros(1 << 16, np.int64), np.zeros(1 << 16)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        if n == len(self.ids):
+            self.ids, self.base = np.r_[self.ids, np.zeros(n, np.int64)], np.r_[self.base, np.zeros(n)]
+        self.ids[n], self.base[n] = _id(word), _END_LOG if word == _END else _WORD_LOG + self.model.spelling(word)
+        return n
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and spelling of a text's words and its end."""
+        if len(self) > _MOST_WORDS:
+            self.clear()
+        ws = [*words(text), _END]
+        at = np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
+        return self.ids[at], self.base[at]
+
+
+def count(trusted: DataFrame, model, text: str) -> DataFrame:
+    """(v, w, c, p0): how often each word follows another in all texts, and the log probability of its spelling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, start, held, size = _Seen(model.value), np.array([_id(_START)]), [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            v, w, p0 = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, n = np.unique(_keys(v, w), return_index=True, return_counts=True)
+            for i in range(0, len(at), 1 << 16):
+                k = at[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(v[k]), pa.array(w[k]), pa.array(n[i : i + (1 << 16)].astype(np.int64)), pa.array(p0[k])], ["v", "w", "c", "p0"])
+
+        for batch in batches:
+            for value in batch.column(0):
+                if t := value.as_py():
+                    w, p0 = seen.of(t)
+                    held.append((np.r_[start, w[:-1]], w, p0))
+                    size += len(w)
+                    if size >= PART:
+                        yield from sent()
+                        held, size = [], 0
+        if held:
+            yield from sent()
+
+    return trusted.select(text).mapInArrow(run, "v long, w long, c long, p0 double").groupBy("v", "w").agg(F.sum("c").alias("c"), F.first("p0").alias("p0"))
+
+
+def estimate(counts: DataFrame, discounts) -> tuple[DataFrame, float]:
+    """((v, w, value, c) of each pair and, with v = 0, of each word; the log weight of unseen words).
+
+    Counts are sharded by context and joined with its statistics, and by word with its own estimate.
+    """
+
+    def cut_off(d: list[float]) -> Column:
+        return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+
+    counts = cut(counts)
+    d2 = discounts(counts)
+    follow = [*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)], F.count_if(F.col("c") >= 3).alias("n3")]
+    stats = counts.groupBy("v").agg(F.sum("c").alias("total"), *follow).select("v", "total", ((d2[0] * F.col("n1") + d2[1] * F.col("n2") + d2[2] * F.col("n3")) / F.col("total")).alias("gamma"))
+    seen = cut(counts.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.sum("c").alias("raw"), F.first("p0").alias("p0")))
+    d1, all_ = discounts(seen), seen.agg(F.sum("c").alias("total"), *follow).first()
+    total = all_["total"] or 1
+    weight = sum(d * all_[f"n{k}"] for d, k in zip(d1, (1, 2, 3), strict=True)) / total if all_["total"] else 1.0
+    one = seen.select("w", "raw", "p0", ((F.col("c") - cut_off(d1)) / total + weight * F.exp("p0")).alias("p1"))
+    gain = F.log("p1") - F.lit(float(np.log(weight))) - F.col("p0")
+    of_words = one.join(stats, F.col("w") == F.col("v"), "full").select(F.lit(0).cast("long").alias("v"), F.coalesce("w", "v").alias("w"), (F.coalesce(gain, F.lit(0.0)) + F.coalesce(F.log("gamma"), F.lit(0.0))).alias("value"), F.coalesce("raw", "total").alias("c"))
+    pairs = counts.join(stats, "v").join(one.select("w", "p1"), "w")
+    of_pairs = pairs.select("v", "w", (F.log((F.col("c") - cut_off(d2)) / F.col("total") + F.col("gamma") * F.col("p1")) - F.log("gamma") - F.log("p1")).alias("value"), "c")
+    return of_words.unionAll(of_pairs), float(np.log(weight))
+
+
+def _split(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, low bits in order, buckets, where each begins and the last ends) of keys dealt to ``n`` buckets."""
+    bucket, low = (keys >> np.uint64(_LOW)) % np.uint64(n), keys & np.uint64((1 << _LOW) - 1)
+    order = np.argsort(bucket << np.uint64(_LOW) | low, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    return order, low[order], bucket[first].astype(np.int64), np.r_[first, len(bucket)]
+
+
+def _packed(low: np.ndarray) -> bytes:
+    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _LOW // 8]).tobytes()
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    out = np.zeros((len(held) * 8 // _LOW, 8), np.uint8)
+    out[:, : _LOW // 8] = np.frombuffer(held, np.uint8).reshape(-1, _LOW // 8)
+    return out.view("<u8").ravel()
+
+
+def _shards(model: DataFrame, n: int) -> DataFrame:
+    names = ["bucket", "keys", "vals", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            v, w, value, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, low, buckets, ends = _split(_keys(v, w), n)
+            value, c = value[order].astype(np.float32), np.minimum(c[order], (1 << 32) - 1).astype(np.uint32)
+            for b, i, j in zip(buckets.tolist(), ends, ends[1:], strict=False):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in (_packed(low[i:j]), value[i:j].tobytes(), c[i:j].tobytes())]], names)
+
+        for batch in batches:
+            held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+            size += batch.num_rows
+            if size >= PART:
+                yield from sent()
+                held, size = [], 0
+        if size:
+            yield from sent()
+
+    return model.mapInArrow(run, "bucket int, keys binary, vals binary, times binary")
+
+
+def _asked(texts: DataFrame, model, unseen: float, n: int) -> DataFrame:
+    """For each part of a task's texts and each bucket: the keys to look up, and how often which texts have them."""
+    names = ["part", "bucket", "head", "own", "keys", "runs", "docs", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, start, task, parts = _Seen(model.value), _id(_START), TaskContext.get().partitionId(), 0
+        at: dict[bytes, int] = {}
+        held, base, length, spelled, own, size = [], [], [], [], [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            doc = np.repeat(np.arange(len(held), dtype=np.uint16), [len(k) for k, _ in held])
+            keys, times = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]).astype(np.uint32)
+            order, low, buckets, ends = _split(keys, n)
+            doc, times, flags = doc[order], times[order], np.packbits(np.array(own, bool)).tobytes()
+            head = b"".join(at) + np.array(base).tobytes() + np.array(length, np.int64).tobytes() + np.array(spelled).tobytes()
+            for k, (b, i, j) in enumerate(zip(buckets.tolist(), ends, ends[1:], strict=False)):
+                first = np.flatnonzero(np.r_[True, low[i + 1 : j] != low[i : j - 1]])
+                runs = np.diff(np.r_[first, j - i]).astype(np.uint16)
+                cols = [_packed(low[i:j][first]), runs.tobytes(), doc[i:j].tobytes(), times[i:j].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{parts}"]), pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in (None if k else head, flags, *cols)]], names)
+
+        for batch in batches:
+            for h, value, mine in zip(*batch.columns, strict=True):
+                digest, mine = h.as_py(), mine.as_py()
+                if digest in at:
+                    own[at[digest]] |= mine
+                    continue
+                w, p0 = seen.of(value.as_py())
+                starts = np.array([start])
+                held.append(np.unique(np.r_[_keys(np.r_[starts, w[:-1]], w), _keys(0, w), _keys(0, starts)], return_counts=True))
+                at[digest] = len(at)
+                base.append(float(p0.sum()) + unseen * len(w))
+                length.append(len(w))
+                spelled.append(model.value.perplexity(value.as_py()))
+                own.append(mine)
+                size += len(w)
+                if size >= PART or len(at) == DOCS:
+                    yield from sent()
+                    at, held, base, length, spelled, own, size, parts = {}, [], [], [], [], [], 0, parts + 1
+        if held:
+            yield from sent()
+
+    return texts.mapInArrow(run, "part string, bucket int, head binary, own binary, keys binary, runs binary, docs binary, times binary")
+
+
+def _answered(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """What the keys of a bucket add to each text, and what of it comes from keys that occur in one trusted text alone."""
+    low, value, c = np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.uint32)
+    if model.num_rows:
+        low = np.concatenate([_unpacked(x.as_py()) for x in model["keys"]])
+        value, c = (np.concatenate([np.frombuffer(x.as_py(), t) for x in model[k]]) for k, t in (("vals", np.float32), ("times", np.uint32)))
+        order = np.argsort(low)
+        low, value, c = low[order], value[order], c[order]
+    rows = []
+    for r in range(asked.num_rows):
+        part, head, own, keys, runs, docs, times = (asked[k][r].as_py() for k in ("part", "head", "own", "keys", "runs", "docs", "times"))
+        keys, runs, docs, times = _unpacked(keys), np.frombuffer(runs, np.uint16), np.frombuffer(docs, np.uint16), np.frombuffer(times, np.uint32)
+        adds, often = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        if len(low):
+            at = np.minimum(np.searchsorted(low, keys), len(low) - 1)
+            hit = low[at] == keys
+            adds, often = np.where(hit, value[at], 0.0), np.where(hit, c[at], 0)
+        adds, often = np.repeat(adds, runs) * times, np.repeat(often, runs)
+        alone = np.unpackbits(np.frombuffer(own, np.uint8))[docs].astype(bool) & (often <= times)
+        cells = []
+        for d, a in ((docs, adds), (docs[alone], adds[alone])):
+            s = np.bincount(d, a)
+            i = np.flatnonzero(s)
+            cells += [i.astype(np.uint16).tobytes(), s[i].astype(np.float32).tobytes()]
+        rows.append((part, head, *cells))
+    names = ["part", "head", "docs", "adds", "alone", "less"]
+    kinds = [pa.string(), *[pa.binary()] * 5]
+    return pa.table([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], names)
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    head = next(x for x in table["head"].to_pylist() if x is not None)
+    n = len(head) // 40
+    base, length, spelled = (np.frombuffer(head, t, n, k * n) for t, k in ((np.float64, 16), (np.int64, 24), (np.float64, 32)))
+    sums = [base.copy(), np.zeros(n)]
+    for out, i, s in ((sums[0], "docs", "adds"), (sums[1], "alone", "less")):
+        for at, x in zip(table[i], table[s], strict=True):
+            out[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(x.as_py(), np.float32)
+    whole, without = (np.exp(np.minimum(-x / length, 700)) for x in (sums[0], sums[0] - sums[1]))
+    return pa.table([pa.array([head[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(whole), pa.array(without), pa.array(spelled)], ["h", "perplexity", "without", "spelled"])
+
+
+def perplexities(texts: DataFrame, table: DataFrame, model, unseen: float) -> DataFrame:
+    """(h, perplexity, without, spelled) of each different (h, text, own): of a word of the whole text, the same without what
+    the model has seen there alone if the text is one of its own, and of a character."""
+    n = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = _asked(texts, model, unseen, n).groupBy("bucket").cogroup(_shards(table, n).groupBy("bucket")).applyInArrow(_answered, "part string, head binary, docs binary, adds binary, alone binary, less binary")
+    sums = found.groupBy("part").applyInArrow(_summed, "h binary, perplexity double, without double, spelled double")
+    return sums.groupBy("h").agg(F.max("perplexity").alias("perplexity"), F.max("without").alias("without"), F.max("spelled").alias("spelled"))

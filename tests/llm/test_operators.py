@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from quillmine.llm import bpe, common, kneser_ney, langid, latent, minhash, pivots, sharding, shingles, toxicity, urls, warc
+from quillmine.llm import bpe, common, kneser_ney, langid, latent, minhash, pivots, sharding, shingles, toxicity, urls, warc, word_grams
 
 WORDS = [a + b for a in ("an", "the", "ing", "ed", "or", "sh", "ti", "on") for b in ("re", "al", "en", "is", "ou", "nd")]
 
@@ -526,6 +526,57 @@ def test_quality_classifier(spark):
     assert kneser_ney.classify(docs.where("false"), labels).count() == 0
 
 
+def plain_word_perplexity(texts, spelling):
+    """Of a word, by dictionaries of pairs and words."""
+    pairs, raw, rows = {}, {}, [["<", *word_grams.words(t), ">"] for t in texts]
+    for ws in rows:
+        for g in zip(ws, ws[1:], strict=False):
+            pairs[g] = pairs.get(g, 0) + 1
+    for _, w in pairs:
+        raw[w] = raw.get(w, 0) + 1
+
+    def discounts(counts):
+        m = [0] + [sum(c == i for c in counts.values()) for i in (1, 2, 3, 4)]
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] and m[2] else 0.5
+        return [0] + [min(max(i - (i + 1) * y * m[i + 1] / m[i], 0.1), i - 0.1) if m[i] else 0.5 * i for i in (1, 2, 3)]
+
+    d1, d2 = discounts(raw), discounts(pairs)
+    total = sum(raw.values())
+    left = sum(d1[min(c, 3)] for c in raw.values()) / total
+
+    def one(w):
+        p0 = 1 / 64 if w == ">" else 63 / 64 * math.exp(spelling(w))
+        return (raw[w] - d1[min(raw[w], 3)] if w in raw else 0) / total + left * p0
+
+    def two(v, w):
+        after = {b: c for (a, b), c in pairs.items() if a == v}
+        if not after:
+            return one(w)
+        c, n = after.get(w, 0), sum(after.values())
+        return (c - d2[min(c, 3)]) / n + sum(d2[min(c, 3)] for c in after.values()) / n * one(w)
+
+    def perplexity(text):
+        ws = ["<", *word_grams.words(text), ">"]
+        return math.exp(-sum(math.log(two(v, w)) for v, w in zip(ws, ws[1:], strict=False)) / (len(ws) - 1))
+
+    return perplexity
+
+
+def test_quality_model_is_of_words(spark, monkeypatch):
+    monkeypatch.setattr(word_grams, "DOCS", 7)
+    rng = random.Random(22)
+    trusted = [prose(rng, 30).capitalize() + "." for _ in range(40)]
+    texts = [*trusted, prose(rng, 50), "Unseen zzyx " + prose(rng, 9), "anre " * 40, "  ", trusted[0]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    spelling = kneser_ney.estimate(kneser_ney.count(spark.createDataFrame([(t,) for t in trusted], "text string"))).spelling
+    plain = plain_word_perplexity(trusted, spelling)
+    got = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i]["perplexity"] == pytest.approx(plain(t), rel=1e-4), t
+
+
 # the pipeline
 
 
