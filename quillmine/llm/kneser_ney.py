@@ -1,133 +1,152 @@
-"""Operator 10: quality classification by interpolated modified Kneser-Ney bigrams of words, spelled by n-grams of characters."""
+"""Operator 10: quality classification by an interpolated modified Kneser-Ney model of bytes, kept as sharded tables.
+
+A text's log probability is a sum over places of terms that do not depend on each other: an n-gram that was seen adds its
+gain over backing off, and the weight that it leaves as a context. So one lookup a place scores a text: in a broadcast
+table of the HEAD most frequent n-grams, or else by a join with the shard that holds all n-grams of the same last bytes.
+"""
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.llm import word_grams
 from quillmine.llm.common import cut, ship
 
-#: Words are spelled by a model of classes of characters, 2 ** BITS of them, in n-grams of ORDER: this bounds every table of it.
-BITS, ORDER = 6, 4
-#: Characters that are counted or scored at a time, and n-grams that a task sorts at once.
-PIECE, BUFFER = 1 << 20, 1 << 22
+#: Bytes of an n-gram; orders up to BASE are one table of 2 ** (8 * BASE) cells, the higher ones are sharded.
+ORDER, BASE = 6, 3
+#: N-grams that are broadcast (20 MB).
+HEAD = 1 << 20
+#: Bytes that are counted or scored at a time, different n-grams that a task holds, texts and lookups that it sends at a time.
+PIECE, HELD, DOCS, PART = 1 << 20, 1 << 23, 4096, 1 << 21
 #: Keys of trusted documents up to which they are broadcast (8 MB); above, tables are joined by a shuffle.
 FEW_KEYS = 1_000_000
 #: Languages up to which their thresholds are broadcast.
 FEW_LANGS = 10_000
-#: Trusted documents a language needs for a threshold of its own.
-LEAST = 50
-
-#: Fixed classes: letters that are common in the corpus have their own, other characters share one by kind.
-_LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáåçéèêëîïíìñóôöòøùûüúßæœ"
-_SIGNS = {"\n": 54, ".": 55, ",": 56, "!": 57, "?": 57, "'": 58, '"': 58, "-": 59, "|": 60}
-_SPACE, _UPPER, _DIGIT, _LETTER, _OTHER = 53, 61, 62, 63, 60
-
-
-def _classes() -> np.ndarray:
-    """The class of each code point below 2 ** 16; class 0 is what comes before a text."""
-    out = np.full(1 << 16, _OTHER, np.uint8)
-    for i in range(1 << 16):
-        ch = chr(i)
-        kind = unicodedata.category(ch)
-        if ch in _SIGNS:
-            out[i] = _SIGNS[ch]
-        elif (at := _LETTERS.find(ch)) >= 0:
-            out[i] = at + 1
-        elif ch.isspace():
-            out[i] = _SPACE
-        elif kind == "Lu":
-            out[i] = _UPPER
-        elif kind[0] == "N":
-            out[i] = _DIGIT
-        elif kind[0] == "L" or kind[0] == "M":
-            out[i] = _LETTER
-    return out
-
-
-_CLASSES = _classes()
-
-
-def grams(text: str) -> Iterator[np.ndarray]:
-    """The n-gram that ends at each character, oldest class in the highest bits, by pieces of the text."""
-    before = np.zeros(ORDER - 1, np.int32)
-    for at in range(0, len(text), PIECE):
-        code = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
-        c = np.r_[before, _CLASSES[np.minimum(code, (1 << 16) - 1)].astype(np.int32)]
-        before = c[len(c) - ORDER + 1 :]
-        n = len(c) - ORDER + 1
-        g = c[:n].copy()
-        for i in range(1, ORDER):
-            g = (g << BITS) | c[i : i + n]
-        yield g
 
+#: Bytes that UTF-8 never has stand before and behind a text.
+_START, _END = b"\xff", b"\xfe"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
-@dataclass
-class Model:
-    """Seen n-grams in order with their log probability, the log weight of each context, and all trigrams' log probability."""
 
-    seen: np.ndarray
-    seen_log: np.ndarray
-    context_log: np.ndarray
-    lower_log: np.ndarray
+def _pieces(text: str) -> Iterator[bytes]:
+    """The text's bytes with its start and end, in parts that overlap so that each n-gram falls into one of them."""
+    whole = _START * ORDER + text.encode("utf-8", "surrogatepass") + _END
+    for at in range(ORDER - 1, len(whole), PIECE):
+        yield whole[at - ORDER + 1 : at + PIECE]
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def table(self) -> np.ndarray:
-        """The log probability of every n-gram, 64 MB, made once in a worker."""
-        if not hasattr(self, "_table"):
-            self._table = np.repeat(self.context_log, 1 << BITS)
-            self._table += np.tile(self.lower_log, 1 << BITS)
-            self._table[self.seen] = self.seen_log
-        return self._table
+def _grams(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, the number of the piece they are from) that end at each byte, oldest byte highest; a text's first is all start."""
+    x = np.frombuffer(b"".join(held), np.uint8)
+    g = x[: len(x) - ORDER + 1].astype(np.uint64)
+    for i in range(1, ORDER):
+        g <<= np.uint64(8)
+        g |= x[i : len(x) - ORDER + 1 + i]
+    sizes = np.array([len(p) for p in held])
+    of = np.repeat(np.arange(len(held)), sizes)
+    inside = np.ones(len(x), bool)
+    ends = np.cumsum(sizes)
+    for i in range(1, ORDER):
+        inside[ends[:-1] - i] = False
+    inside = inside[: len(g)]
+    return g[inside], of[: len(g)][inside]
+
+
+def _packed(sorted_numbers: np.ndarray) -> bytes:
+    """Numbers in order, as differences by planes of bytes."""
+    gaps = np.diff(sorted_numbers.astype(np.uint64), prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _small(numbers: np.ndarray, kind: str) -> bytes:
+    n = np.ascontiguousarray(numbers.astype(kind))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(n.view(np.uint8).reshape(len(n), -1).T).tobytes())
+
+
+def _large(held: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _bucket(g: np.ndarray, n: int) -> np.ndarray:
+    """The shard of an n-gram: its last four bytes decide, so that it is with all that it backs off to."""
+    return (((g & np.uint64(0xFFFFFFFF)) * _ODD) >> np.uint64(33)) % np.uint64(n)
+
+
+def _dealt(g: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places) of n-grams that are in order; a shard's places stay in order."""
+    b = _bucket(g, n)
+    order = np.argsort(b, kind="stable")
+    b = b[order]
+    ends = np.r_[np.flatnonzero(np.r_[True, b[1:] != b[:-1]]), len(b)] if len(b) else np.zeros(1, np.int64)
+    for i, j in zip(ends, ends[1:], strict=False):
+        yield int(b[i]), order[i:j]
+
+
+def _suffix(n: int) -> Column:
+    return F.col("g").bitwiseAND((1 << 8 * n) - 1)
 
-    def perplexity(self, text: str | None) -> float | None:
-        """Of a character of the whole text; None for an empty one."""
-        if not text:
-            return None
-        t = self.table()
-        return float(np.exp(-sum(float(t[g].sum(dtype=np.float64)) for g in grams(text)) / len(text)))
 
-    def spelling(self, word: str) -> float:
-        """The log probability of a word's characters and the space after them, behind a space."""
-        t = self.table()
-        return sum(float(t[g].sum(dtype=np.float64)) for g in grams(f" {word} ")) - float(t[_SPACE])
+def _shards(df: DataFrame) -> int:
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def count(trusted: DataFrame, text: str = "text") -> DataFrame:
-    """(g, c): how often each n-gram occurs in all texts. A task sends each of its n-grams once for BUFFER characters at most."""
+    """(g, c): how often each n-gram of ORDER occurs in all texts. A task sends each of its n-grams once for HELD of them."""
     ship(trusted.sparkSession)
+    n = _shards(trusted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        have, times = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        have, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            keys, at = np.unique(np.r_[have, new], return_inverse=True)
-            return keys.astype(np.int32), np.bincount(at, np.r_[times, n], len(keys)).astype(np.int64)
+            g = _grams(held)[0]
+            keys, c = np.unique(g[g != (1 << 8 * ORDER) - 1], return_counts=True)
+            every, at = np.unique(np.r_[have, keys], return_inverse=True)
+            return every, np.bincount(at, np.r_[times, c], len(every)).astype(np.int64)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for b, at in _dealt(have, n):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(have[at])], pa.binary()), pa.array([_small(times[at], "<u8")], pa.binary())], ["bucket", "keys", "times"])
 
         for batch in batches:
             for value in batch.column(0):
-                for g in grams(value.as_py() or ""):
-                    held.append(g)
-                    size += len(g)
-                    if size >= BUFFER:
+                for piece in _pieces(value.as_py()) if value.as_py() else ():
+                    held.append(piece)
+                    size += len(piece)
+                    if size >= 4 * PIECE:
                         have, times = merged()
                         held, size = [], 0
-        have, times = merged()
-        for i in range(0, len(have), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(have[i : i + (1 << 16)]), pa.array(times[i : i + (1 << 16)])], ["g", "c"])
+                        if len(have) >= HELD:
+                            yield from sent()
+                            have, times = have[:0], times[:0]
+        if held:
+            have, times = merged()
+        yield from sent()
+
+    def add(t: pa.Table) -> pa.Table:
+        g, c = np.concatenate([_unpacked(x.as_py()) for x in t["keys"]]), np.concatenate([_large(x.as_py(), "<u8") for x in t["times"]])
+        every, at = np.unique(g, return_inverse=True)
+        return pa.table({"g": pa.array(every.astype(np.int64)), "c": pa.array(np.bincount(at, c, len(every)).astype(np.int64))})
 
-    return trusted.select(text).mapInArrow(run, "g int, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    rows, sc = trusted.select(text), trusted.sparkSession.sparkContext
+    if sc.getConf().get("spark.dynamicAllocation.enabled", "false") != "true":  # fewer tasks send fewer n-grams twice
+        rows = rows.coalesce(2 * sc.defaultParallelism)
+    return rows.mapInArrow(run, "bucket int, keys binary, times binary").groupBy("bucket").applyInArrow(add, "g long, c long")
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -137,44 +156,267 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(k - (k + 1) * y * n[f"n{k + 1}"] / n[f"n{k}"], 0.1), k - 0.1) if n[f"n{k}"] else 0.5 * k for k in (1, 2, 3)]
 
 
-def _level(counts: DataFrame) -> DataFrame:
-    """(g, alpha, gamma): the discounted probability of a seen n-gram and the weight that its context leaves to lower orders.
+def _level(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((g, h, c, alpha, gamma) of seen n-grams, (h, gamma) of contexts): discounted probability, and weight left to lower orders.
 
     Counts are sharded by context and joined with the statistics of their context: its total and how many followers
     occur once, twice and more often.
     """
     d = _discounts(counts)
-    h = F.shiftright("g", BITS).alias("h")
+    h = F.shiftright("g", 8).alias("h")
     stats = counts.groupBy(h).agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)], F.count_if(F.col("c") >= 3).alias("n3"))
+    stats = stats.select("h", "total", ((d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")).alias("gamma"))
     cut_off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    joined = counts.withColumn("h", h).join(stats, "h")
-    return joined.select("g", ((F.col("c") - cut_off) / F.col("total")).alias("alpha"), ((d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")).alias("gamma"))
+    rows = counts.withColumn("h", h).join(stats, "h").select("g", "h", "c", ((F.col("c") - cut_off) / F.col("total")).alias("alpha"), "gamma")
+    return rows, stats.select("h", "gamma")
 
 
-def estimate(counts: DataFrame) -> Model:
-    """Interpolate modified Kneser-Ney estimates of all orders.
+@dataclass
+class Model:
+    """What every worker has: the orders up to BASE, and the head in the order of its cells, with values, gains and counts."""
+
+    seen: np.ndarray
+    seen_log: np.ndarray
+    context_log: np.ndarray
+    lower_log: np.ndarray
+    after: np.ndarray
+    after_log: np.ndarray
+    head: np.ndarray
+    value: np.ndarray
+    gain: np.ndarray
+    times: np.ndarray
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    Below the highest order an n-gram counts as often as different classes come before it. The driver gets the
-    seen n-grams' numbers, 2 ** (BITS * ORDER) of 20 bytes at most, and usually a few hundred thousand.
+    def table(self) -> np.ndarray:
+        """For each n-gram of BASE, its log probability and the log weight that it leaves as a context; 64 MB, made once in a worker."""
+        if not hasattr(self, "_table"):
+            self._table = np.repeat(self.context_log, 1 << 8)
+            self._table += np.tile(self.lower_log, 1 << 8)
+            self._table[self.seen] = self.seen_log
+            self._table[-1] = 0  # the start has no probability
+            self._table[self.after] += self.after_log
+        return self._table
+
+    def place(self, g: np.ndarray) -> np.ndarray:
+        """The place of each n-gram in the head, -1 where it is not there."""
+        if not hasattr(self, "_first"):
+            self._first = np.searchsorted(_cell(self.head), np.arange((1 << 21) + 1)).astype(np.int32)
+        c = _cell(g)
+        at, end = self._first[c], self._first[c + 1]
+        out, left = np.full(len(g), -1, np.int32), np.flatnonzero(at < end)
+        while len(left):
+            hit = self.head[at[left]] == g[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+def _cell(g: np.ndarray) -> np.ndarray:
+    return ((g * _ODD) >> np.uint64(43)).astype(np.int32)
+
+
+def estimate(counts: DataFrame) -> tuple[Model, DataFrame]:
+    """(the model of the workers, (n, g, value, gain, c) of all n-grams of more than BASE bytes), by interpolation of all orders.
+
+    Below the highest order an n-gram counts as often as different bytes come before it. ``gain`` is an n-gram's gain
+    over backing off and ``value`` also has the log weight that it leaves as a context; ``c`` is given for the highest
+    order. The driver gets the n-grams of BASE, 2 ** (8 * BASE) at most and usually some hundred thousand, and the head.
     """
-    counts = cut(counts)
-    by_order = {ORDER: counts}
+    by_order = {ORDER: cut(counts)}
     for n in range(ORDER - 1, 0, -1):
-        suffix = F.col("g").bitwiseAND((1 << BITS * n) - 1)
-        by_order[n] = cut(by_order[n + 1].groupBy(suffix.alias("g")).agg(F.count(F.lit(1)).alias("c")))
-    lower, size = np.full(1, 0.5**BITS), 1 << BITS  # the probability of each n-gram of the order below, uniform at first
+        by_order[n] = cut(by_order[n + 1].groupBy(_suffix(n).alias("g")).agg(F.count(F.lit(1)).alias("c")))
+    levels, weights, lower = {}, {}, np.full(1, 0.5**8)
     for n in range(1, ORDER + 1):
-        rows = _level(by_order[n]).toArrow()
-        g, alpha, gamma = (rows.column(k).to_numpy() for k in ("g", "alpha", "gamma"))
-        context = np.ones(size ** (n - 1))
-        context[g >> BITS] = gamma
-        if n < ORDER:
-            every = np.repeat(context, size) * np.tile(lower, size)
-            every[g] += alpha
-            lower = every
-    at = np.argsort(g)
-    seen = alpha[at] + gamma[at] * lower[g[at] & (len(lower) - 1)]
-    return Model(g[at].astype(np.int32), np.log(seen).astype(np.float32), np.log(context).astype(np.float32), np.log(lower).astype(np.float32))
+        rows, contexts = _level(by_order[n])
+        weights[n] = contexts.select("h", F.log("gamma").alias("w"))
+        if n <= BASE:
+            t = rows.toArrow()
+            g, alpha, gamma = (t.column(k).to_numpy() for k in ("g", "alpha", "gamma"))
+            context = np.ones(1 << 8 * (n - 1))
+            context[g >> 8] = gamma
+            if n < BASE:
+                every = np.repeat(context, 1 << 8) * np.tile(lower, 1 << 8)
+                every[g] += alpha
+                lower = every
+            else:
+                seen = g[np.argsort(g)]
+                seen_log = np.log(alpha + gamma * lower[g & (len(lower) - 1)])[np.argsort(g)]
+        if n > 1:
+            rows = rows.withColumn("s", _suffix(n - 1)).join(levels[n - 1].select(F.col("g").alias("s"), F.col("p").alias("q")), "s")
+        else:
+            rows = rows.withColumn("q", F.lit(0.5**8))
+        p = F.col("alpha") + F.col("gamma") * F.col("q")
+        levels[n] = cut(rows.select("g", "c", p.alias("p"), (F.log(p) - F.log("gamma") - F.log("q")).alias("gain")))
+    after = weights[BASE + 1].toArrow()
+
+    zero, tables = F.lit(0.0), {}
+    for n in range(BASE + 1, ORDER):
+        both = levels[n].select("g", "gain").join(weights[n + 1], F.col("g") == F.col("h"), "full")
+        gain = F.coalesce("gain", zero)
+        tables[n] = both.select(F.lit(n).alias("n"), F.coalesce("g", "h").alias("g"), (gain + F.coalesce("w", zero)).alias("value"), gain.alias("gain"), F.lit(0).cast("long").alias("c"))
+    tables[ORDER] = levels[ORDER].select(F.lit(ORDER).alias("n"), "g", F.col("gain").alias("value"), "gain", "c")
+
+    scale = F.floor(F.log2("c") * 64)
+    least, size = 0, 0
+    for r in levels[ORDER].groupBy(scale.alias("scale")).count().orderBy(F.desc("scale")).collect():  # some thousand rows at most
+        size += r["count"]
+        if size > HEAD:
+            least = r["scale"] + 1
+            break
+    top = tables[ORDER].where(scale >= least).drop("n")
+    for n in range(BASE + 1, ORDER):
+        more = tables[n].select(F.col("g").alias("s"), F.col("value").alias("more"))
+        top = top.withColumn("s", _suffix(n)).join(more, "s", "left").select("g", (F.col("value") + F.coalesce("more", zero)).alias("value"), "gain", "c")
+    t = top.toArrow()
+    head = t["g"].to_numpy().astype(np.uint64)
+    order = np.argsort(_cell(head), kind="stable")
+    model = Model(
+        seen.astype(np.int64), seen_log.astype(np.float32), np.log(context).astype(np.float32), np.log(lower).astype(np.float32),
+        after["h"].to_numpy().astype(np.int64), after["w"].to_numpy().astype(np.float32),
+        head[order], t["value"].to_numpy()[order].astype(np.float32), t["gain"].to_numpy()[order].astype(np.float32), np.minimum(t["c"].to_numpy()[order], (1 << 32) - 1).astype(np.uint32),
+    )
+    out = tables[ORDER]
+    for n in range(BASE + 1, ORDER):
+        out = out.unionAll(tables[n])
+    return model, out
+
+
+def _asked(texts: DataFrame, model, n: int) -> DataFrame:
+    """For each part of a task's texts: what workers know of each text, and for each shard the n-grams to look up and their texts."""
+    names = ["part", "bucket", "head", "own", "keys", "runs", "docs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, task, parts = model.value, TaskContext.get().partitionId(), 0
+        at: dict[tuple[bytes, bool], int] = {}
+        log, less, length = (np.zeros(DOCS) for _ in range(3))
+        wanted, asked, held, of, size = [], 0, [], [], 0
+
+        def scored() -> int:
+            """Add up the pieces that are held, and keep n-grams beyond the head to be asked for: so many."""
+            g, piece = _grams(held)
+            doc = np.array(of)[piece]
+            np.add(log, np.bincount(doc, m.table()[(g & np.uint64((1 << 8 * BASE) - 1)).view(np.int64)], DOCS), out=log)
+            place = m.place(g)
+            hit = np.flatnonzero(place >= 0)
+            where, place_hit = doc[hit], place[hit]
+            np.add(log, np.bincount(where, m.value[place_hit], DOCS), out=log)
+            own = np.zeros(DOCS, bool)
+            own[: len(at)] = [mine for _, mine in at]
+            some = own[where] & (m.times[place_hit] <= len(g))
+            pair, times = np.unique(where[some].astype(np.int64) << 32 | place_hit[some], return_counts=True)
+            k = pair & 0xFFFFFFFF
+            np.add(less, np.bincount(pair >> 32, np.where(m.times[k] <= times, m.gain[k] * times, 0.0), DOCS), out=less)
+            rest = np.flatnonzero(place < 0)
+            wanted.append((g[rest], doc[rest].astype(np.uint16)))
+            return len(rest)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            g, doc = (np.concatenate(x) for x in zip(*wanted, strict=True))
+            order = np.lexsort((doc, g))
+            g, doc = g[order], doc[order]
+            head = b"".join(h for h, _ in at) + b"".join(x[: len(at)].tobytes() for x in (log, less, length))
+            name, flags = f"{task}-{parts}", np.packbits([mine for _, mine in at]).tobytes()
+            for k, (b, i) in enumerate(_dealt(g, n)):  # never empty, as no start is in the head
+                x = g[i]
+                first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                cols = [head if k == 0 else None, flags, _packed(x[first]), _small(np.diff(np.r_[first, len(x)]), "<u4"), _small(doc[i], "<u2")]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], names)
+
+        for batch in batches:
+            for h, value, mine in zip(*batch.columns, strict=True):
+                key = h.as_py(), mine.as_py()
+                if key in at:
+                    continue
+                for i, piece in enumerate(_pieces(value.as_py())):
+                    k = at.setdefault(key, len(at))
+                    length[k] += len(piece) - ORDER + 1 - (i == 0)
+                    held.append(piece)
+                    of.append(k)
+                    size += len(piece)
+                    full = len(at) == DOCS
+                    if size >= PIECE or full:
+                        asked += scored()
+                        held, of, size = [], [], 0
+                    if asked >= PART or full:
+                        yield from sent()
+                        at, wanted, asked, parts = {}, [], 0, parts + 1
+                        for x in (log, less, length):
+                            x[:] = 0
+        if held:
+            scored()
+        if at:
+            yield from sent()
+
+    return texts.mapInArrow(run, "part string, bucket int, head binary, own binary, keys binary, runs binary, docs binary")
+
+
+def _answered(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """What the n-grams of a shard add to each text, and what of it is the gain of those that occur in one trusted text alone."""
+    by_order = {}
+    for n in range(BASE + 1, ORDER + 1):
+        of = model.filter(pa.compute.equal(model["n"], n))
+        g = of["g"].to_numpy().astype(np.uint64)
+        order = np.argsort(g)
+        by_order[n] = g[order], *(of[k].to_numpy()[order] for k in ("value", "gain", "c"))
+    rows = []
+    for r in range(asked.num_rows):
+        part, head, own, keys, runs, docs = (asked[k][r].as_py() for k in ("part", "head", "own", "keys", "runs", "docs"))
+        keys, runs, docs = _unpacked(keys), _large(runs, "<u4"), _large(docs, "<u2")
+        adds, gain, often = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        for n, (g, value, gains, c) in by_order.items():
+            if len(g):
+                short = keys & np.uint64((1 << 8 * n) - 1)
+                at = np.minimum(np.searchsorted(g, short), len(g) - 1)
+                hit = g[at] == short
+                adds += np.where(hit, value[at], 0.0)
+                if n == ORDER:
+                    gain, often = np.where(hit, gains[at], 0.0), np.where(hit, c[at], 0)
+        which = np.repeat(np.arange(len(keys)), runs)
+        first = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (docs[1:] != docs[:-1])])
+        which, docs, times = which[first], docs[first], np.diff(np.r_[first, len(which)])
+        mine = np.unpackbits(np.frombuffer(own, np.uint8))[docs].astype(bool)
+        alone = mine & (often[which] <= times)
+        cells = []
+        for s in (np.bincount(docs, adds[which] * times), np.bincount(docs[alone], gain[which[alone]] * times[alone])):
+            i = np.flatnonzero(s)
+            cells += [i.astype(np.uint16).tobytes(), s[i].astype(np.float32).tobytes()]
+        rows.append((part, head, own, *cells))
+    names = ["part", "head", "own", "docs", "adds", "alone", "less"]
+    kinds = [pa.string(), *[pa.binary()] * 6]
+    return pa.table([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names)
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    head = next(x for x in table["head"].to_pylist() if x is not None)
+    n = len(head) // 40
+    log, less, length = (np.frombuffer(head, np.float64, n, 8 * k * n + 16 * n).copy() for k in range(3))
+    for out, i, s in ((log, "docs", "adds"), (less, "alone", "less")):
+        for at, x in zip(table[i], table[s], strict=True):
+            out[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(x.as_py(), np.float32)
+    own = np.unpackbits(np.frombuffer(table["own"][0].as_py(), np.uint8))[:n].astype(bool)
+    return pa.table([pa.array([head[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(log), pa.array(length), pa.array(np.where(own, log - less, 0.0)), pa.array(np.where(own, length, 0.0))], ["h", "log", "length", "own_log", "own_length"])
+
+
+def perplexities(texts: DataFrame, table: DataFrame, model) -> DataFrame:
+    """(h, perplexity, without) of each different (h, text, own): of a byte of the whole text, and the same for one of the
+    texts' own without the gain of n-grams of ORDER that occur there alone."""
+    n = _shards(texts)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                g = b.column(1).to_numpy().astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(_bucket(g, n).astype(np.int32)), *b.columns], ["bucket", *b.schema.names])
+
+    shards = table.mapInArrow(dealt, "bucket int, n int, g long, value double, gain double, c long")
+    found = _asked(texts, model, n).groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInArrow(_answered, "part string, head binary, own binary, docs binary, adds binary, alone binary, less binary")
+    sums = found.groupBy("part").applyInArrow(_summed, "h binary, log double, length double, own_log double, own_length double")
+    mean = lambda a, b: F.when(F.sum(b) > 0, F.exp(F.least(-F.try_divide(F.sum(a), F.sum(b)), F.lit(700.0))))
+    return sums.groupBy("h").agg(mean("log", "length").alias("perplexity"), mean("own_log", "own_length").alias("without"))
 
 
 def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -182,18 +424,18 @@ def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality")
     return labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("q")).where("q > 0").select(key)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Judge every whole text by its perplexity: all columns of ``docs``, then ``perplexity``, ``threshold`` and ``good``.
 
-    The model is one of pairs of words that backs off to words and from these to their spelling (see ``word_grams``);
-    it counts all trusted texts, and its tables grow with them. They are sharded by hashed key and joined with the keys
-    of all texts; only the spelling's table of 64 MB is broadcast. A language's threshold is the ``quantile`` of the
-    perplexity of its trusted documents, or of all trusted documents if it has fewer than LEAST, each without what the
-    model has seen in that text alone. ``good`` is a perplexity up to the threshold, for words and also for characters,
-    which have the same quantile of their own: words alone let pass much junk that is spelled unlike trusted text.
+    The model counts the n-grams of ORDER bytes of all trusted texts, and its tables grow with them. They are sharded by
+    their last four bytes and joined with the n-grams of all texts that are not among the HEAD most frequent ones, which
+    are broadcast with the orders up to BASE (80 MB at most, and 64 MB more once unpacked). A language's threshold is the
+    ``quantile`` of the perplexity of its trusted documents, each without what the model has seen in that text alone, and
+    ``good`` is a perplexity up to the threshold. A language without trusted documents has the quantile of all of them.
+
     Defined cases: a null or empty text has no perplexity and is not good; a null language is a language of its own;
     without trusted text everything with a text is good; repeated rows are judged each; columns of ``docs`` with the
-    names of the results are replaced.
+    names of the results are replaced. What a text of more than PART looked up n-grams has alone is found by parts.
 
     The trusted keys are broadcast only up to FEW_KEYS. Perplexities are joined back by a digest of the text; thresholds
     come from mergeable quantile summaries, so that a frequent language is no single task's.
@@ -204,21 +446,18 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, key: s
     keys = cut(trusted_keys(labels, key))
     keys = F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
     trusted = docs.join(keys, key, "left_semi")
-    spelling = spark.sparkContext.broadcast(estimate(count(trusted, text)))
-    pairs, unseen = word_grams.estimate(word_grams.count(trusted, spelling, text), _discounts)
+    model, table = estimate(count(trusted, text))
     digest = F.unhex(F.md5(text))
     marked = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(keys.select(F.col(key).alias("known")), F.col("k") == F.col("known"), "left")
     texts = marked.where("text <> ''").select(F.unhex(F.md5("text")).alias("h"), "text", F.col("known").isNotNull().alias("own"))
-    scores = cut(word_grams.perplexities(texts, pairs, spelling, unseen))
-    narrow = trusted.select(F.col(lang).alias("of_language"), digest.alias("h")).join(scores, "h")
-    narrow = cut(narrow.select("of_language", "without", "spelled"))
-    q = [F.percentile_approx(c, F.lit(quantile), F.lit(100_000)).alias(t) for c, t in (("without", "threshold"), ("spelled", "of_spelling"))]
-    everywhere = narrow.agg(*q).first()
-    own = narrow.groupBy("of_language").agg(F.count(F.lit(1)).alias("n"), *q).where(F.col("n") >= LEAST).select("of_language", "threshold", "of_spelling")
-    own = cut(own)
+    scores = cut(perplexities(texts, table, spark.sparkContext.broadcast(model)))
+    narrow = cut(trusted.select(F.col(lang).alias("of_language"), digest.alias("h")).join(scores, "h").select("of_language", "without"))
+    bound = F.percentile_approx("without", F.lit(quantile), F.lit(100_000))
+    everywhere = narrow.agg(bound.alias("q")).first()["q"]
+    own = cut(narrow.groupBy("of_language").agg(bound.alias("threshold")))
     own = F.broadcast(own) if own.count() <= FEW_LANGS else own
-    scored = docs.join(scores.select(F.col("h").alias("of_text"), "perplexity", F.col("spelled").alias("by_spelling")), digest == F.col("of_text"), "left").drop("of_text")
+    scored = docs.join(scores.select(F.col("h").alias("of_text"), "perplexity"), digest == F.col("of_text"), "left").drop("of_text")
     joined = scored.join(own, scored[lang].eqNullSafe(own["of_language"]), "left").drop(own["of_language"])
-    bound, of_spelling = (F.coalesce(t, F.lit(everywhere[t]).cast("double")) for t in ("threshold", "of_spelling"))
-    fits = F.coalesce((F.col("perplexity") <= bound) & (F.col("by_spelling") <= of_spelling), F.lit(True))
-    return joined.withColumn("good", F.col("perplexity").isNotNull() & fits).withColumn("threshold", bound).select(*docs.columns, "perplexity", "threshold", "good")
+    joined = joined.withColumn("threshold", F.coalesce("threshold", F.lit(everywhere).cast("double")))
+    good = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    return joined.withColumn("good", good).select(*docs.columns, "perplexity", "threshold", "good")

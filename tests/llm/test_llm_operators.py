@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from quillmine.llm import bpe, common, kneser_ney, langid, latent, minhash, pivots, sharding, shingles, toxicity, urls, warc, word_grams
+from quillmine.llm import bpe, common, kneser_ney, langid, latent, minhash, pivots, sharding, shingles, toxicity, urls, warc
 
 WORDS = [a + b for a in ("an", "the", "ing", "ed", "or", "sh", "ti", "on") for b in ("re", "al", "en", "is", "ou", "nd")]
 
@@ -466,11 +466,12 @@ def test_pieces_of_a_long_text(monkeypatch):
 
 
 def plain_kneser_ney(texts):
-    """Probabilities of all orders by dictionaries."""
-    n, size = kneser_ney.ORDER, 1 << kneser_ney.BITS
+    """The perplexity of a byte, and the same without the gain of what one of ``texts`` has alone, by dictionaries."""
+    n = kneser_ney.ORDER
+    rows = lambda t: [255] * (n - 1) + list(t.encode()) + [254]
     counts = [{} for _ in range(n + 1)]
     for t in texts:
-        c = [0] * (n - 1) + [int(kneser_ney._CLASSES[min(ord(x), 65535)]) for x in t]
+        c = rows(t)
         for i in range(n - 1, len(c)):
             g = tuple(c[i - n + 1 : i + 1])
             counts[n][g] = counts[n].get(g, 0) + 1
@@ -483,34 +484,57 @@ def plain_kneser_ney(texts):
         y = m[1] / (m[1] + 2 * m[2]) if m[1] and m[2] else 0.5
         return [0] + [min(max(i - (i + 1) * y * m[i + 1] / m[i], 0.1), i - 0.1) if m[i] else 0.5 * i for i in (1, 2, 3)]
 
-    ds = [None] + [discounts(k) for k in range(1, n + 1)]
+    ds, after = [None] + [discounts(k) for k in range(1, n + 1)], {}
+    for k in range(1, n + 1):
+        for g, c in counts[k].items():
+            after.setdefault(g[:-1], []).append(c)
 
-    def p(g):
+    def p(g, without=False):
         if not g:
-            return 1 / size
-        k = len(g)
-        after = {x: c for x, c in counts[k].items() if x[:-1] == g[:-1]}
-        if not after:
+            return 1 / 256
+        if g[:-1] not in after:
             return p(g[1:])
-        total, d = sum(after.values()), ds[k]
-        gamma = sum(d[min(c, 3)] for c in after.values()) / total
-        c = after.get(g, 0)
-        return (c - d[min(c, 3)] if c else 0) / total + gamma * p(g[1:])
+        d, total = ds[len(g)], sum(after[g[:-1]])
+        gamma = sum(d[min(c, 3)] for c in after[g[:-1]]) / total
+        c = 0 if without else counts[len(g)].get(g, 0)
+        return (c - d[min(c, 3)]) / total + gamma * p(g[1:]) if c else gamma * p(g[1:])
 
-    return p
+    def perplexity(t, own=False):
+        c = rows(t)
+        gs = [tuple(c[i - n + 1 : i + 1]) for i in range(n - 1, len(c))]
+        return math.exp(-sum(math.log(p(g, own and gs.count(g) == counts[n].get(g))) for g in gs) / len(gs))
+
+    return perplexity
 
 
-def test_kneser_ney_probabilities(spark):
+@pytest.mark.parametrize(("head", "docs"), [(1 << 20, 4096), (40, 7), (0, 1)])
+def test_kneser_ney_perplexity(spark, monkeypatch, head, docs):
+    """All n-grams in the head, some of them, and none; texts in parts of different size."""
+    monkeypatch.setattr(kneser_ney, "HEAD", head)
+    monkeypatch.setattr(kneser_ney, "DOCS", docs)
     rng = random.Random(18)
-    texts = [prose(rng, 12).capitalize() + "." for _ in range(12)]
-    model = kneser_ney.estimate(kneser_ney.count(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)))
-    p = plain_kneser_ney(texts)
-    for t in (texts[0], "zzz QQ 99", "an the\nÉ漢"):
-        for g in next(kneser_ney.grams(t)).tolist():
-            parts = tuple(g >> kneser_ney.BITS * k & 63 for k in range(kneser_ney.ORDER - 1, -1, -1))
-            assert model.table()[g] == pytest.approx(math.log(p(parts)), rel=1e-4)
-    assert np.exp(model.table().reshape(-1, 64)[:500]).sum(axis=1) == pytest.approx(1, rel=1e-3)
-    assert model.perplexity(texts[0]) < model.perplexity("ZQ!!! $$$ 99x") and model.perplexity("") is None
+    trusted = [prose(rng, 8).capitalize() + "." for _ in range(12)]
+    texts = [*trusted, "zzz QQ 99", "an the\nÉ漢 \u0000", prose(rng, 40), "anre " * 30, "a", trusted[0]]
+    plain = plain_kneser_ney(trusted)
+    model, table = kneser_ney.estimate(kneser_ney.count(spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3)))
+    assert len(model.head) <= head
+    rows = spark.createDataFrame([(hashlib.md5(t.encode()).digest(), t, i < len(trusted)) for i, t in enumerate(texts)], "h binary, text string, own boolean")
+    got = {bytes(r["h"]): r for r in kneser_ney.perplexities(rows, table, spark.sparkContext.broadcast(model)).collect()}
+    assert len(got) == len(set(texts))
+    for i, t in enumerate(texts[:-1]):
+        r = got[hashlib.md5(t.encode()).digest()]
+        assert r["perplexity"] == pytest.approx(plain(t), rel=1e-4), t
+        assert r["without"] == (pytest.approx(plain(t, True), rel=1e-4) if i < len(trusted) else None), t
+
+
+def test_kneser_ney_pieces(monkeypatch):
+    """The n-grams of a text do not depend on the pieces in which it is read."""
+    text = "Über ein langes Wort, 漢字. " * 9
+    whole = kneser_ney._grams(list(kneser_ney._pieces(text)))[0]
+    monkeypatch.setattr(kneser_ney, "PIECE", 13)
+    g, piece = kneser_ney._grams([p for t in (text, "x", text) for p in kneser_ney._pieces(t)])
+    assert len(whole) == len(text.encode()) + 2 and list(g) == [*whole, *kneser_ney._grams(list(kneser_ney._pieces("x")))[0], *whole]
+    assert (np.diff(piece) >= 0).all()
 
 
 def test_quality_classifier(spark):
@@ -518,63 +542,27 @@ def test_quality_classifier(spark):
     rows = [(100 + i, prose(rng, rng.randint(20, 80)) if i % 5 else "".join(rng.choice("QZ!$%&9") for _ in range(200)), "en" if i % 3 else None) for i in range(400)]
     labels = spark.createDataFrame([(100 + i, int(i % 5 > 0)) for i in range(0, 400, 2)] + [(None, 1), (3, None)], "doc_id long, quality int")
     docs = odd_docs(spark, rows).withColumn("threshold", F.lit("old")).withColumn("l", F.lit(1))
-    got = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels).collect()}
-    assert all(got[100 + i]["good"] == (i % 5 > 0) for i in range(0, 400) if i % 5 == 0 or i % 2 == 0) or sum(got[100 + i]["good"] != (i % 5 > 0) for i in range(400)) <= 8
+    done = kneser_ney.classify(docs, labels).collect()
+    got = {r["doc_id"]: r for r in done}
+    assert len(done) == docs.count() and got[100]["l"] == 1
+    assert sum(got[100 + i]["good"] != (i % 5 > 0) for i in range(400)) <= 12 and not any(got[100 + i]["good"] for i in range(0, 400, 5))
     assert not any(got[i]["good"] for i in (1, 2)) and got[1]["perplexity"] is None and got[4]["perplexity"] > 0
     bare = kneser_ney.classify(odd_docs(spark), spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert {r["doc_id"]: r["good"] for r in bare}[5] and len(bare) == 9
     assert kneser_ney.classify(docs.where("false"), labels).count() == 0
 
 
-def plain_word_perplexity(texts, spelling):
-    """Of a word, by dictionaries of pairs and words."""
-    pairs, raw, rows = {}, {}, [["<", *word_grams.words(t), ">"] for t in texts]
-    for ws in rows:
-        for g in zip(ws, ws[1:], strict=False):
-            pairs[g] = pairs.get(g, 0) + 1
-    for _, w in pairs:
-        raw[w] = raw.get(w, 0) + 1
-
-    def discounts(counts):
-        m = [0] + [sum(c == i for c in counts.values()) for i in (1, 2, 3, 4)]
-        y = m[1] / (m[1] + 2 * m[2]) if m[1] and m[2] else 0.5
-        return [0] + [min(max(i - (i + 1) * y * m[i + 1] / m[i], 0.1), i - 0.1) if m[i] else 0.5 * i for i in (1, 2, 3)]
-
-    d1, d2 = discounts(raw), discounts(pairs)
-    total = sum(raw.values())
-    left = sum(d1[min(c, 3)] for c in raw.values()) / total
-
-    def one(w):
-        p0 = 1 / 64 if w == ">" else 63 / 64 * math.exp(spelling(w))
-        return (raw[w] - d1[min(raw[w], 3)] if w in raw else 0) / total + left * p0
-
-    def two(v, w):
-        after = {b: c for (a, b), c in pairs.items() if a == v}
-        if not after:
-            return one(w)
-        c, n = after.get(w, 0), sum(after.values())
-        return (c - d2[min(c, 3)]) / n + sum(d2[min(c, 3)] for c in after.values()) / n * one(w)
-
-    def perplexity(text):
-        ws = ["<", *word_grams.words(text), ">"]
-        return math.exp(-sum(math.log(two(v, w)) for v, w in zip(ws, ws[1:], strict=False)) / (len(ws) - 1))
-
-    return perplexity
-
-
-def test_quality_model_is_of_words(spark, monkeypatch):
-    monkeypatch.setattr(word_grams, "DOCS", 7)
-    rng = random.Random(22)
-    trusted = [prose(rng, 30).capitalize() + "." for _ in range(40)]
-    texts = [*trusted, prose(rng, 50), "Unseen zzyx " + prose(rng, 9), "anre " * 40, "  ", trusted[0]]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
-    spelling = kneser_ney.estimate(kneser_ney.count(spark.createDataFrame([(t,) for t in trusted], "text string"))).spelling
-    plain = plain_word_perplexity(trusted, spelling)
-    got = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels).collect()}
-    assert len(got) == len(texts)
-    for i, t in enumerate(texts):
-        assert got[i]["perplexity"] == pytest.approx(plain(t), rel=1e-4), t
+def test_quality_thresholds_are_the_languages_own(spark):
+    """Verdicts by the plain model, with a threshold for each language, also for one of few trusted documents."""
+    rng = random.Random(23)
+    rows = [(i, prose(rng, rng.randint(3, 12)), ("en", "de", "xx")[0 if i < 30 else 1 if i < 38 else 2]) for i in range(44)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(0, 38, 2)], "doc_id long, quality int")
+    plain = plain_kneser_ney([t for i, t, _ in rows if i % 2 == 0 and i < 38])
+    own = [(g, plain(t, True)) for i, t, g in rows if i % 2 == 0 and i < 38]
+    bound = {g: max(x for h, x in own if g in (h, "xx")) for g in ("en", "de", "xx")}
+    got = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels, 1.0).collect()}
+    for i, t, g in rows:
+        assert got[i]["threshold"] == pytest.approx(bound[g], rel=1e-4) and got[i]["good"] == (plain(t) <= bound[g] * (1 + 1e-5)), i
 
 
 # the pipeline
