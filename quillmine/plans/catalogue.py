@@ -11,6 +11,7 @@ from quillmine.functions import query as Q
 from quillmine.functions import text as T
 from quillmine.operators import chunking, context, history, retrieval, tables, transcripts
 from quillmine.plans import answers
+from quillmine.plans import chunk_sql as C
 from quillmine.plans.search import allowed_documents, search
 from quillmine.sources import tables as S
 
@@ -305,13 +306,9 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 @query(f"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\W+')) AS word, generate_subscripts(regexp_split_to_array(lower(text), '\\W+'), 1) AS pos FROM documents),
 n AS (SELECT doc_id, word, count(*) AS n, min(pos) AS pos FROM w WHERE length(word) >= 3 AND word NOT IN ({_STOP}) GROUP BY ALL)
-SELECT doc_id, word, n FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) <= 12""")
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) - 1 AS INTEGER) AS place, word FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) <= 12""")
 def keyword_topn(spark, d):
-    """Keywords by rows instead of arrays: words are counted with a partial aggregate, then each document's first are kept."""
-    each = S.read(spark, d, "documents").select("doc_id", F.posexplode(T.words(F.col("text"))).alias("at", "word"))
-    n = each.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    first = F.row_number().over(retrieval.Window.partitionBy("doc_id").orderBy(F.desc("n"), "at"))
-    return n.withColumn("r", first).where("r <= 12").select("doc_id", "word", "n")
+    return S.read(spark, d, "documents").select("doc_id", F.posexplode(chunking.top_keywords(F.col("text"))).alias("place", "word"))
 
 
 _LINE_TITLE = "substring(split_part(text, chr(10), 1), 1, 80)"
@@ -337,9 +334,9 @@ def searchable_text(spark, d):
     return S.chunks(spark, d).select("chunk_id", T.searchable_text(c("title"), c("topic"), c("subtopic"), c("content_preview"), none, none, c("tags"), none, c("text")).alias("searchable"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(substring(text, 1, 60)), '\\s+'), lambda x: length(regexp_replace(x, '[^\\w-]', '', 'g')) >= 2).list_transform(lambda x: regexp_replace(x, '[^\\w-]', '', 'g')), ' ') AS terms FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(regexp_replace(x, '[^\\w-]', '', 'g')) >= 2).list_transform(lambda x: regexp_replace(x, '[^\\w-]', '', 'g')), ' ') AS terms FROM documents")
 def query_terms(spark, d):
-    return S.read(spark, d, "documents").select("doc_id", F.array_join(T.query_tokens(F.substring("text", 1, 60)), " ").alias("terms"))
+    return S.read(spark, d, "documents").select("doc_id", F.array_join(T.query_tokens(F.col("text")), " ").alias("terms"))
 
 
 _TIDY = "trim(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\s+([.,!?;:])', '\\1', 'g'), '([.,!?;:])+', '\\1', 'g'))"
@@ -459,9 +456,11 @@ def delete_cascade(spark, d):
     return tables.without_document({"chunks": S.chunks(spark, d)}, 4, USER)["chunks"].select("chunk_id")
 
 
-@query("SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+@query(f"WITH {_CHUNKS} SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id NOT IN (SELECT chunk_id FROM chunks WHERE user_id <> '{USER}')")
 def orphan_vectors(spark, d):
-    return tables.orphans(S.vectors(spark, d), S.chunks(spark, d).where("chunk_id % 3 = 0")).select("chunk_id")
+    """The vectors left behind when all chunks of one owner are deleted."""
+    left = S.chunks(spark, d).where(F.col("user_id") != USER)
+    return tables.orphans(S.vectors(spark, d), left).select("chunk_id")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'new' ELSE url END AS url, 'completed' AS state FROM pages UNION ALL SELECT page_id + 1000000, 'new', NULL FROM pages WHERE page_id % 4 = 0")
@@ -471,41 +470,79 @@ def upsert_merge(spark, d):
     return tables.merged(old, some.unionAll(some.withColumn("page_id", F.col("page_id") + 1000000)), ["page_id"])
 
 
-def _structured(spark: SparkSession, d: str) -> DataFrame:
+_SOURCE = f"source AS (SELECT doc_id AS document_id, text, {_LINE_TITLE} AS title FROM documents)"
+_LEVELS = (1, 2, 3, 2, 3, 4)
+_NESTED = f"""source AS (SELECT document_id, text, 'Parts' AS title FROM (SELECT document_id, string_agg(repeat('#', {list(_LEVELS)}[(i - 1) % {len(_LEVELS)} + 1]) || ' Part ' || (i - 1) || chr(10) || line, chr(10) ORDER BY i) AS text FROM
+  (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY document_id))"""
+_CHUNK_COLUMNS = ("document_id", "chunk_index", "text", "title", "topic", "subtopic", "section_path", "level", "parent_chunk_index", "token_count", "content_preview")
+
+
+def _joined(df: DataFrame, *names: str) -> DataFrame:
+    """These columns, arrays as text."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.array_join(c, " > ").alias(c) if kinds[c].startswith("array") else c for c in names])
+
+
+def _structured(spark: SparkSession, d: str, keywords: bool = False) -> DataFrame:
     """The chunker's chunks of every row of ``documents``."""
-    return chunking.chunked(S.chunks(spark, d).select(F.col("chunk_id").alias("document_id"), "text", "title"))
+    return chunking.chunked(S.chunks(spark, d).select(F.col("chunk_id").alias("document_id"), "text", "title"), keywords=keywords)
+
+
+def _nested(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a heading before each line, of levels that rise and fall, as the texts themselves have next to none."""
+    levels = F.array(*[F.lit(n) for n in _LEVELS])
+    headed = F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.repeat(F.lit("#"), F.get(levels, F.pmod(i, F.lit(len(_LEVELS))))), F.lit(" Part "), i.cast("string"), F.lit("\n"), line))
+    return chunking.chunked(S.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.array_join(headed, "\n").alias("text"), F.lit("Parts").alias("title")))
+
+
+def _listed(*names: str) -> str:
+    return ", ".join(f"array_to_string({c}, ' > ') AS {c}" if c in ("section_path", "keywords", "concepts", "tags") else c for c in names)
 
 
-@query()
+@query(f"WITH RECURSIVE {_SOURCE}, {C.TOPICS} SELECT {_listed(*_CHUNK_COLUMNS)} FROM topics")
 def chunk_topics(spark, d):
-    return _structured(spark, d)
+    return _joined(_structured(spark, d), *_CHUNK_COLUMNS)
 
 
-@query()
+@query(f"WITH RECURSIVE {_NESTED}, {C.TOPICS} SELECT {_listed(*_CHUNK_COLUMNS)} FROM topics")
+def chunk_topics_nested(spark, d):
+    return _joined(_nested(spark, d), *_CHUNK_COLUMNS)
+
+
+_ENRICHED_COLUMNS = ("document_id", "chunk_index", "keywords", "concepts", "summary", "tags")
+
+
+@query(f"WITH RECURSIVE {_SOURCE}, {C.TOPICS}, {C.ENRICHED} SELECT {_listed(*_ENRICHED_COLUMNS)}, {C.EMBEDDING} AS embedding_text, {C.SEARCHABLE} AS searchable_text FROM enriched")
 def enrich_chunks(spark, d):
-    return chunking.enriched(_structured(spark, d)).drop("embedding_text", "searchable_text")
+    return _joined(chunking.enriched(_structured(spark, d, keywords=True)), *_ENRICHED_COLUMNS, "embedding_text", "searchable_text")
 
 
-@query()
+@query(f"WITH RECURSIVE {_NESTED}, {C.TOPICS} SELECT document_id || ':' || chunk_index AS chunk_id, document_id, chunk_index, document_id || ':' || parent_chunk_index AS parent_chunk_id FROM topics")
 def parent_links(spark, d):
-    return chunking.with_parents(_structured(spark, d)).select("chunk_id", "document_id", "chunk_index", "parent_chunk_id")
+    return chunking.with_parents(_nested(spark, d)).select("chunk_id", "document_id", "chunk_index", "parent_chunk_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {_NESTED}, {C.TOPICS}, {C.ANCESTORS} SELECT * FROM ancestors")
 def chunk_ancestors(spark, d):
-    return chunking.ancestors(_structured(spark, d))
+    return chunking.ancestors(_nested(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), {C.parts('texts', 'cuts', 'doc_id')} SELECT doc_id, CAST(part - 1 AS INTEGER) AS part, piece AS text FROM cuts")
 def split_tokens(spark, d):
-    S.read(spark, d, "documents").createOrReplaceTempView("quillmine_split_source")
     chunking.register(spark)
-    return spark.sql("SELECT doc_id, s.part, s.text FROM quillmine_split_source, LATERAL split_tokens(text) s")
+    return spark.sql("SELECT doc_id, s.part, s.text FROM {docs}, LATERAL split_tokens(text) s", docs=S.read(spark, d, "documents"))
 
 
-@query()
+_COMPATIBLE = (("st", "\ufb06"), (".", "\u2024"), ("2", "\u00b2"), ("\u00e9", "e\u0301"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\S\\n]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM documents")
 def clean_text(spark, d):
-    return S.read(spark, d, "documents").select("doc_id", chunking.clean_text(F.col("text")).alias("text"))
+    """The texts are first written with compatible and decomposed characters, which NFKC undoes."""
+    text = F.col("text")
+    for plain, odd in _COMPATIBLE:
+        text = F.replace(text, F.lit(plain), F.lit(odd))
+    return S.read(spark, d, "documents").select("doc_id", chunking.clean_text(text).alias("text"))
 
 
 @query(f"WITH t AS (SELECT line AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) SELECT count(*) AS lines, sum({_tokens('text')}) AS tokens FROM t")

@@ -75,7 +75,7 @@ def test_chunks_enriched_and_linked(spark):
 
 
 def test_keywords():
-    assert K.keywords("Cats like cats, dogs like the dogs. Cats!") == ["cats", "like", "dogs"]
+    assert K.top("Cats like cats, dogs like the dogs. Cats!") == ["cats", "like", "dogs"]
 
 
 def test_table_functions(spark):
