@@ -25,7 +25,7 @@ ORDER, BASE = 6, 3
 #: N-grams that are broadcast (20 MB).
 HEAD = 1 << 20
 #: Bytes that are counted or scored at a time, different n-grams that a task holds, texts and lookups that it sends at a time.
-PIECE, HELD, DOCS, PART = 1 << 20, 1 << 23, 4096, 1 << 21
+PIECE, HELD, DOCS, PART = 1 << 19, 1 << 23, 4096, 1 << 21
 #: Keys of trusted documents up to which they are broadcast (8 MB); above, tables are joined by a shuffle.
 FEW_KEYS = 1_000_000
 #: Languages up to which their thresholds are broadcast.
@@ -128,7 +128,7 @@ def count(trusted: DataFrame, text: str = "text") -> DataFrame:
                 for piece in _pieces(value.as_py()) if value.as_py() else ():
                     held.append(piece)
                     size += len(piece)
-                    if size >= 4 * PIECE:
+                    if size >= 8 * PIECE:
                         have, times = merged()
                         held, size = [], 0
                         if len(have) >= HELD:
@@ -193,7 +193,7 @@ class Model:
         """For each n-gram of BASE, its log probability and the log weight that it leaves as a context; 64 MB, made once in a worker."""
         if not hasattr(self, "_table"):
             self._table = np.repeat(self.context_log, 1 << 8)
-            self._table += np.tile(self.lower_log, 1 << 8)
+            self._table.reshape(1 << 8, -1)[:] += self.lower_log
             self._table[self.seen] = self.seen_log
             self._table[-1] = 0  # the start has no probability
             self._table[self.after] += self.after_log
@@ -456,7 +456,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, key: st
     everywhere = narrow.agg(bound.alias("q")).first()["q"]
     own = cut(narrow.groupBy("of_language").agg(bound.alias("threshold")))
     own = F.broadcast(own) if own.count() <= FEW_LANGS else own
-    scored = docs.join(scores.select(F.col("h").alias("of_text"), "perplexity"), digest == F.col("of_text"), "left").drop("of_text")
+    named = docs.withColumn("own text", digest)  # a column, so that the join moves texts only if they are asked for
+    scored = named.join(scores.select(F.col("h").alias("of_text"), "perplexity"), F.col("own text") == F.col("of_text"), "left").drop("of_text", "own text")
     joined = scored.join(own, scored[lang].eqNullSafe(own["of_language"]), "left").drop(own["of_language"])
     joined = joined.withColumn("threshold", F.coalesce("threshold", F.lit(everywhere).cast("double")))
     good = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
