@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +16,13 @@ from pyspark.sql.types import DoubleType, StructType
 from quillmine.llm.bpe import slices
 from quillmine.llm.common import ship
 
-#: Words of a window; bytes of ordinary text that both dictionaries hold and of the part in which they differ.
+#: Words of a window; bytes of ordinary text that both dictionaries hold and of the trained part in which they differ.
 WINDOW, SHARED, OWN = 8, 4_000_000, 16_000
-#: A word enters the toxic dictionary if it is in so many toxic documents, so much more often than in ordinary ones.
-LEAST, RATIO = 4, 6.0
+#: Toxic text is sampled by windows of SHORT words that the toxic text of the other FOLDS - 1 folds compresses better by LEAST
+#: bytes than ordinary text does, in ROUNDS rounds; each fold's dictionary is MOST bytes at most.
+SHORT, FOLDS, LEAST, ROUNDS, MOST = 4, 5, 2, 2, 2_000_000
+#: Bytes of a segment that dictionary training chooses, of the strings that it counts, and of samples for a byte of dictionary.
+SEGMENT, COUNTED, DENSE = 32, 8, 10
 #: Gains of a window are counted from LOW to HIGH bytes.
 LOW, HIGH = -8, 15
 #: The bound of the labelled sample: rows, and characters of their texts.
@@ -32,9 +34,9 @@ def tokens(text: str | None) -> list[str]:
     return [x for x in (w.strip(_STRIP) for w in (text or "").lower().split()) if x]
 
 
-def _windows(words: list[str]) -> Iterator[bytes]:
-    for i in range(0, max(1, len(words)), WINDOW):
-        yield f" {' '.join(words[i : i + WINDOW])} ".encode("utf-8", "surrogatepass")
+def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
+    words = tokens(text)
+    return [f" {' '.join(words[i : i + size])} ".encode("utf-8", "surrogatepass") for i in range(0, max(1, len(words)), size)]
 
 
 @dataclass
@@ -57,7 +59,7 @@ class Model:
         if not hasattr(self, "_pair"):
             self._pair = _compressor(self.ordinary), _compressor(self.toxic)
         a, b = self._pair[0].compress, self._pair[1].compress
-        return np.array([len(a(w)) - len(b(w)) for w in _windows(tokens(text))]).clip(LOW, HIGH)
+        return np.array([len(a(w)) - len(b(w)) for w in windows(text)]).clip(LOW, HIGH)
 
     def features(self, gains: np.ndarray) -> np.ndarray:
         r = np.sort(self.ratio[gains - LOW])
@@ -70,42 +72,77 @@ class Model:
         return 1 / (1 + math.exp(-min(max(z, -500), 500)))
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    p = zstandard.ZstdCompressionParameters(window_log=22, hash_log=22, chain_log=21, search_log=5, min_match=5, target_length=32, strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+def parameters() -> zstandard.ZstdCompressionParameters:
+    return zstandard.ZstdCompressionParameters(window_log=22, hash_log=22, chain_log=21, search_log=5, min_match=5, target_length=32, strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+
+def _compressor_dict(content: bytes) -> zstandard.ZstdCompressionDict:
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    d.precompute_compress(compression_params=p)
-    return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
+    d.precompute_compress(compression_params=parameters())
+    return d
+
+
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(dict_data=_compressor_dict(content), compression_params=parameters())
+
+
+def _gain(ordinary: bytes, toxic: bytes) -> Callable[[bytes], int]:
+    a, b = _compressor(ordinary).compress, _compressor(toxic).compress
+    return lambda w: len(a(w)) - len(b(w))
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of at most ``size`` bytes; the samples themselves where they are too few to train one."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=COUNTED).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def telling(toxic: list[str], shared: bytes, rest: bytes) -> list[bytes]:
+    """The windows of toxic texts that the toxic texts of other folds compress better than as much ordinary text does.
+
+    What toxic texts have in common with each other but not with ordinary text remains; chance likeness does not, as a
+    window never meets its own text. Later rounds compare with the windows that the round before has left.
+    """
+    folds = [toxic[i::FOLDS] for i in range(FOLDS)]
+    cuts = [[w for t in fold for w in windows(t, SHORT)] for fold in folds]
+    left = [[w for t in fold for w in windows(t)] for fold in folds]
+    for _ in range(ROUNDS):
+        chosen = []
+        for k, fold in enumerate(cuts):
+            own = b"".join(w for i, ws in enumerate(left) if i != k for w in ws)[:MOST]
+            gain = _gain(rest[: len(own)] + shared, own + shared)
+            chosen.append([w for w in fold if gain(w) >= LEAST])
+        left = chosen
+    return [w for ws in left for w in ws]
 
 
 def fit(rows: Sequence[tuple[str | None, int]]) -> Model:
-    """Train on (text, 0 or 1): three fifths of the rows fill the dictionaries, the others calibrate.
+    """Train on (text, 0 or 1): four fifths of the rows train the dictionaries, the others calibrate.
 
-    Both dictionaries end with the same ordinary text. Before it the toxic one has the words that mark toxic
-    documents, the most telling last, and the ordinary one as much further ordinary text, so that a gain comes from
-    toxic wording alone. If either label is missing, the score is the share of label 1 (0 without rows).
+    One dictionary is trained on windows of ordinary text, the other on the telling windows of toxic text (see above), as
+    most words of a toxic text are ordinary. Behind their trained part both hold the same ordinary text, so that a gain
+    comes from toxic wording alone. If either label is missing, the score is the share of label 1 (0 without rows).
     """
-    content = [r for i, r in enumerate(rows) if i % 5 < 3]
-    calibration = [r for i, r in enumerate(rows) if i % 5 >= 3]
+    content = [r for i, r in enumerate(rows) if i % 5 < 4]
+    calibration = [r for i, r in enumerate(rows) if i % 5 == 4]
     share = sum(y for _, y in rows) / len(rows) if rows else 0.0
     empty = np.zeros(0)
     if any(len({y for _, y in part}) < 2 for part in (content, calibration)):
         return Model(b"", b"", empty, empty, empty, empty, share)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, y in content:
-        seen[y].update(set(tokens(text)))
-    n = [sum(y == k for _, y in content) for k in (0, 1)]
-    much = lambda w: (seen[1][w] / n[1]) / ((seen[0][w] + 0.5) / n[0])
-    marks = sorted((w for w, c in seen[1].items() if c >= LEAST and len(w) >= 3 and much(w) >= RATIO), key=lambda w: (seen[1][w] * math.log(much(w)), w))
-    own = f" {' '.join(marks)} ".encode("utf-8", "surrogatepass")[-OWN:]
-    body, size = [], 0
+    ordinary: list[bytes] = []
+    size = 0
     for text, y in content:
-        if not y:
-            body.append(" ".join(tokens(text)).encode("utf-8", "surrogatepass"))
-            size += len(body[-1]) + 1
-            if size >= SHARED + len(own):
-                break
-    text = b" ".join(body)
-    shared, other = text[: max(0, min(SHARED, len(text) - len(own)))], text[max(0, min(SHARED, len(text) - len(own))) :][: len(own)]
+        if not y and size < SHARED + MOST:
+            ordinary += windows(text)
+            size += sum(map(len, windows(text)))
+    body = b"".join(ordinary)
+    at = min(SHARED, len(body) * 3 // 4)
+    shared, rest = body[:at], body[at:]
+    chosen = telling([text or "" for text, y in content if y], shared, rest)
+    size = min(OWN, max(1000, sum(map(len, chosen)) // DENSE))
+    own, other = trained(chosen, size), trained(ordinary[: max(20_000, len(chosen))], size)
     model = Model(other + shared, own + shared, empty, empty, empty, empty)
     gains, label = [model.gains(t) for t, _ in calibration], np.array([y for _, y in calibration])
     count = [np.bincount(np.concatenate([g for g, y in zip(gains, label, strict=True) if y == k]) - LOW, minlength=HIGH - LOW + 1) + 1.0 for k in (0, 1)]

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from quillmine.llm import bpe, common, kneser_ney, langid, latent, minhash, pivots, sharding, shingles, toxicity, urls, warc
@@ -185,6 +186,24 @@ def test_toxicity_finds_held_out(spark):
     assert again == {r["doc_id"]: r["toxic_score"] for r in got}  # labels of held-out rows play no part
 
 
+def test_toxicity_dictionaries():
+    """The toxic dictionary is trained on what toxic texts share; scores follow from plain compression of each window."""
+    rows = toxic_rows(random.Random(30), 900)
+    model = toxicity.fit(rows)
+    own, other = (d[: len(d) - toxicity.SHARED] if len(d) > toxicity.SHARED else d for d in (model.toxic, model.ordinary))
+    assert own[:4] == other[:4] == (0xEC30A437).to_bytes(4, "little")  # both begin with a trained dictionary
+    marks = {w for t, y in rows if y for w in t.split()} - {w for t, y in rows if not y for w in t.split()}
+    assert marks and sum(w.encode() in own for w in marks) >= 0.9 * len(marks) and not any(w.encode() in other for w in marks)
+    plain = [zstandard.ZstdCompressor(dict_data=toxicity._compressor_dict(d), compression_params=toxicity.parameters()) for d in (model.ordinary, model.toxic)]
+    for text, _ in [*rows[:40], ("", 0)]:
+        ws = toxicity.tokens(text)
+        cut = [f" {' '.join(ws[i : i + 8])} ".encode() for i in range(0, len(ws), 8)] or [b"  "]
+        gains = [min(max(len(plain[0].compress(w)) - len(plain[1].compress(w)), -8), 15) for w in cut]
+        r = sorted(model.ratio[g + 8] for g in gains)
+        x = np.array([sum(r), r[-1], math.log(len(r)), sum(r[-3:]), sum(g >= 3 for g in gains) / (8 + len(r))])
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-((x - model.mean) / model.scale @ model.weights[:-1] + model.weights[-1]))), abs=1e-9)
+
+
 def test_toxicity_odd(spark):
     docs = odd_docs(spark)
     rows = toxicity.score(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
