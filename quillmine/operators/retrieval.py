@@ -106,8 +106,9 @@ def grouped(hits: DataFrame, documents: DataFrame, now: datetime) -> DataFrame:
     """
     order = F.struct((-F.col("final_score")).alias("o1"), (-F.col("rrf_score")).alias("o2"), F.coalesce("vector_rank", F.lit(1 << 30)).alias("o3"), F.coalesce("keyword_rank", F.lit(1 << 30)).alias("o4"), F.col("chunk_id").alias("o5"))
     known = hits.join(documents.select("document_id", F.col("user_id"), F.col("title").alias("document_title"), F.col("type").alias("document_type"), "created_at"), ["document_id", "user_id"])
+    more = [c for c in ("title", "subtopic", "section_path", "video_id", "start_s") if c in known.columns]
     by = known.groupBy("document_id", "document_title", "document_type", "created_at").agg(
-        F.max("final_score").alias("best_score"), F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_list(F.struct(order.alias("o"), "chunk_id", "chunk_index", "final_score", "content_preview", "topic"))).alias("matched")
+        F.max("final_score").alias("best_score"), F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_list(F.struct(order.alias("o"), "chunk_id", "chunk_index", "final_score", "content_preview", "topic", *more))).alias("matched")
     )
     bonus = BONUS * F.least(F.col("n_chunks"), F.lit(MANY)) / MANY + BONUS * T.recency(F.col("created_at"), T.instant(now))
     return by.withColumn("score", F.col("best_score") + bonus).withColumn("top", F.col("matched")[0])

@@ -30,7 +30,8 @@ def search(chunks: DataFrame, documents: DataFrame, vectors: DataFrame, user_id:
     """A page of documents for a query whose embedding is ``vector``.
 
     Topic and tag restrict the vector leg alone; the number of hits of each leg grows with the page, and ``total`` counts
-    the documents in that window, not in the corpus.
+    the documents in that window, not in the corpus. Where chunks have them, results also tell the best chunk's
+    ``section_path``, and for videos its ``timestamp`` and the ``video_url`` that begins there.
     """
     f, page, limit = f or Q.Filter(), Q.page_of(page), Q.limit_of(limit)
     query = Q.checked_query(query)
@@ -42,9 +43,13 @@ def search(chunks: DataFrame, documents: DataFrame, vectors: DataFrame, user_id:
     w = R.ranked(R.keyword_hits(own, terms, k).select("chunk_id", "score"))
     groups = R.grouped(R.reranked(R.rows_of(R.fused(v, w), own), terms, phrases), documents, now)
     order = [F.desc("score"), F.col("top.o"), F.col("document_id")]
+    top, video = F.col("top"), F.col("document_type") == "video"
+    more = [top["section_path"].alias("section_path")] if "section_path" in chunks.columns else []
+    if {"video_id", "start_s"} <= set(chunks.columns):
+        more += [F.when(video, T.clock(top["start_s"])).alias("timestamp"), F.when(video, T.watch_url(top["video_id"], top["start_s"])).alias("video_url")]
     few = groups.withColumns({"place": F.row_number().over(Window.orderBy(*order)), "total": F.count(F.lit(1)).over(Window.partitionBy())})
     return few.where(F.col("place").between((page - 1) * limit + 1, page * limit)).select(
         "place", "document_id", F.col("document_title").alias("title"), F.col("document_type").alias("type"), T.two_decimals(F.col("score")).alias("score"), F.col("n_chunks").cast("int").alias("n_chunks"),
         F.col("top.chunk_id").alias("top_chunk"), F.col("top.topic").alias("topic"), T.preview_snippet(F.col("top.content_preview"), terms).alias("preview"),
-        F.array_join(F.transform("matched", lambda m: m["chunk_id"].cast("string")), ",").alias("chunks"), F.col("total").cast("int").alias("total"),
+        F.array_join(F.transform("matched", lambda m: m["chunk_id"].cast("string")), ",").alias("chunks"), F.col("total").cast("int").alias("total"), *more,
     )

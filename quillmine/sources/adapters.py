@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol, TypeVar
@@ -14,8 +15,10 @@ from pyspark.sql import DataFrame
 from quillmine.session import ship
 
 V = TypeVar("V")
-#: Tries of a call, seconds that the wait grows by, texts of a batch, size of a vector.
-TRIES, WAIT_S, BATCH, DIMENSION = 3, 1.0, 16, 1024
+#: Tries of a call, seconds that the wait grows by, that a call may take, and between batches; texts of a batch, size of a vector.
+TRIES, WAIT_S, TIMEOUT_S, GAP_S, BATCH, DIMENSION = 3, 1.0, 60.0, 0.15, 16, 1024
+#: What the messages of failures that may pass have in them.
+PASSING = ("rate limit", "429", "502", "503", "timeout", "timed out", "econnreset")
 
 
 class Embedder(Protocol):
@@ -49,11 +52,37 @@ def service_error(message: str) -> ServiceError:
     return ServiceError(message, 500)
 
 
-def tried(call: Callable[[], V], tries: int = TRIES, wait_s: float = WAIT_S, retry: Callable[[Exception], bool] = lambda e: True) -> V:
-    """The call's result; failures are tried again after a wait that grows by ``wait_s`` each time."""
+def passing(e: Exception) -> bool:
+    """Whether a failure may pass by itself, so that another try is worth it."""
+    return isinstance(e, TimeoutError) or any(m in str(e).lower() for m in PASSING)
+
+
+def timed(call: Callable[[], V], timeout_s: float) -> V:
+    """The call's result, or TimeoutError after so many seconds; the call itself is left to end in its thread."""
+    got: list = []
+
+    def run() -> None:
+        try:
+            got.append((call(), None))
+        except BaseException as e:
+            got.append((None, e))
+
+    t = threading.Thread(target=run, daemon=True)
+    t.start()
+    t.join(timeout_s)
+    if not got:
+        raise TimeoutError(f"timed out after {timeout_s:g} s")
+    value, error = got[0]
+    if error is not None:
+        raise error
+    return value
+
+
+def tried(call: Callable[[], V], tries: int = TRIES, wait_s: float = WAIT_S, retry: Callable[[Exception], bool] = passing, timeout_s: float = TIMEOUT_S) -> V:
+    """The call's result; failures that may pass are tried again after a wait that grows by ``wait_s`` each time."""
     for n in range(1, tries + 1):
         try:
-            return call()
+            return timed(call, timeout_s)
         except Exception as e:
             if n == tries or not retry(e):
                 raise
@@ -62,7 +91,9 @@ def tried(call: Callable[[], V], tries: int = TRIES, wait_s: float = WAIT_S, ret
 
 
 class HashEmbedder:
-    """A deterministic embedder of hashed words, of unit length; for tests and offline use."""
+    """A deterministic embedder of hashed words, of unit length; for tests and offline use, so batches need no gap."""
+
+    gap_s = 0.0
 
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
@@ -87,11 +118,16 @@ class PlainText:
 
 
 def embedded(rows: DataFrame, embedder: Embedder, text: str = "embedding_text", batch: int = BATCH) -> DataFrame:
-    """Rows with ``vector`` and ``error``: batches in order, blank texts and wrong dimensions are errors of their row or batch."""
+    """Rows with ``vector`` and ``error``: batches in order, blank texts and wrong dimensions are errors of their row or batch.
+
+    A task waits between its batches, GAP_S seconds unless the embedder names its own ``gap_s``.
+    """
     ship(rows.sparkSession)
+    gap = getattr(embedder, "gap_s", GAP_S)
     names = [*rows.columns, "vector", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        called = False
         for f in frames:
             for at in range(0, len(f), batch):
                 part = f.iloc[at : at + batch].copy()
@@ -99,8 +135,11 @@ def embedded(rows: DataFrame, embedder: Embedder, text: str = "embedding_text",
                 vectors, errors = [None] * len(part), ["Text is empty"] * len(part)
                 places = np.flatnonzero(good.to_numpy())
                 if len(places):
+                    if called:
+                        time.sleep(gap)
+                    called = True
                     try:
-                        made = tried(lambda t=part[text].iloc[places].str.strip().tolist(): embedder.embed(t), wait_s=0.1)
+                        made = tried(lambda t=part[text].iloc[places].str.strip().tolist(): embedder.embed(t))
                         if len(made) != len(places) or any(len(v) != embedder.dimension for v in made):
                             raise ValueError(f"expected {len(places)} vectors of {embedder.dimension}")
                         for p, v in zip(places, made, strict=True):

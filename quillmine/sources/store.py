@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -41,3 +45,23 @@ class Store:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/{old}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return self.read(name)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Add rows to the newest version without reading it; rows that others add meanwhile stay."""
+        versions = self._versions(name)
+        if not versions:
+            self.write(name, df)
+            return
+        schema = self.spark.createDataFrame([], self.schemas[name]).schema
+        df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema]).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}/{versions[-1]}")
+
+    @contextmanager
+    def kept(self, df: DataFrame) -> Iterator[DataFrame]:
+        """These rows written once, for plans that read them more than once; deleted at the end."""
+        folder = f"{self.folder}/.{uuid.uuid4()}"
+        df.write.parquet(folder)
+        try:
+            yield self.spark.read.schema(df.schema).parquet(folder)
+        finally:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,13 +8,17 @@ from quillmine.engine import Engine
 from quillmine.functions.query import Filter, RequestError
 from quillmine.operators import retrieval
 from quillmine.plans.answers import NO_ANSWER, content_text
+from quillmine.plans.indexing import vector_metadata
 from quillmine.sources.adapters import HashEmbedder, PlainText
 
 NOW = datetime(2024, 5, 1, 12)
 
 
 class Model:
+    asked = 0
+
     def complete(self, messages):
+        Model.asked += 1
         return '{"summary": "short", "keyPoints": ["a"], "topics": []}' if "JSON" in messages[0]["content"] else "Because."
 
 
@@ -46,10 +50,15 @@ def test_requests(spark, tmp_path):
     assert said.text == "Because." and said.sources[0]["document_name"] == "React"
     assert e.ask("nobody", "react?").text == NO_ANSWER
     react = docs["React"]["document_id"]
-    assert e.summary("u", react)["key_points"] == ["a"]
+    before = Model.asked
+    assert e.summary("u", react)["key_points"] == ["a"] == e.summary("u", react)["key_points"] and Model.asked == before + 1
+    e.forget_summary(react)
+    assert e.summary("u", react)["summary"] == "short" and Model.asked == before + 2
     assert e.index_status("u", react) == {"index_status": "indexed", "index_error": None, "chunk_count": 1}
     e.reprocess("u", react, NOW)
     assert e.chunks("u", react).count() == 1 and e.document_stats("u")["total"] == 4
+    e.reprocess("u", react, NOW + timedelta(days=1))
+    assert e.summary("u", react)["summary"] == "short" and Model.asked == before + 3  # the document has changed
     with pytest.raises(RequestError) as no:
         e.document("v", react)
     assert no.value.status == 403
@@ -59,6 +68,62 @@ def test_requests(spark, tmp_path):
     assert all(r["title"] != "React" for r in e.search("u", "react hooks", NOW))
 
 
+def test_states_and_history(spark, tmp_path):
+    class Counting(HashEmbedder):  # local, so that it travels to the workers
+        def __init__(self, folder):
+            HashEmbedder.__init__(self, 8)
+            self.folder = folder
+
+        def embed(self, texts):
+            import uuid
+
+            for t in texts:
+                (self.folder / str(uuid.uuid4())).write_text(t)
+            return HashEmbedder.embed(self, texts)
+
+    (tmp_path / "seen").mkdir()
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "a.pdf").write_bytes(b" ")
+    e = Engine(spark, str(tmp_path / "store"), Counting(tmp_path / "seen"), None, {"pdf": PlainText()})
+    e.upload(str(tmp_path / "up"), "u", NOW)
+    e.create_notes(spark.createDataFrame([("u", "One", "a note about the weather in the mountains.")], "user_id string, title string, content string"), NOW)
+    assert len(list((tmp_path / "seen").iterdir())) == 1  # each text is embedded once
+    pdf = e.documents("u").where("title = 'a.pdf'").first()
+    assert (pdf["extraction_status"], e.index_status("u", pdf["document_id"])["index_status"]) == ("failed", "pending")
+    e.reprocess("u", pdf["document_id"], NOW).result()
+    assert e.wait_indexed("u", pdf["document_id"], 1) == "failed" and e.index_status("u", pdf["document_id"])["index_error"] == "No extractable text"
+    (tmp_path / "up" / "a.pdf").write_bytes(b"At last there is a text about rivers in this file.")
+    e.queued_reindex("u", pdf["document_id"], NOW).result()
+    assert e.wait_indexed("u", pdf["document_id"]) == "indexed" and e.chunks("u", pdf["document_id"]).count() == 1
+    for i in range(3):
+        e.search("u", "weather", NOW + timedelta(minutes=i))
+    assert e.search("u", "rivers", NOW, f=Filter(type="video")) == []
+    assert e.store.read("history").count() == 4 and e.recent_searches("u").count() == 2
+    e.compact_history()
+    assert e.store.read("history").count() == 2 and e.recent_searches("u").first()["created_at"] == NOW + timedelta(minutes=2)
+
+
+def test_calls_are_tried_and_timed():
+    import time
+
+    from quillmine.sources.adapters import ServiceError, service_error, timed, tried
+
+    with pytest.raises(TimeoutError):
+        timed(lambda: time.sleep(5), 0.05)
+    said = []
+
+    def call(message):
+        said.append(1)
+        raise RuntimeError(message)
+
+    for message, times in (("503 unavailable", 3), ("bad request", 1)):
+        said.clear()
+        with pytest.raises(RuntimeError):
+            tried(lambda m=message: call(m), wait_s=0.01)
+        assert len(said) == times
+    assert isinstance(service_error("timed out after 60 s"), ServiceError) and service_error("timed out after 60 s").status == 504
+
+
 def test_video(spark, tmp_path):
     e = Engine(spark, str(tmp_path), HashEmbedder(16))
     meta = spark.createDataFrame([("abcdefghijk", "Film", "Channel", "", None)], "video_id string, title string, channel string, thumbnail string, duration_s long")
@@ -69,6 +134,10 @@ def test_video(spark, tmp_path):
     assert (video["status"], video["duration_s"]) == ("indexed", 3)
     (chunk,) = e.chunks("u", key).collect()
     assert (chunk["title"], chunk["topic"], chunk["text"]) == ("00:00 - 00:02", "Film", "hello there general words")
+    (found,) = e.search("u", "general words", NOW)
+    assert (found["timestamp"], found["video_url"], found["section_path"]) == ("00:00", "https://www.youtube.com/watch?v=abcdefghijk", ["Film", "00:00"])
+    kept = vector_metadata(e.store.read("chunks")).first()
+    assert (kept["source_type"], kept["subtopic"]) == ("video", "00:00") and "text" not in kept.asDict()
     with pytest.raises(RequestError):
         e.import_video("u", "https://example.com/abcdefghijk", meta, raw, NOW)
 
