@@ -7,6 +7,7 @@ table of the HEAD most frequent n-grams, or else by a join with the shard that h
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,12 @@ from quillmine.llm.common import cut, ship
 
 #: Bytes of an n-gram; orders up to BASE are one table of 2 ** (8 * BASE) cells, the higher ones are sharded.
 ORDER, BASE = 6, 3
-#: N-grams that are broadcast (20 MB).
+#: N-grams that are broadcast (12 MB).
 HEAD = 1 << 20
 #: Bytes that are counted or scored at a time, different n-grams that a task holds, texts and lookups that it sends at a time.
 PIECE, HELD, DOCS, PART = 1 << 19, 1 << 23, 4096, 1 << 21
+#: One in APART trusted texts is kept apart for thresholds; a language with EVEN of them has half a threshold of its own.
+APART, EVEN = 8, 100
 #: Keys of trusted documents up to which they are broadcast (8 MB); above, tables are joined by a shuffle.
 FEW_KEYS = 1_000_000
 #: Languages up to which their thresholds are broadcast.
@@ -157,7 +160,7 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def _level(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((g, h, c, alpha, gamma) of seen n-grams, (h, gamma) of contexts): discounted probability, and weight left to lower orders.
+    """((g, c, alpha, gamma) of seen n-grams, (h, gamma) of contexts): discounted probability, and weight left to lower orders.
 
     Counts are sharded by context and joined with the statistics of their context: its total and how many followers
     occur once, twice and more often.
@@ -167,13 +170,13 @@ def _level(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     stats = counts.groupBy(h).agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)], F.count_if(F.col("c") >= 3).alias("n3"))
     stats = stats.select("h", "total", ((d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")).alias("gamma"))
     cut_off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    rows = counts.withColumn("h", h).join(stats, "h").select("g", "h", "c", ((F.col("c") - cut_off) / F.col("total")).alias("alpha"), "gamma")
+    rows = counts.withColumn("h", h).join(stats, "h").select("g", "c", ((F.col("c") - cut_off) / F.col("total")).alias("alpha"), "gamma")
     return rows, stats.select("h", "gamma")
 
 
 @dataclass
 class Model:
-    """What every worker has: the orders up to BASE, and the head in the order of its cells, with values, gains and counts."""
+    """What every worker has: the orders up to BASE, and the head in the order of its cells, with values."""
 
     seen: np.ndarray
     seen_log: np.ndarray
@@ -183,8 +186,6 @@ class Model:
     after_log: np.ndarray
     head: np.ndarray
     value: np.ndarray
-    gain: np.ndarray
-    times: np.ndarray
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -220,11 +221,10 @@ def _cell(g: np.ndarray) -> np.ndarray:
 
 
 def estimate(counts: DataFrame) -> tuple[Model, DataFrame]:
-    """(the model of the workers, (n, g, value, gain, c) of all n-grams of more than BASE bytes), by interpolation of all orders.
+    """(the model of the workers, (n, g, value) of all n-grams of more than BASE bytes), by interpolation of all orders.
 
-    Below the highest order an n-gram counts as often as different bytes come before it. ``gain`` is an n-gram's gain
-    over backing off and ``value`` also has the log weight that it leaves as a context; ``c`` is given for the highest
-    order. The driver gets the n-grams of BASE, 2 ** (8 * BASE) at most and usually some hundred thousand, and the head.
+    Below the highest order an n-gram counts as often as different bytes come before it. ``value`` is an
+    n-gram's gain over backing off and the log weight that it leaves as a context. The driver gets the n-grams of BASE, 2 ** (8 * BASE) at most and usually some hundred thousand, and the head.
     """
     by_order = {ORDER: cut(counts)}
     for n in range(ORDER - 1, 0, -1):
@@ -253,12 +253,10 @@ def estimate(counts: DataFrame) -> tuple[Model, DataFrame]:
         levels[n] = cut(rows.select("g", "c", p.alias("p"), (F.log(p) - F.log("gamma") - F.log("q")).alias("gain")))
     after = weights[BASE + 1].toArrow()
 
-    zero, tables = F.lit(0.0), {}
+    tables = {ORDER: levels[ORDER].select(F.lit(ORDER).alias("n"), "g", F.col("gain").alias("value"))}
     for n in range(BASE + 1, ORDER):
         both = levels[n].select("g", "gain").join(weights[n + 1], F.col("g") == F.col("h"), "full")
-        gain = F.coalesce("gain", zero)
-        tables[n] = both.select(F.lit(n).alias("n"), F.coalesce("g", "h").alias("g"), (gain + F.coalesce("w", zero)).alias("value"), gain.alias("gain"), F.lit(0).cast("long").alias("c"))
-    tables[ORDER] = levels[ORDER].select(F.lit(ORDER).alias("n"), "g", F.col("gain").alias("value"), "gain", "c")
+        tables[n] = both.select(F.lit(n).alias("n"), F.coalesce("g", "h").alias("g"), (F.coalesce("gain", F.lit(0.0)) + F.coalesce("w", F.lit(0.0))).alias("value"))
 
     scale = F.floor(F.log2("c") * 64)
     least, size = 0, 0
@@ -267,17 +265,17 @@ def estimate(counts: DataFrame) -> tuple[Model, DataFrame]:
         if size > HEAD:
             least = r["scale"] + 1
             break
-    top = tables[ORDER].where(scale >= least).drop("n")
+    top = levels[ORDER].where(scale >= least).select("g", F.col("gain").alias("value"))
     for n in range(BASE + 1, ORDER):
         more = tables[n].select(F.col("g").alias("s"), F.col("value").alias("more"))
-        top = top.withColumn("s", _suffix(n)).join(more, "s", "left").select("g", (F.col("value") + F.coalesce("more", zero)).alias("value"), "gain", "c")
+        top = top.withColumn("s", _suffix(n)).join(more, "s", "left").select("g", (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("value"))
     t = top.toArrow()
     head = t["g"].to_numpy().astype(np.uint64)
     order = np.argsort(_cell(head), kind="stable")
     model = Model(
         seen.astype(np.int64), seen_log.astype(np.float32), np.log(context).astype(np.float32), np.log(lower).astype(np.float32),
         after["h"].to_numpy().astype(np.int64), after["w"].to_numpy().astype(np.float32),
-        head[order], t["value"].to_numpy()[order].astype(np.float32), t["gain"].to_numpy()[order].astype(np.float32), np.minimum(t["c"].to_numpy()[order], (1 << 32) - 1).astype(np.uint32),
+        head[order], t["value"].to_numpy()[order].astype(np.float32),
     )
     out = tables[ORDER]
     for n in range(BASE + 1, ORDER):
@@ -287,30 +285,22 @@ def estimate(counts: DataFrame) -> tuple[Model, DataFrame]:
 
 def _asked(texts: DataFrame, model, n: int) -> DataFrame:
     """For each part of a task's texts: what workers know of each text, and for each shard the n-grams to look up and their texts."""
-    names = ["part", "bucket", "head", "own", "keys", "runs", "docs"]
+    names = ["part", "bucket", "head", "keys", "runs", "docs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, task, parts = model.value, TaskContext.get().partitionId(), 0
-        at: dict[tuple[bytes, bool], int] = {}
-        log, less, length = (np.zeros(DOCS) for _ in range(3))
+        at: dict[bytes, int] = {}
+        log, length = np.zeros(DOCS), np.zeros(DOCS)
         wanted, asked, held, of, size = [], 0, [], [], 0
 
         def scored() -> int:
             """Add up the pieces that are held, and keep n-grams beyond the head to be asked for: so many."""
             g, piece = _grams(held)
-            doc = np.array(of)[piece]
-            np.add(log, np.bincount(doc, m.table()[(g & np.uint64((1 << 8 * BASE) - 1)).view(np.int64)], DOCS), out=log)
-            place = m.place(g)
-            hit = np.flatnonzero(place >= 0)
-            where, place_hit = doc[hit], place[hit]
-            np.add(log, np.bincount(where, m.value[place_hit], DOCS), out=log)
-            own = np.zeros(DOCS, bool)
-            own[: len(at)] = [mine for _, mine in at]
-            some = own[where] & (m.times[place_hit] <= len(g))
-            pair, times = np.unique(where[some].astype(np.int64) << 32 | place_hit[some], return_counts=True)
-            k = pair & 0xFFFFFFFF
-            np.add(less, np.bincount(pair >> 32, np.where(m.times[k] <= times, m.gain[k] * times, 0.0), DOCS), out=less)
-            rest = np.flatnonzero(place < 0)
+            doc, place = np.array(of)[piece], m.place(g)
+            value = m.table()[(g & np.uint64((1 << 8 * BASE) - 1)).view(np.int64)]
+            hit, rest = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+            value[hit] += m.value[place[hit]]
+            np.add(log, np.bincount(doc, value, DOCS), out=log)
             wanted.append((g[rest], doc[rest].astype(np.uint16)))
             return len(rest)
 
@@ -318,17 +308,16 @@ def _asked(texts: DataFrame, model, n: int) -> DataFrame:
             g, doc = (np.concatenate(x) for x in zip(*wanted, strict=True))
             order = np.lexsort((doc, g))
             g, doc = g[order], doc[order]
-            head = b"".join(h for h, _ in at) + b"".join(x[: len(at)].tobytes() for x in (log, less, length))
-            name, flags = f"{task}-{parts}", np.packbits([mine for _, mine in at]).tobytes()
+            head = b"".join(at) + b"".join(x[: len(at)].tobytes() for x in (log, length))
             for k, (b, i) in enumerate(_dealt(g, n)):  # never empty, as no start is in the head
                 x = g[i]
                 first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-                cols = [head if k == 0 else None, flags, _packed(x[first]), _small(np.diff(np.r_[first, len(x)]), "<u4"), _small(doc[i], "<u2")]
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], names)
+                cols = [head if k == 0 else None, _packed(x[first]), _small(np.diff(np.r_[first, len(x)]), "<u4"), _small(doc[i], "<u2")]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{parts}"]), pa.array([b], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], names)
 
         for batch in batches:
-            for h, value, mine in zip(*batch.columns, strict=True):
-                key = h.as_py(), mine.as_py()
+            for h, value in zip(*batch.columns, strict=True):
+                key = h.as_py()
                 if key in at:
                     continue
                 for i, piece in enumerate(_pieces(value.as_py())):
@@ -344,66 +333,50 @@ def _asked(texts: DataFrame, model, n: int) -> DataFrame:
                     if asked >= PART or full:
                         yield from sent()
                         at, wanted, asked, parts = {}, [], 0, parts + 1
-                        for x in (log, less, length):
-                            x[:] = 0
+                        log[:] = length[:] = 0
         if held:
             scored()
         if at:
             yield from sent()
 
-    return texts.mapInArrow(run, "part string, bucket int, head binary, own binary, keys binary, runs binary, docs binary")
+    return texts.mapInArrow(run, "part string, bucket int, head binary, keys binary, runs binary, docs binary")
 
 
 def _answered(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """What the n-grams of a shard add to each text, and what of it is the gain of those that occur in one trusted text alone."""
+    """What the n-grams of a shard add to each text."""
     by_order = {}
     for n in range(BASE + 1, ORDER + 1):
         of = model.filter(pa.compute.equal(model["n"], n))
         g = of["g"].to_numpy().astype(np.uint64)
         order = np.argsort(g)
-        by_order[n] = g[order], *(of[k].to_numpy()[order] for k in ("value", "gain", "c"))
+        by_order[n] = g[order], of["value"].to_numpy()[order]
     rows = []
-    for r in range(asked.num_rows):
-        part, head, own, keys, runs, docs = (asked[k][r].as_py() for k in ("part", "head", "own", "keys", "runs", "docs"))
-        keys, runs, docs = _unpacked(keys), _large(runs, "<u4"), _large(docs, "<u2")
-        adds, gain, often = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-        for n, (g, value, gains, c) in by_order.items():
+    for part, head, held, runs, docs in zip(*(asked[k].to_pylist() for k in ("part", "head", "keys", "runs", "docs")), strict=True):
+        keys = _unpacked(held)
+        adds = np.zeros(len(keys))
+        for n, (g, value) in by_order.items():
             if len(g):
                 short = keys & np.uint64((1 << 8 * n) - 1)
                 at = np.minimum(np.searchsorted(g, short), len(g) - 1)
-                hit = g[at] == short
-                adds += np.where(hit, value[at], 0.0)
-                if n == ORDER:
-                    gain, often = np.where(hit, gains[at], 0.0), np.where(hit, c[at], 0)
-        which = np.repeat(np.arange(len(keys)), runs)
-        first = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (docs[1:] != docs[:-1])])
-        which, docs, times = which[first], docs[first], np.diff(np.r_[first, len(which)])
-        mine = np.unpackbits(np.frombuffer(own, np.uint8))[docs].astype(bool)
-        alone = mine & (often[which] <= times)
-        cells = []
-        for s in (np.bincount(docs, adds[which] * times), np.bincount(docs[alone], gain[which[alone]] * times[alone])):
-            i = np.flatnonzero(s)
-            cells += [i.astype(np.uint16).tobytes(), s[i].astype(np.float32).tobytes()]
-        rows.append((part, head, own, *cells))
-    names = ["part", "head", "own", "docs", "adds", "alone", "less"]
-    kinds = [pa.string(), *[pa.binary()] * 6]
-    return pa.table([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names)
+                adds += np.where(g[at] == short, value[at], 0.0)
+        sums = np.bincount(_large(docs, "<u2"), np.repeat(adds, _large(runs, "<u4")))
+        i = np.flatnonzero(sums)
+        rows.append((part, head, i.astype(np.uint16).tobytes(), sums[i].astype(np.float32).tobytes()))
+    kinds = {"part": pa.string(), "head": pa.binary(), "docs": pa.binary(), "adds": pa.binary()}
+    return pa.table([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds.values(), strict=True)], list(kinds))
 
 
 def _summed(table: pa.Table) -> pa.Table:
     head = next(x for x in table["head"].to_pylist() if x is not None)
-    n = len(head) // 40
-    log, less, length = (np.frombuffer(head, np.float64, n, 8 * k * n + 16 * n).copy() for k in range(3))
-    for out, i, s in ((log, "docs", "adds"), (less, "alone", "less")):
-        for at, x in zip(table[i], table[s], strict=True):
-            out[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(x.as_py(), np.float32)
-    own = np.unpackbits(np.frombuffer(table["own"][0].as_py(), np.uint8))[:n].astype(bool)
-    return pa.table([pa.array([head[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(log), pa.array(length), pa.array(np.where(own, log - less, 0.0)), pa.array(np.where(own, length, 0.0))], ["h", "log", "length", "own_log", "own_length"])
+    n = len(head) // 32
+    log, length = (np.frombuffer(head, np.float64, n, 8 * k * n + 16 * n).copy() for k in range(2))
+    for at, adds in zip(table["docs"].to_pylist(), table["adds"].to_pylist(), strict=True):
+        log[np.frombuffer(at, np.uint16)] += np.frombuffer(adds, np.float32)
+    return pa.table([pa.array([head[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(log), pa.array(length)], ["h", "log", "length"])
 
 
 def perplexities(texts: DataFrame, table: DataFrame, model) -> DataFrame:
-    """(h, perplexity, without) of each different (h, text, own): of a byte of the whole text, and the same for one of the
-    texts' own without the gain of n-grams of ORDER that occur there alone."""
+    """(h, perplexity) of each different (h, text): of a byte of the whole text, its end included."""
     n = _shards(texts)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,11 +385,11 @@ def perplexities(texts: DataFrame, table: DataFrame, model) -> DataFrame:
                 g = b.column(1).to_numpy().astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(_bucket(g, n).astype(np.int32)), *b.columns], ["bucket", *b.schema.names])
 
-    shards = table.mapInArrow(dealt, "bucket int, n int, g long, value double, gain double, c long")
-    found = _asked(texts, model, n).groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInArrow(_answered, "part string, head binary, own binary, docs binary, adds binary, alone binary, less binary")
-    sums = found.groupBy("part").applyInArrow(_summed, "h binary, log double, length double, own_log double, own_length double")
-    mean = lambda a, b: F.when(F.sum(b) > 0, F.exp(F.least(-F.try_divide(F.sum(a), F.sum(b)), F.lit(700.0))))
-    return sums.groupBy("h").agg(mean("log", "length").alias("perplexity"), mean("own_log", "own_length").alias("without"))
+    shards = table.mapInArrow(dealt, "bucket int, n int, g long, value double")
+    found = _asked(texts, model, n).groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInArrow(_answered, "part string, head binary, docs binary, adds binary")
+    sums = found.groupBy("part").applyInArrow(_summed, "h binary, log double, length double")
+    # copies, and parts of a very long text, are each their share of the same mean
+    return sums.groupBy("h").agg(F.exp(F.least(-F.sum("log") / F.sum("length"), F.lit(700.0))).alias("perplexity"))
 
 
 def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -424,18 +397,31 @@ def trusted_keys(labels: DataFrame, key: str = "doc_id", label: str = "quality")
     return labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("q")).where("q > 0").select(key)
 
 
+def _upper(unseen: DataFrame, quantile: float, bound: Column) -> float | None:
+    """The quantile of all logarithms; of few texts, whose largest lies below it, partly that of an exponential tail above their median."""
+    middle = F.log(F.percentile_approx("perplexity", F.lit(0.5), F.lit(100_000)))
+    r = unseen.agg(F.count(F.lit(1)).alias("n"), bound.alias("q"), middle.alias("middle")).first()
+    if not r["n"] or quantile >= 1:
+        return r["q"]
+    above = F.log("perplexity") - F.lit(r["middle"])
+    excess = unseen.where(above > 0).agg(F.avg(above).alias("x")).first()["x"] or 0.0
+    tail = r["middle"] + excess * math.log(0.5 / (1 - quantile))
+    return (r["n"] * r["q"] + EVEN * max(r["q"], tail)) / (r["n"] + EVEN)
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Judge every whole text by its perplexity: all columns of ``docs``, then ``perplexity``, ``threshold`` and ``good``.
 
-    The model counts the n-grams of ORDER bytes of all trusted texts, and its tables grow with them. They are sharded by
-    their last four bytes and joined with the n-grams of all texts that are not among the HEAD most frequent ones, which
-    are broadcast with the orders up to BASE (80 MB at most, and 64 MB more once unpacked). A language's threshold is the
-    ``quantile`` of the perplexity of its trusted documents, each without what the model has seen in that text alone, and
-    ``good`` is a perplexity up to the threshold. A language without trusted documents has the quantile of all of them.
+    The model counts the n-grams of ORDER bytes of all trusted texts but one in APART, chosen by the text's hash so that
+    copies stay together, and its tables grow with them. They are sharded by their last four bytes and joined with the
+    n-grams of all texts that are not among the HEAD most frequent ones, which are broadcast with the orders up to BASE
+    (80 MB at most, and 64 MB more once unpacked). Thresholds come from the trusted texts that the model has not seen: the
+    ``quantile`` of all of them (see ``_upper``), from which a language's own departs the more, the more such texts it has
+    (half way for EVEN). ``good`` is a perplexity up to the threshold.
 
     Defined cases: a null or empty text has no perplexity and is not good; a null language is a language of its own;
-    without trusted text everything with a text is good; repeated rows are judged each; columns of ``docs`` with the
-    names of the results are replaced. What a text of more than PART looked up n-grams has alone is found by parts.
+    without trusted texts kept apart everything with a text is good; repeated rows are judged each; columns of ``docs``
+    with the names of the results are replaced.
 
     The trusted keys are broadcast only up to FEW_KEYS. Perplexities are joined back by a digest of the text; thresholds
     come from mergeable quantile summaries, so that a frequent language is no single task's.
@@ -445,20 +431,22 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, key: st
     docs = docs.drop("perplexity", "threshold", "good")
     keys = cut(trusted_keys(labels, key))
     keys = F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
-    trusted = docs.join(keys, key, "left_semi")
-    model, table = estimate(count(trusted, text))
+    trusted = docs.join(keys, key, "left_semi").where(F.col(text) != "")
+    apart = F.pmod(F.xxhash64(text), F.lit(APART)) == 0
+    model, table = estimate(count(trusted.where(~apart), text))
     digest = F.unhex(F.md5(text))
-    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(keys.select(F.col(key).alias("known")), F.col("k") == F.col("known"), "left")
-    texts = marked.where("text <> ''").select(F.unhex(F.md5("text")).alias("h"), "text", F.col("known").isNotNull().alias("own"))
+    texts = docs.where(F.col(text) != "").select(digest.alias("h"), F.col(text).alias("text"))
     scores = cut(perplexities(texts, table, spark.sparkContext.broadcast(model)))
-    narrow = cut(trusted.select(F.col(lang).alias("of_language"), digest.alias("h")).join(scores, "h").select("of_language", "without"))
-    bound = F.percentile_approx("without", F.lit(quantile), F.lit(100_000))
-    everywhere = narrow.agg(bound.alias("q")).first()["q"]
-    own = cut(narrow.groupBy("of_language").agg(bound.alias("threshold")))
+    unseen = cut(trusted.where(apart).select(F.col(lang).alias("of_language"), digest.alias("h")).join(scores, "h").select("of_language", "perplexity"))
+    bound = F.log(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)))
+    common = F.lit(_upper(unseen, quantile, bound)).cast("double")
+    n = F.col("n")
+    own = unseen.groupBy("of_language").agg(F.count(F.lit(1)).alias("n"), bound.alias("q"))
+    own = cut(own.select("of_language", F.exp((n * F.col("q") + EVEN * common) / (n + EVEN)).alias("threshold")))
     own = F.broadcast(own) if own.count() <= FEW_LANGS else own
     named = docs.withColumn("own text", digest)  # a column, so that the join moves texts only if they are asked for
     scored = named.join(scores.select(F.col("h").alias("of_text"), "perplexity"), F.col("own text") == F.col("of_text"), "left").drop("of_text", "own text")
     joined = scored.join(own, scored[lang].eqNullSafe(own["of_language"]), "left").drop(own["of_language"])
-    joined = joined.withColumn("threshold", F.coalesce("threshold", F.lit(everywhere).cast("double")))
+    joined = joined.withColumn("threshold", F.coalesce("threshold", F.exp(common)))
     good = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return joined.withColumn("good", good).select(*docs.columns, "perplexity", "threshold", "good")
