@@ -21,8 +21,9 @@ ITEMS, EXTRA = 256, 64
 DENSE, FEW_KEYS = 4096, 1_000_000
 #: Terms in a larger share of passages carry no weight, unless an item has fewer than FEW_TERMS others.
 COMMON, FEW_TERMS = 0.02, 3
-#: A window is a candidate from this projection on a passage (1: it holds all of it), an item found from these shares of its words.
-CANDIDATE, SURE, POSSIBLE, ANSWER = 0.4, 0.8, 0.6, 0.8
+#: A window is a candidate if its projection on a passage (1: it holds all of it) and its cosine with it reach these bounds;
+#: an item is found from these shares of its words.
+CANDIDATE, COSINE, SURE, POSSIBLE, ANSWER = 0.4, 0.3, 0.8, 0.6, 0.8
 #: Words of one document that are scored at a time, and terms that are gathered at a time.
 PIECE, GATHER = 1 << 16, 1 << 15
 _STRIP = ".,!?;:\"'()[]|"
@@ -203,8 +204,19 @@ def right_vectors(gram_sketch: np.ndarray, omega: np.ndarray) -> np.ndarray:
     return (q @ u[:, s > 1e-9 * max(s[0], 1e-300)]).T
 
 
-def _model(ids: DataFrame, base: dict[str, int], parts: list[list[str]], seed: int) -> np.ndarray:
-    """For each term, what it adds to a window's projection on each passage of the items."""
+@dataclass
+class Space:
+    """The latent space: for each term its coordinates, and what it adds to a window's projection on each passage of the items."""
+
+    terms: np.ndarray
+    adds: np.ndarray
+    sizes: np.ndarray  # lengths of the passages
+
+    def __post_init__(self) -> None:
+        self.top = self.adds.clip(0).max(axis=1) if self.adds.size else np.zeros(len(self.adds), np.float32)
+
+
+def _model(ids: DataFrame, base: dict[str, int], parts: list[list[str]], seed: int) -> Space:
     df = frequencies(ids, len(base))
     n = max(1, int(df[-1]))
     common = df[:-1] > COMMON * n
@@ -225,15 +237,18 @@ def _model(ids: DataFrame, base: dict[str, int], parts: list[list[str]], seed: i
     v = right_vectors(of_corpus + more * of_items, omega)
     latent = own @ v.T
     size = (latent * latent).sum(axis=1)
-    adds = (weight[:, None] * v.T) @ latent.T / np.where(size > 0, size, np.inf)
-    return adds.astype(np.float32)
+    terms = weight[:, None] * v.T
+    adds = terms @ latent.T / np.where(size > 0, size, np.inf)
+    return Space(terms.astype(np.float32), adds.astype(np.float32), np.sqrt(size))
 
 
-def candidates(ids: np.ndarray, adds: np.ndarray, top: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(first token, passage of an item, projection) of the windows of one text that reach CANDIDATE.
+def candidates(ids: np.ndarray, space: Space) -> Iterator[tuple[int, int, float]]:
+    """(first token, passage of an item, cosine) of the windows of one text that reach CANDIDATE and COSINE.
 
-    ``top`` is the most that a term adds to any passage; windows whose sum of these is less cannot reach it.
+    Windows whose terms add less than CANDIDATE to any passage at the most cannot reach it; others are projected on all
+    passages, and those that reach it are given their length in latent space, which makes a projection a cosine.
     """
+    top = space.top
     for start in range(0, max(1, len(ids)), PIECE):
         lo = max(0, start - BLOCK)
         t = ids[lo : start + PIECE]
@@ -248,17 +263,23 @@ def candidates(ids: np.ndarray, adds: np.ndarray, top: np.ndarray) -> Iterator[t
             continue
         used = np.r_[hot, False] | np.r_[False, hot]
         keep, block = keep[used[block]], block[used[block]]
-        sums = _sums(adds[t[keep]], block, n)
+        sums = _sums(space.adds[t[keep]], block, n)
         windows = sums[:-1] + sums[1:]
-        for w, k in zip(*np.nonzero((windows >= CANDIDATE) & hot[:, None]), strict=True):
-            yield lo + int(w) * BLOCK, int(k), float(windows[w, k])
-
-
-def find(ws: list[str], ids: np.ndarray, adds: np.ndarray, top: np.ndarray, items: list[Item], owner: list[int]) -> list[tuple[int, float, float, int, int]]:
-    """The items found in one text: (item, projection, share of its words, first word, end), the best place of each."""
+        at, passage = np.nonzero((windows >= CANDIDATE) & hot[:, None])
+        for w in np.unique(at).tolist():
+            held = t[w * BLOCK : (w + 2) * BLOCK]
+            size = float(np.linalg.norm(space.terms[held[held >= 0]].sum(axis=0)))
+            for k in passage[at == w].tolist():
+                cosine = float(windows[w, k]) * float(space.sizes[k]) / max(size, 1e-300)
+                if cosine >= COSINE:
+                    yield lo + w * BLOCK, k, cosine
+
+
+def find(ws: list[str], ids: np.ndarray, space: Space, items: list[Item], owner: list[int]) -> list[tuple[int, float, float, int, int]]:
+    """The items found in one text: (item, cosine, share of its words, first word, end), the best place of each."""
     best: dict[int, tuple[int, float, float, int, int]] = {}
     most: dict[tuple[int, int], float] = {}  # a window may reach several passages of one item, which is verified once
-    for at, p, score in candidates(ids, adds, top):
+    for at, p, score in candidates(ids, space):
         most[at, owner[p]] = max(score, most.get((at, owner[p]), score))
     for (at, k), score in most.items():
         x = items[k]
@@ -274,16 +295,16 @@ def find(ws: list[str], ids: np.ndarray, adds: np.ndarray, top: np.ndarray, item
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
     """Every (document, benchmark item) where the document holds the item, verbatim or as a paraphrase.
 
-    Returns the key, the item's key, ``projection`` (of the best window on the item in latent space), ``share`` (of
+    Returns the key, the item's key, ``cosine`` (of the best window with a passage of the item in latent space), ``share`` (of
     the item's words in a longest common subsequence with the place), and the place's ``first`` word and ``end``. An
     item is found where the share is at least SURE, or at least POSSIBLE with the answer's words (see ``item``).
 
     Terms are the words of the items. Passages of all texts give their document frequencies and, in a second pass, the
     randomised singular value decomposition of the TF-IDF matrix; a third pass searches all windows of all texts.
     Terms of more than a share COMMON of passages carry no weight, as words of all texts say nothing about an item.
-    Projections are linear, so a term's part in each item's cosine is a table and a window adds up its rows; it is
-    scaled by the item alone, as a window holds other words too. Items longer than a window are searched by their
-    passages, each scaled by itself; what is verified around any of them is the whole item.
+    Projections are linear, so a term's part in each of them is a table and a window adds up its rows; a window that holds
+    enough of a passage is a candidate by its cosine. Items longer than a window are searched by their passages; what is
+    verified around any of them is the whole item.
 
     Defined cases: null and empty texts and items are found nowhere; an item of frequent terms alone keeps them;
     repeated documents are searched each; repeated items are returned each; empty tables give an empty result; a null
@@ -297,7 +318,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     ship(spark)
     rows = docs.select(key, text)
     kind, item_kind = rows.schema[0].dataType.simpleString(), benchmark.schema[item_key].dataType
-    schema = f"`{key}` {kind}, at int, projection double, share double, first int, end int"
+    schema = f"`{key}` {kind}, at int, cosine double, share double, first int, end int"
     out = None
     chosen = benchmark.select(F.col(item_key), F.col(item_text), F.col(answer) if answer else F.lit(None).cast("string"))
 
@@ -305,33 +326,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         base = {w: i for i, w in enumerate(dict.fromkeys(w for x in items for w in x.words))}
         ids = cut(tokenized(rows, base, key))
         parts = passages(items)
-        adds = _model(ids.select("ids"), base, [ws for _, ws in parts], seed)
-        sent = spark.sparkContext.broadcast((base, adds, adds.clip(0).max(axis=1), items, [k for k, _ in parts]))
+        space = _model(ids.select("ids"), base, [ws for _, ws in parts], seed)
+        sent = spark.sparkContext.broadcast((base, space, items, [k for k, _ in parts]))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            base, adds, top, *_ = sent.value
+            base, space, *_ = sent.value
             for batch in batches:
-                hit = [next(candidates(_unpacked(t.as_py(), len(base)), adds, top), None) is not None for t in batch.column(1)]
+                hit = [next(candidates(_unpacked(t.as_py(), len(base)), space), None) is not None for t in batch.column(1)]
                 yield batch.filter(pa.array(hit, pa.bool_())).select([0])
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            base, adds, top, items, owner = sent.value
+            base, space, items, owner = sent.value
             terms = _Terms(base)
             for batch in batches:
                 at, found = [], []
                 for i, value in enumerate(batch.column(1)):
                     t = value.as_py()
-                    hits = find(tokens(t), terms.ids(t), adds, top, items, owner)
+                    hits = find(tokens(t), terms.ids(t), space, items, owner)
                     at += [i] * len(hits)
                     found += hits
                 cols = list(zip(*found, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32()), strict=True)]], [key, "at", "projection", "share", "first", "end"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32()), strict=True)]], [key, "at", "cosine", "share", "first", "end"])
 
         picked = cut(ids.mapInArrow(pick, f"`{key}` {kind}").distinct()).withColumnRenamed(key, "picked")
         picked = F.broadcast(picked) if picked.count() <= FEW_KEYS else picked
         hits = rows.join(picked, F.col(key).eqNullSafe(F.col("picked")), "left_semi").mapInArrow(verify, schema)
         names = spark.createDataFrame([(i, x.key) for i, x in enumerate(items)], f"at int, `{item_key}` {item_kind.simpleString()}")
-        return cut(hits.join(F.broadcast(names), "at").select(key, item_key, "projection", "share", "first", "end"))
+        return cut(hits.join(F.broadcast(names), "at").select(key, item_key, "cosine", "share", "first", "end"))
 
     block: list[Item] = []
     seen: set[str] = set()
@@ -352,5 +373,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         done = searched(block, n_blocks)
         out = done if out is None else out.unionAll(done)
     if out is None:
-        return spark.createDataFrame([], f"`{key}` {kind}, `{item_key}` {item_kind.simpleString()}, projection double, share double, first int, end int")
+        return spark.createDataFrame([], f"`{key}` {kind}, `{item_key}` {item_kind.simpleString()}, cosine double, share double, first int, end int")
     return out
