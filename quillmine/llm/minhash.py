@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     posted = classes.select("c", F.explode(bands).alias("bucket"))
     full = cut(posted.groupBy("bucket").agg(F.min("c").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = cut(posted.join(full, "bucket"))
-    tried = cut(members.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct())
+    tried = cut(members.where("c <> leader").groupBy(F.col("leader").alias("a"), F.col("c").alias("b")).agg(F.max("n").alias("n")))
     links = cut(_verified(tried, classes, rows, threshold, idf))
     groups = components(links, "a", "b")
     placed = members.join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c")).select("bucket", "n", "c", "g")
@@ -280,11 +280,11 @@ def _compared(alike: DataFrame, classes: DataFrame, rows: DataFrame, threshold:
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, threshold: float, idf) -> DataFrame:
     """The pairs (a, b) of classes whose similarity reaches the threshold, by reading their texts.
 
-    A text comes by its id; where several texts have one id, its key tells the right one.
+    ``n`` is the size of their largest bucket: the members of a leader are dealt to so many tasks as it fills, which no
+    count by leader is needed for. A text comes by its id; where several texts have one id, its key tells the right one.
     """
     salt = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / SALT).cast("int"))).cast("int")
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(many, "a").select("a", "b", salt.alias("salt"))
+    dealt = pairs.select("a", "b", salt.alias("salt"))
     wanted = dealt.select("a", "salt", F.col("b").alias("c"), F.lit(1).alias("role")).unionAll(dealt.select("a", "salt", F.col("a").alias("c"), F.lit(0).alias("role")).distinct())
     named = wanted.join(classes.select("c", "id"), "c")
     full = named.join(rows.where("id is not null"), "id").select("a", "salt", "role", "c", "text")
