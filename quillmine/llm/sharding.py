@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmine.llm.common import cut
+
 #: Parts of a shard that are numbered on their own; with the number of shards it bounds the table of offsets.
 PARTS = 1024
 
@@ -33,7 +35,7 @@ def rendezvous(docs: DataFrame, weights: Sequence[float], grown_weight: float =
 
     Slots: a shard is cut into PARTS by a hash of key, CRC and size, parts are numbered by a window and
     shifted by the running count of earlier parts. No task sorts a whole shard, and the offsets that are
-    joined are len(weights) x PARTS rows at most.
+    joined are len(weights) x PARTS rows at most. Rows that repeat key and text are one part's, in any order.
     """
     if not weights or any(not w > 0 for w in weights):
         raise ValueError("weights must be positive")
@@ -50,6 +52,7 @@ def rendezvous(docs: DataFrame, weights: Sequence[float], grown_weight: float =
         F.when(_score(F.col("name"), n, grown_weight) > F.col("best.s"), F.lit(n)).otherwise(-F.col("best.i")).cast("int").alias("grown_shard"),
         F.pmod(_hashed(F.concat_ws(":", "name", "text_crc32", "size"), 8), F.lit(PARTS)).cast("int").alias("part"),
     )
+    dealt = cut(dealt)  # numbers instead of texts, read twice below
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("shard", "part").orderBy("k", "text_crc32", "size")
