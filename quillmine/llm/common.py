@@ -17,14 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints: that of ``spark.checkpoint.dir``, or one of our own where the session names none, as in local tests."""
+    """The folder of checkpoints: that of ``spark.checkpoint.dir``, or one of our own where a local session names none, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmine-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder by the file system that Spark reads it with."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's checkpoints. Results that were not written before cannot be read afterwards."""
+    if (folder := spark.sparkContext.getCheckpointDir()) is not None:
+        delete(spark, folder)
+        spark.sparkContext.setCheckpointDir(folder.rsplit("/", 1)[0])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder.
 

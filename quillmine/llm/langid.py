@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from quillmine.llm.bpe import slices
-from quillmine.llm.common import ship
+from quillmine.llm.common import cut, ship
 from quillmine.llm.totals import total
 
 #: Hashed n-grams of 1 to LONGEST characters, characters of a text that are counted at a time.
 BITS, LONGEST, PIECE = 15, 3, 1 << 20
 SIZE = 1 << BITS
-#: The bound of the labelled sample: rows a language (in the mean) and languages; hashes run below SPAN.
-FIT_ROWS, FIT_LANGS, SPAN = 1500, 256, 1 << 30
+#: The bound of the labelled sample: rows a language (in the mean), and bytes of all their n-gram counts; hashes run below SPAN.
+FIT_ROWS, FIT_BYTES, SPAN = 1500, 300_000_000, 1 << 30
+#: Languages up to which the sample's bounds are broadcast.
+FEW_LANGS = 10_000
 #: FTRL: learning rate, smoothing, elastic-net penalties, rounds over the sample.
 ALPHA, BETA, L1, L2, ROUNDS = 0.3, 1.0, 0.02, 0.05, 3
 _LETTER = regex.compile(r"\p{L}")
@@ -122,8 +124,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     """Learn from a table of texts with known language.
 
     The document frequencies of all its n-grams are counted. Weights and temperature are fitted on about FIT_ROWS rows
-    of each language, those of the smallest hashes of ``order``; the driver gets their n-gram counts. More than
-    FIT_LANGS languages are an error.
+    of each language, those of the smallest hashes of ``order``; the driver gets their n-gram counts one task's at a time, at
+    most 196 kB a row however long its text, and stops at FIT_BYTES of them, in the order of the hash. Languages have no
+    limit; each adds 512 kB to the driver and 128 kB to the model.
     """
     ship(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull())
@@ -140,12 +143,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
 
     df = total(known.select(text), frequencies, SIZE + 1)
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
-    of_lang = known.groupBy(lang).count().limit(FIT_LANGS + 1).collect()
-    if len(of_lang) > FIT_LANGS:
-        raise ValueError(f"more than {FIT_LANGS} languages")
     h = F.xxhash64(order)
-    bounds = docs.sparkSession.createDataFrame([(r[0], int(SPAN * min(1.0, FIT_ROWS / r["count"]))) for r in of_lang], f"fit_lang {docs.schema[lang].dataType.simpleString()}, bound long")
-    rows = known.where(F.col(order).isNotNull()).select(order, lang, text).join(F.broadcast(bounds), F.col(lang) == F.col("fit_lang")).where(F.pmod(h, F.lit(SPAN)) < F.col("bound"))
+    share = F.least(F.lit(1.0), F.lit(float(FIT_ROWS)) / F.col("count"))
+    bounds = cut(known.groupBy(F.col(lang).alias("fit_lang")).count().select("fit_lang", (F.lit(float(SPAN)) * share).cast("long").alias("bound")))
+    bounds = F.broadcast(bounds) if bounds.count() <= FEW_LANGS else bounds
+    rows = known.where(F.col(order).isNotNull()).select(order, lang, text).join(bounds, F.col(lang) == F.col("fit_lang")).where(F.pmod(h, F.lit(SPAN)) < F.col("bound"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,8 +155,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
             at = [np.flatnonzero(c) for *_, c in kept]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.string()), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([k[2][a].astype("<u4").tobytes() for k, a in zip(kept, at, strict=True)], pa.binary())], ["h", "lang", "at", "n"])
 
-    got = rows.select(h.alias("h"), F.col(lang).cast("string"), text).mapInArrow(features, "h long, lang string, at binary, n binary").collect()
-    got.sort(key=lambda r: (r["h"], r["lang"], r["at"], r["n"]))
+    counted = rows.select(h.alias("h"), F.col(lang).cast("string"), text).mapInArrow(features, "h long, lang string, at binary, n binary")
+    got, size = [], 0
+    for r in counted.orderBy("h", "lang", "at", "n").toLocalIterator():
+        size += len(r["at"]) + len(r["n"])
+        if size > FIT_BYTES:
+            break
+        got.append(r)
     return train([(r["lang"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4")) for r in got], idf)
 
 
