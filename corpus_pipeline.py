@@ -1,8 +1,8 @@
 """Clean a corpus: five stages over ``documents``, each a thin use of an operator of quillmine.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
-Decisions are made by doc_id: rows that repeat a doc_id share its fate unless a stage judges each text by itself.
-Rows with a null doc_id are never dropped by near-dedup and decontamination, which name documents by it.
+A row is known by its doc_id and a hash of its text, so that rows that share a doc_id, or have none, are judged each by
+its own text. Labels go by doc_id alone.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmine.llm import bpe, kneser_ney, latent, minhash
 from quillmine.llm import toxicity as tox
-from quillmine.llm.common import shared_folder, table
+from quillmine.llm.common import cut, delete, shared_folder, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +28,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(docs, table(spark, sf_dir, "labels")).where("good").select(*docs.columns)
 
 
+#: The name of a column that tells rows apart, for as long as a stage runs.
+ROW = "row of the corpus"
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.struct("doc_id", F.xxhash64("text")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest doc_id."""
-    rest = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies, the one of the smallest doc_id; one of rows that repeat id and text."""
+    named = _named(docs)
+    rest = minhash.near_duplicates(named, key=ROW).where("not kept").select(ROW).distinct()
+    left = named.join(rest, ROW, "left_anti")
+    repeated = cut(named.where("trim(text) <> ''").groupBy(ROW).count().where("count > 1").select(ROW))
+    if not repeated.isEmpty():
+        left = left.join(repeated, ROW, "left_anti").unionByName(left.join(repeated, ROW, "left_semi").dropDuplicates([ROW]))
+    return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = latent.contaminated(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    named = _named(docs)
+    leaks = latent.contaminated(named, table(spark, sf_dir, "benchmark"), key=ROW).select(ROW).distinct()
+    return named.join(leaks, ROW, "left_anti").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +67,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what each keeps is written once to the shared folder, as later stages read it more than once."""
+    """All stages; what each keeps is written once to the shared folder, as later stages read it more than once, and
+    deleted when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for i, (_, stage) in enumerate(STAGES):
@@ -61,4 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                delete(spark, f"{folder}/{i - 1}")
     return docs
