@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
+from urllib.parse import urlencode
 
 #: Limits of requests, and how many hits a leg fetches.
 MOST_QUERY, PAGE, LIMIT, MOST_LIMIT, OVERFETCH, LEAST_WINDOW = 500, 1, 20, 50, 8, 60
@@ -105,3 +106,10 @@ def date_range(f: Filter, now: datetime) -> tuple[datetime | None, datetime | No
             out.append(t.astimezone(UTC).replace(tzinfo=None) if t and t.tzinfo else t)
         return out[0], out[1]
     return None, None
+
+
+def query_string(query: str, page: int | None = None, limit: int | None = None, f: Filter | None = None) -> str:
+    """A search as parameters of an address; topic and tag are not sent."""
+    f = f or Filter()
+    named = {"q": query, "page": page, "limit": limit, "type": f.type, "date": f.date, "dateFrom": f.date_from, "dateTo": f.date_to}
+    return urlencode({k: v for k, v in named.items() if k == "q" or v})

@@ -94,15 +94,19 @@ def content_preview(c: Column, most: int = PREVIEW) -> Column:
 
 def preview_snippet(text: Column, terms: Sequence[str], least: int = SNIPPET[0], most: int = SNIPPET[1]) -> Column:
     """A part of the text around the first query term that it contains (in the order of the terms), with dots where it is cut."""
-    flat = collapsed(text)
-    places = [F.instr(F.lower(flat), t) for t in terms]
-    anchor = F.coalesce(*[F.when(p > 0, p - 1) for p in places], F.lit(0))
-    start = F.greatest(F.lit(0), anchor - most // 2)
-    end = F.least(F.length(flat), start + most)
-    start = F.when(end - start < least, F.greatest(F.lit(0), end - least)).otherwise(start)
-    part = F.trim(F.substring(flat, start + 1, end - start))
-    cut = F.concat(F.when(start > 0, "...").otherwise(""), part, F.when(end < F.length(flat), "...").otherwise(""))
-    return F.when(F.length(flat) <= most, flat).otherwise(cut)
+
+    def around(flat: Column, anchor: Column) -> Column:
+        start = F.greatest(F.lit(0), anchor - most // 2)
+        end = F.least(F.length(flat), start + most)
+        start = F.when(end - start < least, F.greatest(F.lit(0), end - least)).otherwise(start)
+        part = F.trim(F.substring(flat, start + 1, end - start))
+        return F.concat(F.when(start > 0, "...").otherwise(""), part, F.when(end < F.length(flat), "...").otherwise(""))
+
+    def shown(flat: Column) -> Column:
+        anchor = once(F.lower(flat), lambda low: F.coalesce(*[F.when(F.instr(low, t) > 0, F.instr(low, t) - 1) for t in terms], F.lit(0)))
+        return F.when(F.length(flat) <= most, flat).otherwise(once(anchor, lambda a: around(flat, a)))
+
+    return once(collapsed(text), shown)
 
 
 def without_extra_spaces(c: Column) -> Column:
@@ -191,6 +195,12 @@ def watch_url(video_id: Column, start: Column | None = None) -> Column:
     return F.when(start > 0, F.concat(base, F.lit("&t="), F.floor(start).cast("string"), F.lit("s"))).otherwise(base)
 
 
+def video_link(url: Column, video: Column, seconds: Column) -> Column:
+    """The address of a result's video: its own, else that of the video at these seconds, else of the video."""
+    at_start = F.concat(F.lit(WATCH), video)
+    return F.coalesce(url, F.when(seconds.isNotNull(), F.concat(at_start, F.lit("&t="), seconds.cast("long").cast("string"), F.lit("s"))), at_start)
+
+
 def video_id(url: Column) -> Column:
     """The 11-character id of a video url of a known host, else null."""
     u = trimmed(url)

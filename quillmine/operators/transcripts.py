@@ -31,13 +31,13 @@ def _packed(segments: DataFrame, size, first, step) -> DataFrame:
 
     def fold(acc, s):
         opens, carried = step(acc["carried"], size(s["text"]))
-        part = F.when(F.size(acc["parts"]) == 0, F.lit(0)).otherwise(F.element_at(acc["parts"], -1) + F.when(opens, 1).otherwise(0))
-        return F.struct(F.concat(acc["parts"], F.array(part)).alias("parts"), carried.cast("int").alias("carried"))
+        starts = F.when(opens | (acc["at"] == 0), F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
+        return F.struct(starts.alias("starts"), carried.cast("int").alias("carried"), (acc["at"] + 1).alias("at"))
 
-    start = F.struct(F.array().cast("array<int>").alias("parts"), F.lit(first).cast("int").alias("carried"))
-    parts = F.aggregate("all", start, fold, lambda a: a["parts"])
-    each = rows.select("video_id", F.explode(F.arrays_zip(F.col("all").alias("s"), parts.alias("part"))).alias("z")).select("video_id", "z.part", "z.s.*")
-    return each.groupBy("video_id", "part").agg(F.array_sort(F.collect_list(F.struct("i", "start_s", "end_s", "text"))).alias("s"))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(first).cast("int").alias("carried"), F.lit(0).alias("at"))
+    starts = rows.withColumn("starts", F.aggregate("all", start, fold, lambda a: a["starts"]))
+    parts = F.transform("starts", lambda at, k: F.slice("all", at + 1, F.coalesce(F.get("starts", k + 1), F.size("all")) - at))
+    return starts.select("video_id", F.posexplode(parts).alias("part", "s"))
 
 
 def merged(segments: DataFrame, most: int = MERGED_CHARS) -> DataFrame:

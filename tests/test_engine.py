@@ -3,13 +3,18 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmine.engine import Engine
-from quillmine.functions.query import Filter, RequestError
+from quillmine.functions import text as T
+from quillmine.functions.query import Filter, RequestError, query_string
+from quillmine.operators import chunking as K
 from quillmine.operators import retrieval
 from quillmine.plans.answers import NO_ANSWER, content_text
 from quillmine.plans.indexing import vector_metadata
 from quillmine.sources.adapters import HashEmbedder, PlainText
+from quillmine.sources.store import Store
+from quillmine.sources.vectors import TableVectors
 
 NOW = datetime(2024, 5, 1, 12)
 
@@ -150,3 +155,27 @@ def test_small_parts(spark):
     assert retrieval.of_dimension(vectors, 2).count() == 1
     with pytest.raises(Exception, match="expected dimension 3"):
         retrieval.of_dimension(vectors, 3).collect()
+
+
+def test_vector_store(spark, tmp_path):
+    s = Store(spark, str(tmp_path), {"chunks": "chunk_id string, document_id string, user_id string, text string, topic string, tags array<string>, vector array<double>"})
+    v = TableVectors(s)
+    rows = [("1", "d", "u", "red apples", "fruit", ["A"], [1.0, 0.0]), ("2", "d", "u", "green pears", "fruit", [], [0.0, 1.0]), ("3", "e", "v", "red apples", "fruit", ["a"], [1.0, 0.0])]
+    v.put(spark.createDataFrame(rows, s.read("chunks").schema))
+    ids = lambda df: [r["chunk_id"] for r in df.collect()]
+    assert ids(v.near([1.0, 0.2], "u", 5)) == ["1", "2"] and ids(v.near([1.0, 0.2], "u", 5, 0.5)) == ["1"] and ids(v.near([1.0, 0.2], "u", 5, tags=["a"])) == ["1"]
+    assert ids(v.matching(["red"], "u", 5)) == ["1"]
+    v.update(spark.createDataFrame([("2", [1.0, 0.1]), ("9", [1.0, 1.0])], "chunk_id string, vector array<double>"))
+    assert ids(v.near([1.0, 0.1], "u", 1)) == ["2"] and s.read("chunks").count() == 3
+    v.delete(["2", "3", "none"], "u")
+    assert sorted(ids(s.read("chunks"))) == ["1", "3"]
+    v.delete_document("d", "u")
+    assert ids(s.read("chunks")) == ["3"]
+
+
+def test_addresses(spark):
+    assert query_string("a b&c", 2, None, Filter(type="pdf", date="7d", topic="x")) == "q=a+b%26c&page=2&type=pdf&date=7d"
+    rows = spark.createDataFrame([("own", "v", 3.0), (None, "v", 3.9), (None, "v", None), (None, None, 1.0)], "url string, video string, s double")
+    got = [r[0] for r in rows.select(T.video_link(F.col("url"), F.col("video"), F.col("s"))).collect()]
+    assert got == ["own", "https://www.youtube.com/watch?v=v&t=3s", "https://www.youtube.com/watch?v=v", None]
+    assert [K.is_list_line(x) for x in ("- a", " * b", "• c", "1. d", "2) e", "f", "-g")] == [True] * 5 + [False] * 2
