@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from quillmine.llm.common import components, cut, ship
 
-#: Rows of one block of an inverted list; a task compares two blocks at a time.
-BLOCK = 1024
+#: Rows of one block of an inverted list; a task compares two blocks, CHUNK rows of one of them at a time.
+BLOCK, CHUNK = 4096, 256
+#: Longer lists are split by a second pivot if that leaves less than half of the pairs to compare.
+LONG = 4 * BLOCK
 #: Vectors read to choose pivots from, and the largest number of pivots: both bound what the driver holds.
 SAMPLE, MOST = 8192, 4096
 
@@ -44,23 +46,25 @@ def describe(vectors: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
 
 
-def _forest(rows: np.ndarray, cols: np.ndarray, n: int) -> list[tuple[int, int]]:
+class _Forest:
     """Edges that join the same nodes as all links do, at most n - 1."""
-    root = list(range(n))
 
-    def find(x: int) -> int:
+    def __init__(self, n: int):
+        self.root, self.edges = list(range(n)), []
+
+    def _find(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    out = []
-    for a, b in zip(rows.tolist(), cols.tolist(), strict=True):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[rb] = ra
-            out.append((a, b))
-    return out
+    def add(self, rows: np.ndarray, cols: np.ndarray) -> None:
+        for a, b in zip(rows.tolist(), cols.tolist(), strict=True):
+            ra, rb = self._find(a), self._find(b)
+            if ra != rb:
+                self.root[rb] = ra
+                self.edges.append((a, b))
 
 
 def link(vectors: DataFrame, threshold: float = 0.93, shared: int = 2, nearest: int = 8, n_pivots: int | None = None, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -74,8 +78,9 @@ def link(vectors: DataFrame, threshold: float = 0.93, shared: int = 2, nearest:
 
     Index: pivots come from SAMPLE distinct vectors in the order of their hash, 4 * sqrt(n) of them, MOST at most.
     Every vector is described by its ``nearest`` pivots and enters the inverted list of each. Two vectors that share
-    ``shared`` pivots or more are compared, once, in the list of the first pivot they share. Equal vectors are one
-    class, counted with its size. A list is cut into blocks of BLOCK rows and pairs of blocks are compared as
+    ``shared`` pivots or more are compared, once, in the list of the first pivot they share. A list over LONG is split by
+    the second pivot that they share, as all its pairs share two, unless most of its rows are alike anyway. Equal vectors
+    are one class, counted with its size. A list is cut into blocks of BLOCK rows and pairs of blocks are compared as
     matrices, so no list is held by one task and no pair is a row: a pair of blocks returns counts and a forest.
     """
     spark = vectors.sparkSession
@@ -108,7 +113,19 @@ def link(vectors: DataFrame, threshold: float = 0.93, shared: int = 2, nearest:
     described = classes.select("c", "n", "label", "v").mapInPandas(index, f"c long, n long, label {kind}, x binary, size int, near array<int>")
     described = cut(described)
     posted = described.withColumn("pivot", F.explode("near"))
-    list_of = ["label", "size", "pivot"]
+    first_of = ["label", "size", "pivot"]
+    later = F.filter("near", lambda q: q > F.col("pivot"))
+    sizes = posted.groupBy(*first_of).agg(F.count(F.lit(1)).alias("rows"))
+    long = cut(sizes.where(F.col("rows") > LONG))
+    posted = posted.withColumn("second", F.lit(-1))
+    if min(shared, nearest) > 1 and not long.isEmpty():
+        pairs = posted.select(*first_of, "near").join(F.broadcast(long), first_of).select(*first_of, "rows", F.explode(later).alias("second"))
+        parts = pairs.groupBy(*first_of, "second").agg(F.count(F.lit(1)).alias("part"), F.first("rows").alias("rows"))
+        work = parts.groupBy(*first_of).agg(F.sum(F.col("part").cast("double") * F.col("part")).alias("work"), F.first("rows").alias("rows"))
+        split = cut(work.where(2 * F.col("work") < F.col("rows").cast("double") * F.col("rows")).select(*first_of, F.lit(True).alias("split")))
+        seconds = F.when(F.col("split"), later).otherwise(F.array(F.lit(-1)))
+        posted = posted.drop("second").join(F.broadcast(split), first_of, "left").withColumn("second", F.explode(seconds)).drop("split")
+    list_of = [*first_of, "second"]
     sizes = posted.groupBy(*list_of).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     # a list of one block compares it with itself; only longer lists copy their rows, once for each block they meet
     block = F.pmod(F.xxhash64("c"), F.coalesce("blocks", F.lit(1))).cast("int")
@@ -116,34 +133,34 @@ def link(vectors: DataFrame, threshold: float = 0.93, shared: int = 2, nearest:
     dealt = dealt.select(*list_of, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "n", "x", "near")
 
     def compare(k: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        pivot, i, j = k[2], k[3], k[4]
+        pivot, second, i, j = k[2], k[3], k[4], k[5]
         b = b.sort_values("c", kind="stable")
         first = (b["block"] == i).to_numpy()
-        size = int(k[1])
-        x = np.frombuffer(b"".join(b["x"]), np.float64).reshape(len(b), size)
+        x = np.frombuffer(b"".join(b["x"]), np.float64).reshape(len(b), int(k[1]))
         near = np.stack(b["near"].to_numpy())
         need = min(shared, near.shape[1])
         names, at = np.unique(near, return_inverse=True)
         has = np.zeros((len(b), len(names)), np.float32)
         has[np.arange(len(b))[:, None], at.reshape(near.shape)] = 1
         left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if i != j else (np.arange(len(b)),) * 2
-        if not len(left) or not len(right):
-            return pd.DataFrame({"c": [], "m": [], "to": []})
-        both = has[left] @ has[right].T >= need
-        lower = names < pivot  # a pair belongs to the list of the smallest pivot that it shares
-        if lower.any():
-            both &= has[left][:, lower] @ has[right][:, lower].T == 0
-        r, c = np.nonzero(both & (x[left] @ x[right].T >= threshold - 1e-9))
-        if i == j:
-            r, c = r[r < c], c[r < c]
-        r, c = left[r], right[c]
-        exact = np.einsum("ij,ij->i", x[r], x[c]) >= threshold
-        r, c = r[exact], c[exact]
+        lower = (names < pivot) | (names < second) & (names != pivot)  # a pair belongs to the list of the first pivots that it shares
         ids, copies = b["c"].to_numpy(), b["n"].to_numpy()
-        count = np.bincount(r, copies[c], len(b)) + np.bincount(c, copies[r], len(b))
-        hit = np.flatnonzero(count)
-        tree = _forest(r, c, len(b))
-        return pd.DataFrame({"c": np.r_[ids[hit], ids[[a for a, _ in tree]] if tree else []].astype(np.int64), "m": np.r_[count[hit], np.zeros(len(tree))].astype(np.int64), "to": pd.array([*[None] * len(hit), *[int(ids[z]) for _, z in tree]], dtype="Int64")})
+        count, tree = np.zeros(len(b)), _Forest(len(b))
+        for start in range(0, len(left) if len(right) else 0, CHUNK):
+            some = left[start : start + CHUNK]
+            both = has[some] @ has[right].T >= need
+            if lower.any():
+                both &= has[some][:, lower] @ has[right][:, lower].T == 0
+            r, c = np.nonzero(both & (x[some] @ x[right].T >= threshold - 1e-9))
+            r, c = some[r], right[c]
+            if i == j:
+                r, c = r[r < c], c[r < c]
+            exact = np.einsum("ij,ij->i", x[r], x[c]) >= threshold
+            r, c = r[exact], c[exact]
+            count += np.bincount(r, copies[c], len(b)) + np.bincount(c, copies[r], len(b))
+            tree.add(r, c)
+        hit, edges = np.flatnonzero(count), tree.edges
+        return pd.DataFrame({"c": np.r_[ids[hit], ids[[a for a, _ in edges]] if edges else []].astype(np.int64), "m": np.r_[count[hit], np.zeros(len(edges))].astype(np.int64), "to": pd.array([*[None] * len(hit), *[int(ids[z]) for _, z in edges]], dtype="Int64")})
 
     found = cut(dealt.groupBy(*list_of, "i", "j").applyInPandas(compare, "c long, m long, to long"))
     counts = found.groupBy("c").agg(F.sum("m").alias("m"))

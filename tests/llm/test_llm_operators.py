@@ -157,6 +157,20 @@ def test_pivots_repeats_and_blocks(spark, monkeypatch):
     assert len(got) == 102 and {r["n_links"] for r in got} == {101} and {r["component_id"] for r in got} == {0}
 
 
+def test_pivots_split_lists(spark, monkeypatch):
+    """Long lists by a second pivot give what whole lists give, in which every pair that shares enough pivots is compared."""
+    rng = np.random.default_rng(31)
+    base = rng.standard_normal((60, 12))
+    rows = [(i, (base[i % 60] + 0.25 * rng.standard_normal(12)).tolist(), i % 2) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    whole = sorted(pivots.link(df, n_pivots=24).collect())
+    monkeypatch.setattr(pivots, "LONG", 100)
+    monkeypatch.setattr(pivots, "BLOCK", 32)
+    monkeypatch.setattr(pivots, "CHUNK", 7)
+    split = sorted(pivots.link(df, n_pivots=24).collect())
+    assert split == whole and sum(r["n_links"] for r in whole) > 1000
+
+
 # 4
 
 
