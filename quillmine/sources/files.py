@@ -47,7 +47,7 @@ def notes(raw: DataFrame) -> DataFrame:
 def video_metadata(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """(video_id, title, channel, thumbnail, duration_s) of API answers; longer videos than allowed are left out."""
     kind = "items array<struct<id:string,snippet:struct<title:string,channelTitle:string,thumbnails:struct<high:struct<url:string>,medium:struct<url:string>,default:struct<url:string>>>,contentDetails:struct<duration:string>>>"
-    item = F.from_json(payload, kind)["items"][0]
+    item = F.get(F.from_json(payload, kind)["items"], F.lit(0))
     thumbs = item["snippet"]["thumbnails"]
     out = raw.where(item.isNotNull()).select(
         item["id"].alias("video_id"), F.coalesce(item["snippet"]["title"], F.lit(NO_TITLE)).alias("title"), F.coalesce(item["snippet"]["channelTitle"], F.lit(NO_CHANNEL)).alias("channel"),
