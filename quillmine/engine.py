@@ -67,8 +67,8 @@ class Engine:
         row = self.document(user_id, document_id)
         if (row["extraction_status"] != "completed" or not (row["extracted_text"] or "").strip()) and row["path"]:
             one = self.store.read("documents").where(F.col("document_id") == document_id).select("document_id", "user_id", "title", "type")
-            content = self.spark.read.format("binaryFile").load(row["path"]).select("path", "content")
-            with self.store.kept(self._extract(one.crossJoin(content))) as done:  # one row and one file
+            content = self.spark.read.format("binaryFile").load(row["path"]).select(F.lit(document_id).alias("document_id"), "path", "content")
+            with self.store.kept(self._extract(one.join(content, "document_id"))) as done:
                 self.store.write("documents", tables.merged(self.store.read("documents"), done.select("document_id", "extracted_text", "extraction_status", "extraction_error"), ["document_id"]))
         if not (self.document(user_id, document_id)["extracted_text"] or "").strip():
             why = F.coalesce("extraction_error", F.lit("Text extraction must complete before indexing")).alias("index_error")

@@ -12,70 +12,15 @@ from quillmine.functions import text as T
 from quillmine.operators import chunking, context, history, retrieval, tables, transcripts
 from quillmine.plans import answers
 from quillmine.plans import chunk_sql as C
+from quillmine.plans import parts as P
 from quillmine.plans.search import allowed_documents, search
 from quillmine.sources import tables as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-#: The request that the queries stand for: an owner, a query and the stored vector that stands for its embedding.
-USER, QUERY, VECTOR = "u0", 'reti thea "of the" and', 7
-TERMS, PHRASES = Q.tokens(QUERY), Q.phrases(QUERY)
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _shown(df: DataFrame, *names: str | Column) -> DataFrame:
-    """Scores rounded, times as text."""
-    out = df.select(*names) if names else df
-    kinds = dict(out.dtypes)
-    return out.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if kinds[c].startswith("timestamp") else F.col(c) for c in out.columns])
-
-
-# SQL of the views in quillmine.sources.tables and of shared expressions
-
-
-def _flat(x: str) -> str:
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
-
-
-def _preview(x: str) -> str:
-    return f"CASE WHEN length({_flat(x)}) <= 200 THEN {_flat(x)} ELSE trim(substring({_flat(x)}, 1, 197)) || '...' END"
-
-
-def _tokens(x: str) -> str:
-    return f"CASE WHEN trim({x}, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE CAST(ceil(length({x}) / 4.0) AS INTEGER) END"
-
-
-def _share(x: str, terms: list[str]) -> str:
-    return "(" + " + ".join(f"CAST(contains(lower(coalesce({x}, '')), '{t}') AS INTEGER)" for t in terms) + f") / {len(terms)}.0"
-
-
-_CHUNKS = f"""chunks AS (SELECT doc_id AS chunk_id, doc_id // 4 AS document_id, CAST(doc_id % 4 AS INTEGER) AS chunk_index,
-  'u' || ((doc_id // 4) % 2) AS user_id, text, substring(split_part(text, chr(10), 1), 1, 80) AS title, 'topic ' || (doc_id % 10) AS topic,
-  lang AS subtopic, lang || ' ' || source AS tags, lang AS type, {_preview("text")} AS content_preview FROM documents)"""
-_DOCS = """docs AS (SELECT c.document_id, c.user_id, c.title, c.type, TIMESTAMP '2024-01-31' - to_days(CAST(c.document_id % 120 AS INTEGER)) AS created_at,
-  CASE l.quality WHEN 1 THEN 'indexed' WHEN 0 THEN 'failed' ELSE 'pending' END AS index_status
-  FROM chunks c LEFT JOIN labels l ON l.doc_id = c.chunk_id WHERE c.chunk_index = 0)"""
-_SCORED = f"""scored AS (SELECT vec_id AS chunk_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
-  (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {VECTOR})) AS score FROM embeddings)"""
-_KEYWORD = " + ".join(
-    f"CASE WHEN regexp_matches(lower({field}), '(^|\\W){t}(\\W|$)') THEN {w} ELSE 0 END"
-    for field, w in (("title", 10), ("topic", 8), ("subtopic", 6), ("tags", 4), ("text", 1))
-    for t in TERMS
-)
-_HISTORY = "history AS (SELECT event_id, user_id, event_type || ':' || json_extract_string(props, '$.k') AS query, CAST(floor(value) AS INTEGER) AS result_count, ts AS created_at FROM events)"
-_SEGMENTS = """segments AS (SELECT conv_id AS video_id, turn AS i, text, (read_to - length(text)) / 15.0::DOUBLE AS start_s, read_to / 15.0::DOUBLE AS end_s
-  FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS read_to FROM conversations))"""
-_TIME = "strftime({}, '%Y-%m-%d %H:%M:%S') AS {}"
+#: The names of the shared parts that the queries below use most.
+QUERIES, ORACLES, query, _shown = P.QUERIES, P.ORACLES, P.query, P.shown
+USER, QUERY, VECTOR, TERMS, PHRASES = P.USER, P.QUERY, P.VECTOR, P.TERMS, P.PHRASES
+_CHUNKS, _DOCS, _SCORED, _KEYWORD, _HISTORY, _SEGMENTS, _TIME, _PACK, _CLOCK = P.CHUNKS, P.DOCS, P.SCORED, P.KEYWORD, P.HISTORY, P.SEGMENTS, P.TIME, P.PACK, P.CLOCK
+_flat, _preview, _tokens, _share = P.flat, P.preview, P.tokens, P.share
 
 
 def _legs(k: int) -> str:
@@ -355,11 +300,7 @@ def transcript_dedupe(spark, d):
     return _shown(_turns(spark, d), "video_id", "i", "text", "start_s", "end_s")
 
 
-_FOLD = """rows AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY i) AS r, {size} AS n FROM {source}),
-fold AS (SELECT video_id, r, 0 AS part, {first} AS carried FROM rows WHERE r = 1
-  UNION ALL SELECT x.video_id, x.r, f.part + CASE WHEN {opens} THEN 1 ELSE 0 END, CASE WHEN {opens} THEN x.n ELSE {joined} END FROM fold f JOIN rows x ON x.video_id = f.video_id AND x.r = f.r + 1)"""
-_MERGE = _FOLD.format(size="length(text)", source="deduped", first="n", opens="f.carried + 1 + x.n > 240", joined="f.carried + 1 + x.n")
-_PACK = _FOLD.format(size=_tokens("text"), source="segments", first="n", opens="f.carried >= 512 OR f.carried + x.n > 512", joined="f.carried + x.n")
+_MERGE = P.FOLD.format(size="length(text)", source="deduped", first="n", opens="f.carried + 1 + x.n > 240", joined="f.carried + 1 + x.n")
 
 
 @query(f"WITH RECURSIVE {_RUNS}, {_MERGE} SELECT video_id, CAST(part AS INTEGER) AS i, string_agg(text, ' ' ORDER BY r) AS text, round(min(start_s), 6) AS start_s, round(arg_max(end_s, r), 6) AS end_s FROM fold JOIN rows USING (video_id, r) GROUP BY video_id, part")
@@ -367,7 +308,6 @@ def transcript_merge(spark, d):
     return _shown(transcripts.merged(_turns(spark, d)), "video_id", "i", "text", "start_s", "end_s")
 
 
-_CLOCK = "CASE WHEN {0} >= 3600 THEN printf('%02d:', CAST(floor({0} / 3600) AS BIGINT)) ELSE '' END || printf('%02d:%02d', CAST(floor({0} % 3600 / 60) AS BIGINT), CAST(floor({0}) % 60 AS BIGINT))"
 
 
 @query(f"""WITH RECURSIVE {_SEGMENTS}, {_PACK}, t AS (SELECT video_id, part, trim(string_agg(text, ' ' ORDER BY r)) AS text, min(start_s) AS a, arg_max(end_s, r) AS b FROM fold JOIN rows USING (video_id, r) GROUP BY video_id, part),
@@ -548,3 +488,6 @@ def clean_text(spark, d):
 @query(f"WITH t AS (SELECT line AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) SELECT count(*) AS lines, sum({_tokens('text')}) AS tokens FROM t")
 def line_chunks(spark, d):
     return S.lines(spark, d).agg(F.count(F.lit(1)).alias("lines"), F.sum(T.token_count(F.col("line"))).alias("tokens"))
+
+
+from quillmine.plans import catalogue_service  # noqa: E402,F401  its queries join those above
