@@ -718,3 +718,14 @@ def test_queries_match_sql(spark, folder):
         assert names == sorted(d[0] for d in cur.description)
         at = [[d[0] for d in cur.description].index(n) for n in names]
         assert sorted(str([r[n] for n in names]) for r in df.collect()) == sorted(str([r[i] for i in at]) for r in cur.fetchall()), name
+
+
+def test_checkpoints_can_be_deleted(spark):
+    import os
+
+    assert common.cut(spark.range(5)).count() == 5
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert os.listdir(folder)
+    common.clean(spark)
+    assert not os.path.exists(folder)
+    assert common.cut(spark.range(3)).count() == 3
