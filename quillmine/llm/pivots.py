@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from quillmine.llm.common import components, cut, ship
 
 #: Rows of one block of an inverted list; a task compares two blocks, CHUNK rows of one of them at a time.
-BLOCK, CHUNK = 4096, 256
+BLOCK, CHUNK = 2048, 256
 #: Longer lists are split by a second pivot if that leaves less than half of the pairs to compare.
-LONG = 4 * BLOCK
+LONG = 8 * BLOCK
 #: Vectors read to choose pivots from, and the largest number of pivots: both bound what the driver holds.
 SAMPLE, MOST = 8192, 4096
 
@@ -146,12 +146,13 @@ def link(vectors: DataFrame, threshold: float = 0.93, shared: int = 2, nearest:
         lower = (names < pivot) | (names < second) & (names != pivot)  # a pair belongs to the list of the first pivots that it shares
         ids, copies = b["c"].to_numpy(), b["n"].to_numpy()
         count, tree = np.zeros(len(b)), _Forest(len(b))
+        their, their_lower, their_x = has[right].T, has[right][:, lower].T, x[right].T
         for start in range(0, len(left) if len(right) else 0, CHUNK):
             some = left[start : start + CHUNK]
-            both = has[some] @ has[right].T >= need
+            both = has[some] @ their >= need
             if lower.any():
-                both &= has[some][:, lower] @ has[right][:, lower].T == 0
-            r, c = np.nonzero(both & (x[some] @ x[right].T >= threshold - 1e-9))
+                both &= has[some][:, lower] @ their_lower == 0
+            r, c = np.nonzero(both & (x[some] @ their_x >= threshold - 1e-9))
             r, c = some[r], right[c]
             if i == j:
                 r, c = r[r < c], c[r < c]
