@@ -26,7 +26,7 @@ ORDER, BASE = 6, 3
 #: N-grams that are broadcast (12 MB).
 HEAD = 1 << 20
 #: Bytes that are counted or scored at a time, different n-grams that a task holds, texts and lookups that it sends at a time.
-PIECE, HELD, DOCS, PART = 1 << 19, 1 << 23, 4096, 1 << 21
+PIECE, HELD, DOCS, PART = 1 << 18, 1 << 21, 4096, 1 << 19
 #: One in APART trusted texts is kept apart for thresholds; a language with EVEN of them has half a threshold of its own.
 APART, EVEN = 8, 100
 #: Keys of trusted documents up to which they are broadcast (8 MB); above, tables are joined by a shuffle.
@@ -114,32 +114,39 @@ def count(trusted: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        have, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        seen: list[tuple[np.ndarray, np.ndarray]] = []  # (n-grams in order, how often), the first the sum of earlier ones
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
+        def counted() -> None:
             g = _grams(held)[0]
-            keys, c = np.unique(g[g != (1 << 8 * ORDER) - 1], return_counts=True)
-            every, at = np.unique(np.r_[have, keys], return_inverse=True)
-            return every, np.bincount(at, np.r_[times, c], len(every)).astype(np.int64)
+            seen.append(np.unique(g[g != (1 << 8 * ORDER) - 1], return_counts=True))
+
+        def merged() -> None:
+            g, c = (np.concatenate(x) for x in zip(*seen, strict=True))
+            every, at = np.unique(g, return_inverse=True)
+            seen[:] = [(every, np.bincount(at, c, len(every)).astype(np.int64))]
 
         def sent() -> Iterator[pa.RecordBatch]:
-            for b, at in _dealt(have, n):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(have[at])], pa.binary()), pa.array([_small(times[at], "<u8")], pa.binary())], ["bucket", "keys", "times"])
+            merged()
+            for b, at in _dealt(seen[0][0], n):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(seen[0][0][at])], pa.binary()), pa.array([_small(seen[0][1][at], "<u8")], pa.binary())], ["bucket", "keys", "times"])
+            seen.clear()
 
         for batch in batches:
             for value in batch.column(0):
                 for piece in _pieces(value.as_py()) if value.as_py() else ():
                     held.append(piece)
                     size += len(piece)
-                    if size >= 8 * PIECE:
-                        have, times = merged()
+                    if size >= 4 * PIECE:
+                        counted()
                         held, size = [], 0
-                        if len(have) >= HELD:
-                            yield from sent()
-                            have, times = have[:0], times[:0]
+                        if sum(len(g) for g, _ in seen[1:]) >= max(PIECE, len(seen[0][0]) // 2):
+                            merged()
+                            if len(seen[0][0]) >= HELD:
+                                yield from sent()
         if held:
-            have, times = merged()
-        yield from sent()
+            counted()
+        if seen:
+            yield from sent()
 
     def add(t: pa.Table) -> pa.Table:
         g, c = np.concatenate([_unpacked(x.as_py()) for x in t["keys"]]), np.concatenate([_large(x.as_py(), "<u8") for x in t["times"]])
