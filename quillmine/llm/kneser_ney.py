@@ -8,7 +8,7 @@ table of the HEAD most frequent n-grams, or else by a join with the shard that h
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.llm.common import cut, ship
+from quillmine.llm.common import cut, give_back, ship
 
 #: Bytes of an n-gram; orders up to BASE are one table of 2 ** (8 * BASE) cells, the higher ones are sharded.
 ORDER, BASE = 6, 3
@@ -159,11 +159,11 @@ def count(trusted: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, "bucket int, keys binary, times binary").groupBy("bucket").applyInArrow(add, "g long, c long")
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """What is taken off n-grams that occur once, twice and more often."""
-    n = counts.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    y = n["n1"] / (n["n1"] + 2 * n["n2"]) if n["n1"] and n["n2"] else 0.5
-    return [min(max(k - (k + 1) * y * n[f"n{k + 1}"] / n[f"n{k}"], 0.1), k - 0.1) if n[f"n{k}"] else 0.5 * k for k in (1, 2, 3)]
+def _discounts(often: Sequence[int]) -> list[float]:
+    """What is taken off n-grams that occur once, twice and more often, from how many occur one to four times."""
+    n = dict(enumerate(often, 1))
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.1) if n[k] else 0.5 * k for k in (1, 2, 3)]
 
 
 def _level(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,7 +172,7 @@ def _level(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     Counts are sharded by context and joined with the statistics of their context: its total and how many followers
     occur once, twice and more often.
     """
-    d = _discounts(counts)
+    d = _discounts(counts.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first())
     h = F.shiftright("g", 8).alias("h")
     stats = counts.groupBy(h).agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)], F.count_if(F.col("c") >= 3).alias("n3"))
     stats = stats.select("h", "total", ((d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")).alias("gamma"))
@@ -227,6 +227,25 @@ def _cell(g: np.ndarray) -> np.ndarray:
     return ((g * _ODD) >> np.uint64(43)).astype(np.int32)
 
 
+def _dense(counts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams of BASE in order, their probability, the weight of each context, the probability of each n-gram one shorter)."""
+    g, c = counts["g"].to_numpy(), counts["c"].to_numpy()
+    by_order = {BASE: (g, c)}
+    for n in range(BASE - 1, 0, -1):
+        by_order[n] = np.unique(by_order[n + 1][0] & ((1 << 8 * n) - 1), return_counts=True)
+    lower = np.full(1, 0.5**8)
+    for n in range(1, BASE + 1):
+        g, c = by_order[n]
+        d = np.r_[0.0, _discounts([int((c == k).sum()) for k in (1, 2, 3, 4)])][np.minimum(c, 3)]
+        total = np.bincount(g >> 8, c, 1 << 8 * (n - 1))
+        context = np.divide(np.bincount(g >> 8, d, len(total)), total, out=np.ones(len(total)), where=total > 0)
+        p = (c - d) / total[g >> 8] + context[g >> 8] * lower[g & (len(lower) - 1)]
+        if n < BASE:
+            lower = np.repeat(context, 1 << 8) * np.tile(lower, 1 << 8)
+            lower[g] = p
+    return g, p, context, lower
+
+
 def estimate(counts: DataFrame) -> tuple[Model, DataFrame]:
     """(the model of the workers, (n, g, value) of all n-grams of more than BASE bytes), by interpolation of all orders.
 
@@ -234,28 +253,15 @@ def estimate(counts: DataFrame) -> tuple[Model, DataFrame]:
     n-gram's gain over backing off and the log weight that it leaves as a context. The driver gets the n-grams of BASE, 2 ** (8 * BASE) at most and usually some hundred thousand, and the head.
     """
     by_order = {ORDER: cut(counts)}
-    for n in range(ORDER - 1, 0, -1):
+    for n in range(ORDER - 1, BASE - 1, -1):
         by_order[n] = cut(by_order[n + 1].groupBy(_suffix(n).alias("g")).agg(F.count(F.lit(1)).alias("c")))
-    levels, weights, lower = {}, {}, np.full(1, 0.5**8)
-    for n in range(1, ORDER + 1):
+    seen, seen_p, context, lower = _dense(by_order[BASE].orderBy("g").toArrow())
+    base = counts.sparkSession.createDataFrame(pa.table({"g": pa.array(seen), "p": pa.array(seen_p)}))
+    levels, weights = {BASE: base}, {}
+    for n in range(BASE + 1, ORDER + 1):
         rows, contexts = _level(by_order[n])
         weights[n] = contexts.select("h", F.log("gamma").alias("w"))
-        if n <= BASE:
-            t = rows.toArrow()
-            g, alpha, gamma = (t.column(k).to_numpy() for k in ("g", "alpha", "gamma"))
-            context = np.ones(1 << 8 * (n - 1))
-            context[g >> 8] = gamma
-            if n < BASE:
-                every = np.repeat(context, 1 << 8) * np.tile(lower, 1 << 8)
-                every[g] += alpha
-                lower = every
-            else:
-                seen = g[np.argsort(g)]
-                seen_log = np.log(alpha + gamma * lower[g & (len(lower) - 1)])[np.argsort(g)]
-        if n > 1:
-            rows = rows.withColumn("s", _suffix(n - 1)).join(levels[n - 1].select(F.col("g").alias("s"), F.col("p").alias("q")), "s")
-        else:
-            rows = rows.withColumn("q", F.lit(0.5**8))
+        rows = rows.withColumn("s", _suffix(n - 1)).join(levels[n - 1].select(F.col("g").alias("s"), F.col("p").alias("q")), "s")
         p = F.col("alpha") + F.col("gamma") * F.col("q")
         levels[n] = cut(rows.select("g", "c", p.alias("p"), (F.log(p) - F.log("gamma") - F.log("q")).alias("gain")))
     after = weights[BASE + 1].toArrow()
@@ -280,7 +286,7 @@ def estimate(counts: DataFrame) -> tuple[Model, DataFrame]:
     head = t["g"].to_numpy().astype(np.uint64)
     order = np.argsort(_cell(head), kind="stable")
     model = Model(
-        seen.astype(np.int64), seen_log.astype(np.float32), np.log(context).astype(np.float32), np.log(lower).astype(np.float32),
+        seen, np.log(seen_p).astype(np.float32), np.log(context).astype(np.float32), np.log(lower).astype(np.float32),
         after["h"].to_numpy().astype(np.int64), after["w"].to_numpy().astype(np.float32),
         head[order], t["value"].to_numpy()[order].astype(np.float32),
     )
@@ -441,6 +447,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, key: st
     trusted = docs.join(keys, key, "left_semi").where(F.col(text) != "")
     apart = F.pmod(F.xxhash64(text), F.lit(APART)) == 0
     model, table = estimate(count(trusted.where(~apart), text))
+    give_back()
     digest = F.unhex(F.md5(text))
     texts = docs.where(F.col(text) != "").select(digest.alias("h"), F.col(text).alias("text"))
     scores = cut(perplexities(texts, table, spark.sparkContext.broadcast(model)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from quillmine.llm.bpe import slices
-from quillmine.llm.common import ship
+from quillmine.llm.common import give_back, ship
 
 #: Words of a window; bytes of ordinary text that both dictionaries hold and of the trained part in which they differ.
 WINDOW, SHARED, OWN = 8, 4_000_000, 16_000
@@ -114,6 +114,7 @@ def telling(toxic: list[str], shared: bytes, rest: bytes) -> list[bytes]:
             own = b"".join(w for i, ws in enumerate(left) if i != k for w in ws)[:MOST]
             gain = _gain(rest[: len(own)] + shared, own + shared)
             chosen.append([w for w in fold if gain(w) >= LEAST])
+            del gain  # some 70 MB, before the next
         left = chosen
     return [w for ws in left for w in ws]
 
@@ -135,12 +136,17 @@ def fit(rows: Sequence[tuple[str | None, int]]) -> Model:
     size = 0
     for text, y in content:
         if not y and size < SHARED + MOST:
-            ordinary += windows(text)
-            size += sum(map(len, windows(text)))
+            more = windows(text)
+            ordinary += more
+            size += sum(map(len, more))
+    toxic = [text or "" for text, y in content if y]
+    del rows, content  # most of the sample; the rest of the ordinary text is not needed
+    give_back()
     body = b"".join(ordinary)
     at = min(SHARED, len(body) * 3 // 4)
     shared, rest = body[:at], body[at:]
-    chosen = telling([text or "" for text, y in content if y], shared, rest)
+    ordinary = ordinary[:100_000]
+    chosen = telling(toxic, shared, rest)
     size = min(OWN, max(1000, sum(map(len, chosen)) // DENSE))
     own, other = trained(chosen, size), trained(ordinary[: max(20_000, len(chosen))], size)
     model = Model(other + shared, own + shared, empty, empty, empty, empty)
@@ -155,6 +161,7 @@ def fit(rows: Sequence[tuple[str | None, int]]) -> Model:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.5 * np.eye(len(w)), x.T @ (p - label) + 0.5 * w)
     model.weights = w
+    del model._pair  # workers make their own
     return model
 
 
@@ -192,6 +199,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels, "toxic", key, text)))
+    give_back()
     docs = docs.drop("toxic_score")
     at, names = docs.columns.index(text), [*docs.columns, "toxic_score"]
 
