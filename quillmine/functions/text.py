@@ -159,8 +159,10 @@ def embedding_text(topic: Column, subtopic: Column, title: Column, summary: Colu
     return F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), c) for name, c in lines], present(text))
 
 
-def searchable_text(title: Column, topic: Column, subtopic: Column, summary: Column, keywords: Column, concepts: Column, tags: Column, section_path: Column, text: Column) -> Column:
-    return F.concat_ws("\n", *map(present, (title, topic, subtopic, summary)), *[present(F.array_join(c, " ")) for c in (keywords, concepts, tags, section_path)], present(text))
+def searchable_text(title: Column, topic: Column, subtopic: Column, summary: Column, keywords: Column, concepts: Column, tags: Column, section_path: Column, text: Column, gaps: bool = False) -> Column:
+    """A line for each part that is not empty; with ``gaps`` for each that is not null, title and text still only if not empty."""
+    part = (lambda c: c) if gaps else present
+    return F.concat_ws("\n", present(title), *map(part, (topic, subtopic, summary)), *[part(F.array_join(c, " ")) for c in (keywords, concepts, tags, section_path)], present(text))
 
 
 def clock(seconds: Column) -> Column:

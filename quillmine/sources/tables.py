@@ -30,7 +30,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("chunk_id"), document.alias("document_id"), (F.col("doc_id") % 4).cast("int").alias("chunk_index"),
         F.concat(F.lit("u"), (document % 2).cast("string")).alias("user_id"), "text", title.alias("title"),
         F.concat(F.lit("topic "), (F.col("doc_id") % 10).cast("string")).alias("topic"), F.col("lang").alias("subtopic"),
-        F.array("lang", "source").alias("tags"), F.col("lang").alias("type"), T.content_preview(F.col("text")).alias("content_preview"),
+        F.when(F.col("lang").isNotNull() & F.col("source").isNotNull(), F.array("lang", "source")).alias("tags"), F.col("lang").alias("type"), T.content_preview(F.col("text")).alias("content_preview"),
     )
 
 
