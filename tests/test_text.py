@@ -1,13 +1,16 @@
 """Worked examples of the text functions."""
 
+import tracemalloc
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillmine.functions import query as Q
 from quillmine.functions import text as T
 from quillmine.operators import chunking as K
+from quillmine.session import PART_BYTES
 from quillmine.sources.files import safe_path
 
 
@@ -50,6 +53,23 @@ def test_cleaning(spark):
     assert one(spark, T.sanitized(F.col("t")), t=" a\x00\x07b \n c ") == "ab c"
 
 
+def test_clean_text_holds_a_portion_of_a_batch(spark):
+    texts = [f"{i} \ufb01  x\u2024\n\n\n\n" * 5_000 for i in range(200)] + ["", None, " a\xa0"]
+    batch, held = pa.array(texts), []
+    tracemalloc.start()
+    for got in K._clean_udf().func(iter([batch, batch.slice(0, 0)])):
+        held += [K.clean(t) == g for t, g in zip(texts[len(held) :], got.to_pylist(), strict=False)]
+        del got
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(held) == len(texts) and all(held)
+    assert batch.nbytes > 10 * PART_BYTES and peak < 8 * PART_BYTES
+    spread = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3).select("i", "t", K.clean_text(F.col("t")).alias("x"), K.clean_text(F.upper("t")).alias("y"))
+    assert sorted((r["i"], r["x"], r["y"]) for r in spread.collect() if r["t"]) == [(i, K.clean(t), K.clean(t.upper())) for i, t in enumerate(texts) if t]
+    K.register(spark)
+    assert spark.sql("SELECT clean_text(' a  b ') AS x, clean_text(NULL) AS y").first() == ("a b", None)
+
+
 def test_preview_snippet(spark):
     long = "Introduction to programming. React Hooks allow developers to use state inside function components and share logic between many different parts"
     got = one(spark, T.preview_snippet(F.col("t"), ["react", "hooks"], 40, 80), t=long)
