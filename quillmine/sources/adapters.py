@@ -9,10 +9,11 @@ from typing import Protocol, TypeVar
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from quillmine.session import ship
+from quillmine.session import portions, ship
 
 V = TypeVar("V")
 #: Tries of a call, seconds that the wait grows by, that a call may take, and between batches; texts of a batch, size of a vector.
@@ -155,27 +156,34 @@ def embedded(rows: DataFrame, embedder: Embedder, text: str = "embedding_text",
 
 
 def extracted(files: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
-    """Files (type, content, ...) with ``extraction`` (success, text, error); a failure is a value, not an exception."""
+    """Files (type, content, ...) with ``extraction`` (success, text, error); a failure is a value, not an exception.
+
+    Contents of about PART_BYTES, or one file, are read and given back at a time.
+    """
     ship(files.sparkSession)
     keep = [f for f in files.schema.fields if f.name not in ("content", "extraction_status", "extracted_text", "extraction_error")]
     names = [f.name for f in keep]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts, errors = [], []
-            for kind, content in zip(f["type"], f["content"], strict=True):
-                try:
-                    if kind not in extractors:
-                        raise ValueError(f"Unsupported document type: {kind}")
-                    t = extractors[kind].extract(bytes(content)).strip()
-                    if not t:
-                        raise ValueError("No extractable text")
-                    texts.append(t)
-                    errors.append(None)
-                except Exception as e:
-                    texts.append(None)
-                    errors.append(str(e))
-            yield f[names].assign(extracted_text=texts, extraction_error=errors, extraction_status=["failed" if e else "completed" for e in errors])
+    def read(kind: str | None, content: bytes | None) -> tuple[str | None, str | None]:
+        """The text, or the error."""
+        try:
+            if kind not in extractors:
+                raise ValueError(f"Unsupported document type: {kind}")
+            t = extractors[kind].extract(bytes(content)).strip()
+            if not t:
+                raise ValueError("No extractable text")
+            return t, None
+        except Exception as e:
+            return None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end in portions(batch.column("content")):
+                part = batch.slice(at, end - at)
+                got = [read(kind.as_py(), content.as_py()) for kind, content in zip(part.column("type"), part.column("content"), strict=True)]
+                texts, errors = ([x[i] for x in got] for i in (0, 1))
+                made = [texts, errors, ["failed" if e else "completed" for e in errors]]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array(x, pa.string()) for x in made)], [*names, "extracted_text", "extraction_error", "extraction_status"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return files.mapInPandas(run, f"{fields}, extracted_text string, extraction_error string, extraction_status string")
+    return files.mapInArrow(run, f"{fields}, extracted_text string, extraction_error string, extraction_status string")

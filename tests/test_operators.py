@@ -2,14 +2,17 @@
 
 import math
 import random
+import tracemalloc
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillmine.operators import chunking as K
 from quillmine.operators import context, history, retrieval, tables, transcripts
 from quillmine.plans import answers, indexing
+from quillmine.session import PART_BYTES
 from quillmine.sources import adapters, files
 
 NOTES = """# React Notes
@@ -241,6 +244,33 @@ def test_adapters(spark):
     assert sorted(got, key=str) == [("completed", "hi"), ("failed", None), ("failed", None)]
 
 
+def test_extraction_holds_a_portion_of_a_batch(spark):
+    class Seen:
+        sparkSession, schema = spark, spark.createDataFrame([], "k long, type string, at timestamp, content binary, extracted_text string").schema
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [f" {i} text\n" * 10_000 for i in range(200)]
+    content = [*(t.encode() for t in texts), None, b"\xff", b" ", b"x"]
+    n = len(content)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["note"] * (n - 1) + [None]), pa.array([datetime(2024, 1, 31)] * n), pa.array(content), pa.nulls(n, pa.string())], ["k", "type", "at", "content", "extracted_text"])
+    run, seen = adapters.extracted(Seen(), {"note": adapters.PlainText()}), []
+    tracemalloc.start()
+    for got in run(iter([batch, batch.slice(0, 0)])):
+        assert got.schema.names == ["k", "type", "at", "extracted_text", "extraction_error", "extraction_status"]
+        for r in got.select(["k", "extracted_text", "extraction_error", "extraction_status"]).to_pylist():
+            k = r["k"]
+            assert k == len(seen)
+            seen.append((r["extraction_status"], r["extraction_error"]) if k >= len(texts) else r["extracted_text"] == texts[k].strip())
+        del got, r
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen[: len(texts)] == [True] * len(texts)
+    assert [s for s, _ in seen[len(texts) :]] == ["failed"] * 4 and all(e for _, e in seen[len(texts) :]) and len(seen) == n
+    assert batch.nbytes > 10 * PART_BYTES and peak < 8 * PART_BYTES
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.PDF").write_bytes(b"%PDF")
     (tmp_path / "b.txt").write_bytes(b"no")
